@@ -64,7 +64,7 @@ def line_keys(min_chars: int):
 
 def _rows(docs: DataFrame) -> DataFrame:
     """Each row with a name made of its id and text: rows that share it get the same result."""
-    return docs.withColumn("__row", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.hex(F.xxhash64("text")), F.hex(F.xxhash64(F.lit(17), "text"))))
+    return docs.withColumn("__row", F.concat_ws(":", F.coalesce(F.lpad(F.col("doc_id").cast("string"), 20, "0"), F.lit("null")), F.hex(F.xxhash64("text")), F.hex(F.xxhash64(F.lit(17), "text"))))
 
 
 def _spots(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -146,18 +146,29 @@ class LineRuns:
             for p in paths:
                 fs.delete(path(p), True)
 
-    def add(self, docs: DataFrame, min_docs: int, min_chars: int = 1) -> DataFrame:
-        """The batch without lines that reach min_docs with all that came before; its run is added."""
+    def add(self, docs: DataFrame, min_docs: int, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
+        """The batch without lines that reach min_docs with all that came before; its run is added.
+
+        keep_first: a line that no earlier batch had stays in one document of
+        the batch, the least by its name, so that nothing is lost for good.
+        """
         rows = _rows(docs)
         spots = stored(_spots(rows, min_chars))
+        before = stored(self.counts().withColumnRenamed("n", "n_before")) if keep_first and self.runs() else None
         self.append(spots)
         often = stored(self.counts().where(F.col("n") >= min_docs).select("key"))
-        return _strip(rows, spots.join(often, "key").select("row", "spots"))
+        hits = spots.join(often, "key")
+        if keep_first:
+            first = spots.groupBy("key").agg(F.min("row").alias("first"))
+            if before is not None:
+                first = first.join(before.select("key"), "key", "left_anti")
+            hits = hits.join(first, "key", "left").where("first is null or first <> row")
+        return _strip(rows, hits.select("row", "spots"))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
     """All columns of docs, n_lines, n_dropped and kept_text, for one whole table."""
-    return LineRuns(docs.sparkSession).add(docs, min_docs, min_chars)
+    return LineRuns(docs.sparkSession).add(docs, min_docs, min_chars, keep_first)
 
 
 def op6_linededup(spark, sf_dir: str) -> DataFrame:
