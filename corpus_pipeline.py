@@ -25,8 +25,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in 10 documents or more go from every document; documents that lose all their text go."""
-    clean = linededup.dedup_lines(docs, min_docs=10, min_chars=1)
+    """Lines found in 10 documents or more stay in one of them only, so copies of a clean document don't take it along.
+
+    Documents that lose all their text go: each of their lines is in another document.
+    """
+    clean = linededup.dedup_lines(docs, min_docs=10, min_chars=1, keep_first=True)
     changed = F.col("n_dropped") > 0
     out = clean.where(~changed | (F.length("kept_text") > 0))
     text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
