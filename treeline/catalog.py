@@ -1,15 +1,97 @@
-"""Registered queries and their SQL."""
+"""Registered queries of the selector engine over the tables, and their SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from treeline.operators import incremental, text
+from treeline.plans.compiler import query
+from treeline.sources import tables
 
-def oracle_sql() -> dict:
-    return {}
+_LINES = f"lines AS (SELECT node, CAST(line AS INTEGER) AS line, text, lang FROM (SELECT source || '/' || doc_id AS node, lang, unnest(range(1, len(parts) + 1)) AS line, unnest(parts) AS text FROM (SELECT doc_id, source, lang, string_split(text, chr(10)) AS parts FROM documents)))"
+_PLACES = "people AS (SELECT c_custkey, c_name, r_name, n_name, r_name || '/' || n_name || '/' || c_name AS path FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+_ITEMS = "items AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS l_at FROM lineitem)"
+_SUPPLIERS = "suppliers AS (SELECT s_suppkey, r_name || '/' || n_name || '/' || s_name AS node FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+_NEXT = "pairs AS (SELECT event_id AS src, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events)"
+_TURNS = "turns AS (SELECT conv_id, turn, role, 'conv/' || conv_id || '#' || role || '.' || turn AS node FROM conversations)"
 
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
 
-def flagship(spark, sf_dir: str):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+
+def _add(name: str, sql: str | None, run: Callable[[SparkSession, str], DataFrame]) -> None:
+    _QUERIES[name] = run
+    if sql:
+        _SQL[name] = sql
+
+
+def _select(name: str, workspace: Callable, selector: str, columns: list[str], sql: str, shape: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = query(workspace(spark, sf_dir), selector)
+        return (shape(out) if shape else out).select(*columns)
+
+    _add(name, sql, run)
+
+
+_select("q_grep_lines", tables.documents, "file.en::grep('-i -w the')", ["node", "line", "text"], f"WITH {_LINES} SELECT node, line, text FROM lines WHERE lang = 'en' AND regexp_matches(text, '(?i)\\bthe\\b')")
+_select("q_grep_context", tables.documents, "file::grep('-A1 -B2 License')", ["node", "line", "text", "n_before", "n_after"], f"WITH {_LINES}, framed AS (SELECT *, count(*) OVER (PARTITION BY node ORDER BY line ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS n_before, count(*) OVER (PARTITION BY node ORDER BY line ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS n_after FROM lines) SELECT node, line, text, n_before, n_after FROM framed WHERE contains(text, 'License')", lambda d: d.withColumn("n_before", F.size("before").cast("long")).withColumn("n_after", F.size("after").cast("long")))
+_select("q_grep_rollup", tables.documents, "file::grep('the')", ["node", "n"], f"WITH {_LINES} SELECT node, count(*) AS n FROM lines WHERE contains(text, 'the') GROUP BY node", text.rollup)
+_select("q_grep_first", tables.documents, "file::grep('-v the'):first", ["node", "line", "text"], f"WITH {_LINES} SELECT node, line, text FROM lines WHERE NOT contains(text, 'the') QUALIFY row_number() OVER (PARTITION BY node ORDER BY line) = 1")
+_select("q_contains", tables.documents, "file:contains('-i license')", ["node"], f"WITH {_LINES} SELECT DISTINCT node FROM lines WHERE contains(lower(text), 'license')")
+_select("q_not_contains", tables.documents, "file:not(:contains('the'))", ["node"], f"WITH {_LINES} SELECT DISTINCT source || '/' || doc_id AS node FROM documents WHERE source || '/' || doc_id NOT IN (SELECT node FROM lines WHERE contains(text, 'the'))")
+_select("q_child", tables.trade, "dir#NATION_7 > file", ["node"], f"WITH {_PLACES}, {_SUPPLIERS} SELECT path AS node FROM people WHERE n_name = 'NATION_7' UNION ALL SELECT node FROM suppliers WHERE node LIKE '%/NATION=_7/%' ESCAPE '='")
+_select("q_descendant", tables.trade, "dir#ASIA struct", ["node"], f"WITH {_PLACES} SELECT path || '#o' || o_orderkey AS node FROM orders JOIN people ON o_custkey = c_custkey WHERE r_name = 'ASIA'")
+_select("q_depth_range", tables.trade, "dir#EUROPE > *{1,2}", ["node", "type"], f"WITH {_PLACES}, {_SUPPLIERS} SELECT path AS node, 'file' AS type FROM people WHERE r_name = 'EUROPE' UNION ALL SELECT node, 'file' FROM suppliers WHERE node LIKE 'EUROPE/%' UNION ALL SELECT r_name || '/' || n_name, 'dir' FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE'")
+_select("q_union", tables.documents, "file.de, file.fr, dir", ["node", "type"], "SELECT source || '/' || doc_id AS node, 'file' AS type FROM documents WHERE lang IN ('de', 'fr') UNION ALL SELECT DISTINCT source, 'dir' FROM documents")
+_select("q_attr_bool", tables.documents, "file[(name^=1 | name$=7) & path*=src1]", ["node"], "SELECT source || '/' || doc_id AS node FROM documents WHERE (starts_with(CAST(doc_id AS VARCHAR), '1') OR ends_with(CAST(doc_id AS VARCHAR), '7')) AND contains(source || '/' || doc_id, 'src1')")
+_select("q_attr_regex", tables.documents, "file[name~='^[1-4]+$']", ["node"], "SELECT source || '/' || doc_id AS node FROM documents WHERE regexp_matches(CAST(doc_id AS VARCHAR), '^[1-4]+$')")
+_select("q_path_scoped", tables.trade, "dir#AFRICA dir file[name$=1]", ["node"], f"WITH {_PLACES}, {_SUPPLIERS} SELECT path AS node FROM people WHERE r_name = 'AFRICA' AND ends_with(c_name, '1') UNION ALL SELECT node FROM suppliers WHERE starts_with(node, 'AFRICA/') AND ends_with(node, '1')")
+_select("q_any", tables.trade, "file:any(> struct field#l7)", ["node"], f"WITH {_PLACES} SELECT DISTINCT path AS node FROM people JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 7")
+_select("q_empty", tables.conversations, "file:empty(method#system)", ["node"], "SELECT DISTINCT 'conv/' || conv_id AS node FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system')")
+_select("q_all", tables.conversations, "file:all(> method[name^=user | name^=assistant])", ["node"], "SELECT 'conv/' || conv_id AS node FROM conversations GROUP BY conv_id HAVING bool_and(starts_with(role, 'user') OR starts_with(role, 'assistant'))")
+_select("q_first", tables.conversations, "file > method#user:first", ["node"], f"WITH {_TURNS} SELECT node FROM turns WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1")
+_select("q_last", tables.conversations, "file > method:last", ["node"], f"WITH {_TURNS} SELECT node FROM turns QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1")
+_select("q_out_call", tables.conversations, "method#assistant::out.call", ["host", "type"], f"WITH {_TURNS} SELECT node AS host, '::out.call' AS type FROM turns WHERE role = 'assistant' AND turn > (SELECT min(t.turn) FROM turns t WHERE t.conv_id = turns.conv_id)")
+_select("q_in_call", tables.trade, "file[name^=Supplier]::in.call", ["n", "host"], f"WITH {_SUPPLIERS} SELECT count(*) AS n, node AS host FROM lineitem JOIN suppliers ON l_suppkey = s_suppkey GROUP BY node", lambda d: d.groupBy("host").agg(F.count(F.lit(1)).alias("n")))
+_select("q_cross", tables.trade, "field#l1::out.call > file", ["node"], f"WITH {_SUPPLIERS} SELECT DISTINCT node FROM lineitem JOIN suppliers ON l_suppkey = s_suppkey WHERE l_linenumber = 1")
+_select("q_hops", tables.events, "field#purchase::out.call{2,3} > *", ["node"], f"WITH {_NEXT}, two AS (SELECT a.src, b.dst FROM pairs a JOIN pairs b ON a.dst = b.src), three AS (SELECT t.src, c.dst FROM two t JOIN pairs c ON t.dst = c.src), far AS (SELECT DISTINCT dst FROM (SELECT * FROM two UNION ALL SELECT * FROM three) JOIN events e ON e.event_id = src WHERE e.event_type = 'purchase' AND dst IS NOT NULL) SELECT 'user/' || user_id || '#' || event_id AS node FROM far JOIN events ON event_id = dst")
+_select("q_reachable", tables.conversations, "method#system::in.call{1,} > *", ["node"], f"WITH {_TURNS} SELECT t.node FROM turns t WHERE EXISTS (SELECT 1 FROM turns s WHERE s.conv_id = t.conv_id AND s.role = 'system' AND s.turn < t.turn)")
+_select("q_dead_code", tables.conversations, "method:where(::in:empty)", ["node"], f"WITH {_TURNS} SELECT node FROM turns QUALIFY turn = max(turn) OVER (PARTITION BY conv_id)")
+_select("q_parents", tables.documents, "file.fr::out.import > file:parents(dir)", ["node"], "WITH RECURSIVE copies AS (SELECT doc_id, lag(doc_id) OVER (PARTITION BY text ORDER BY doc_id) AS before, source, lang FROM documents), start AS (SELECT before AS id FROM copies WHERE lang = 'fr' AND before IS NOT NULL), up AS (SELECT id FROM start UNION SELECT c.doc_id FROM up JOIN copies c ON c.before = up.id) SELECT DISTINCT d.source AS node FROM up JOIN documents d ON d.doc_id = up.id")
+_select("q_copies_in", tables.documents, "file:any(::in.import)", ["node"], "SELECT source || '/' || doc_id AS node FROM documents QUALIFY lead(doc_id) OVER (PARTITION BY text ORDER BY doc_id) IS NOT NULL")
+_select("q_is_chain", tables.documents, "file:is(dir#src0 > file)", ["node"], "SELECT source || '/' || doc_id AS node FROM documents WHERE source = 'src0'")
+_select("q_group", tables.trade, "(dir dir){1}", ["node"], "SELECT r_name || '/' || n_name AS node FROM nation JOIN region ON n_regionkey = r_regionkey")
+
+_add("q_class_counts", "SELECT 'project' AS type, 1 AS n UNION ALL SELECT 'dir', count(*) + 1 + (SELECT count(*) FROM region) FROM nation UNION ALL SELECT 'file', (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) UNION ALL SELECT 'struct', count(*) FROM orders UNION ALL SELECT 'field', count(*) FROM lineitem UNION ALL SELECT 'type', count(*) FROM part", lambda s, d: text.class_counts(tables.trade(s, d)))
+_NAMES = f"WITH {_LINES}, names AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM lines)"
+_add("q_name_freq", f"{_NAMES} SELECT name, count(*) AS n FROM names GROUP BY name", lambda s, d: text.name_freq(tables.documents(s, d)))
+_add("q_cardinality", f"{_NAMES} SELECT count(DISTINCT name) AS n FROM names", lambda s, d: text.cardinality(tables.documents(s, d)))
+_add("q_search", f"WITH {_LINES}, ok AS (SELECT * FROM lines WHERE node NOT IN (SELECT node FROM lines WHERE length(text) > 5000)), hits AS (SELECT node, line, unnest(regexp_extract_all(text, 'License|password')) AS hit FROM ok) SELECT node AS path, line, hit, count(*) AS n FROM hits GROUP BY ALL", lambda s, d: text.search(tables.documents(s, d), "License|password").groupBy("path", "line", "hit").agg(F.count(F.lit(1)).alias("n")))
+_add("q_histogram", f"WITH {_PLACES} SELECT path, 'struct' AS type, count(*) AS n FROM people JOIN orders ON o_custkey = c_custkey GROUP BY path UNION ALL SELECT path, 'field', count(*) FROM people JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY path UNION ALL SELECT 'parts', 'type', count(*) FROM part", lambda s, d: text.histogram(tables.trade(s, d)))
+_add("q_debounce", "WITH e AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 3600000000 THEN 0 ELSE 1 END AS cut FROM events), r AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM e) SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM r GROUP BY user_id, run", lambda s, d: incremental.debounce(tables.table(s, d, "events"), "user_id", "ts", 3_600_000))
+_add("q_latest_state", "SELECT user_id, arg_max(event_type, ts) AS event_type, max(ts) AS ts FROM events GROUP BY user_id", lambda s, d: incremental.latest(tables.table(s, d, "events").select("user_id", "ts", "event_type"), "user_id", ["ts"]))
+_add("q_lookup_dedup", f"WITH {_TURNS} SELECT conv_id, role, max(turn) AS turn FROM turns GROUP BY conv_id, role", lambda s, d: incremental.lookup(tables.table(s, d, "conversations").select(F.col("conv_id").alias("path"), F.lit(1).alias("line"), F.col("role").alias("col"), F.col("turn").alias("conf"), F.col("role").alias("name"))).select(F.col("path").alias("conv_id"), F.col("col").alias("role"), F.col("conf").alias("turn")))
+_add("q_replace_keys", "SELECT user_id, event_type, value FROM events WHERE event_type = 'purchase' UNION ALL SELECT user_id, event_type, value FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')", lambda s, d: incremental.replace_keys(*(lambda e: (e, e.where("event_type = 'purchase'")))(tables.table(s, d, "events").select("user_id", "event_type", "value")), "user_id"))
+_add("q_fold", "WITH log AS (SELECT event_id AS seq, user_id, event_type FROM events) SELECT CAST(user_id AS VARCHAR) AS \"table\", event_type AS \"column\", max(seq) AS seq FROM log GROUP BY user_id, event_type HAVING arg_max(seq, seq) % 3 <> 0", lambda s, d: incremental.fold(_ddl(tables.table(s, d, "events"))))
+
+
+def _ddl(events: DataFrame) -> DataFrame:
+    """Events as a log: every third drops the column that its type names, others add it; users are tables made at the start."""
+    log = events.select(F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 == 0, "drop").otherwise("add").alias("op"), F.col("user_id").cast("string").alias("table"), F.col("event_type").alias("column"))
+    made = log.select(F.lit(-1).cast("long").alias("seq"), F.lit("create").alias("op"), "table", F.lit(None).cast("string").alias("column")).distinct()
+    return log.unionByName(made)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _QUERIES["q_grep_lines"](spark, sf_dir)
