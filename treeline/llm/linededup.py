@@ -73,8 +73,8 @@ def _spots(docs: DataFrame, min_chars: int) -> DataFrame:
 
 def _strip(docs: DataFrame, drops: DataFrame) -> DataFrame:
     """docs with n_lines, n_dropped and the text of the lines that stay as kept_text."""
-    gone = drops.groupBy("row").agg(F.flatten(F.collect_list("spots")).alias("__gone"))
-    joined = docs.join(gone, docs["__row"] == gone["row"], "left").drop("row")
+    gone = drops.groupBy(F.col("row").alias("__gone_row")).agg(F.flatten(F.collect_list("spots")).alias("__gone"))
+    joined = docs.join(gone, docs["__row"] == gone["__gone_row"], "left")
     fields = joined.schema
     names = [f.name for f in fields if not f.name.startswith("__")]
 
