@@ -15,13 +15,19 @@ from treeline.llm.common import stored
 from treeline.llm.toxicity import fold
 
 
+def _aside(docs: DataFrame, *names: str) -> tuple[dict[str, str], dict[str, str]]:
+    """Renames, there and back, for columns of docs that an operator's results would clash with."""
+    own = {c: f"own {c}" for c in docs.columns if c in names}
+    return own, {v: k for k, v in own.items()}
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.7 or more stay; the classifier learns from labels with crc32(doc_id) mod 4 other than 2."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels, "quality", fold(F.col("doc_id"), 4) != 2)
-    own = {c: f"__kept_{c}" for c in docs.columns if c in ("score", "predicted")}
+    own, back = _aside(docs, "score", "predicted")
     scored = quality.score(docs.withColumnsRenamed(own), model)
-    return scored.where("predicted = 1").drop("score", "predicted").withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
+    return scored.where("predicted = 1").drop("score", "predicted").withColumnsRenamed(back).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,14 +35,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents that lose all their text go: each of their lines is in another document.
     """
-    clean = linededup.dedup_lines(docs, min_docs=10, min_chars=1, keep_first=True)
+    own, back = _aside(docs, "n_lines", "n_dropped", "kept_text")
+    clean = linededup.dedup_lines(docs.withColumnsRenamed(own), min_docs=10, min_chars=1, keep_first=True)
     changed = F.col("n_dropped") > 0
     out = clean.where(~changed | (F.length("kept_text") > 0))
     text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
     new = {"text": text}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(changed, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.withColumns(new).select(*docs.columns)
+    return out.withColumns(new).drop("n_lines", "n_dropped", "kept_text").withColumnsRenamed(back).select(*docs.columns)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

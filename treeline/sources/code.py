@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeline.sources.tables import split_lines
-from treeline.workspace import ROOT, Workspace, both_directions, node_id, project
+from treeline.workspace import Workspace, both_directions, node_id, project, root
 
 # Extensions and languages; folders that hold no source.
 EXTENSIONS = {"go": "go", "ts": "typescript", "tsx": "typescript", "js": "typescript", "jsx": "typescript", "mjs": "typescript", "cjs": "typescript", "py": "python", "pyi": "python"}
@@ -33,6 +33,7 @@ Decl = tuple  # (sym, cls, leaf, start, end, name_line, name_col, body_line)
 
 def python_decls(text: str) -> list[Decl]:
     out: list[Decl] = []
+    lines = text.split("\n")
 
     def visit(body: list, prefix: str, in_class: bool) -> None:
         for n in body:
@@ -40,7 +41,8 @@ def python_decls(text: str) -> list[Decl]:
             if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 cls = "class" if isinstance(n, ast.ClassDef) else "ctor" if in_class and n.name == "__init__" else "method" if in_class else "func"
                 sym = prefix + n.name
-                out.append((sym, cls, n.name, start, n.end_lineno, n.lineno, n.col_offset + 1, n.body[0].lineno - 1))
+                name_col = len(lines[n.lineno - 1]) - len(re.sub(r"^\s*(?:async\s+)?(?:def|class)\s+", "", lines[n.lineno - 1])) + 1
+                out.append((sym, cls, n.name, start, n.end_lineno, n.lineno, name_col, n.body[0].lineno - 1))
                 if cls != "class":
                     a = n.args
                     for x in [*a.posonlyargs, *a.args, *([a.vararg] if a.vararg else []), *a.kwonlyargs, *([a.kwarg] if a.kwarg else [])]:
@@ -214,10 +216,10 @@ def _parse(what: str):
     return run
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
+def scan(spark: SparkSession, folder: str) -> DataFrame:
     """(path, content) of the text files below a folder; noise folders and binary files are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= MOST_BYTES)
-    base = root.split("://")[-1].rstrip("/") + "/"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(F.col("length") <= MOST_BYTES)
+    base = folder.split("://")[-1].rstrip("/") + "/"
     path = F.substring_index("path", base, -1)
     clean = files.where(~F.substring("content", 1, 8192).cast("string").contains("\x00"))
     return clean.select(path.alias("path"), F.col("content").cast("string").alias("content")).where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, NOISE))))
@@ -233,7 +235,7 @@ def workspace(files: DataFrame, name: str = "workspace", definitions: DataFrame
     paths = rows.select("path", "lang", F.slice(parts, 1, F.size(parts) - 1).alias("dirs"))
     dir_ids = F.transform(F.sequence(F.lit(1), F.size("dirs")), lambda n: F.xxhash64(F.lit("dir"), F.array_join(F.slice("dirs", 1, n), "/")))
     dir_ids = F.when(F.size("dirs") > 0, dir_ids).otherwise(F.expr("cast(array() as array<bigint>)"))
-    above = paths.withColumn("anc", F.concat(F.array(ROOT), dir_ids))
+    above = paths.withColumn("anc", F.concat(F.array(root()), dir_ids))
     file = node_id("file", F.col("path"))
     none = F.lit(None)
     pick = ["id", "cls", "leaf", "full", "addr", "path", "lang", "parent", "anc", "file_id", "ord", "start", "end", "body_line", "comment_start", "comment_end", "sym"]

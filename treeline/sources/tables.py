@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from treeline.workspace import ROOT, Workspace, both_directions, node_id, node_rows, project, union
+from treeline.workspace import Workspace, both_directions, node_id, node_rows, project, root, union
 
 EMPTY_EDGES = "src long, dst long, kind string, pos string, conf string, site string"
 
@@ -36,8 +36,8 @@ def documents(spark: SparkSession, sf_dir: str) -> Workspace:
     path = F.concat(source, F.lit("/"), F.col("doc_id").cast("string"))
     folder = node_id("dir", source)
     file = node_id("file", F.col("doc_id"))
-    dirs = node_rows(docs.select("source").distinct(), "dir", [source], source, source, source, [ROOT], source)
-    files = node_rows(docs, "file", [F.col("doc_id")], F.col("doc_id").cast("string"), path, path, [ROOT, folder], F.concat_ws("\x01", source, _number("doc_id")), F.col("lang"))
+    dirs = node_rows(docs.select("source").distinct(), "dir", [source], source, source, source, [root()], source)
+    files = node_rows(docs, "file", [F.col("doc_id")], F.col("doc_id").cast("string"), path, path, [root(), folder], F.concat_ws("\x01", source, _number("doc_id")), F.col("lang"))
     copies = docs.select(file.alias("src"), "doc_id", F.sha2("text", 256).alias("digest"))
     before = F.lag("src").over(Window.partitionBy("digest").orderBy("doc_id"))
     out = copies.withColumn("dst", before).where("dst is not null and digest is not null").select("src", "dst", F.lit("import").alias("kind"), F.lit("").alias("pos"), F.lit("lexical").alias("conf"), F.lit("copy").alias("site"))
@@ -49,10 +49,10 @@ def conversations(spark: SparkSession, sf_dir: str) -> Workspace:
     turns = table(spark, sf_dir, "conversations")
     path = F.concat(F.lit("conv/"), F.col("conv_id").cast("string"))
     file = node_id("file", F.col("conv_id"))
-    files = node_rows(turns.select("conv_id").distinct(), "file", [F.col("conv_id")], F.col("conv_id").cast("string"), path, path, [ROOT], _number("conv_id"))
+    files = node_rows(turns.select("conv_id").distinct(), "file", [F.col("conv_id")], F.col("conv_id").cast("string"), path, path, [root()], _number("conv_id"))
     name = F.concat(F.col("role"), F.lit("."), F.col("turn").cast("string"))
     turn = node_id("method", F.col("conv_id"), F.col("turn"))
-    methods = node_rows(turns, "method", [F.col("conv_id"), F.col("turn")], F.col("role"), F.concat(path, F.lit("#"), name), path, [ROOT, file], F.concat_ws("\x01", _number("conv_id"), _number("turn")), full=name, file_id=turn)
+    methods = node_rows(turns, "method", [F.col("conv_id"), F.col("turn")], F.col("role"), F.concat(path, F.lit("#"), name), path, [root(), file], F.concat_ws("\x01", _number("conv_id"), _number("turn")), full=name, file_id=turn)
     last = Window.partitionBy("conv_id").orderBy("turn")
     out = turns.select(turn.alias("src"), F.lag(turn).over(last).alias("dst")).where("dst is not null").select("src", "dst", F.lit("call").alias("kind"), F.lit("").alias("pos"), F.lit("lexical").alias("conf"), F.lit("turn").alias("site"))
     return Workspace(union([project(spark, "conversations"), files, methods]), split_lines(turns, turn, F.col("text")), both_directions(out), {})
@@ -63,9 +63,9 @@ def events(spark: SparkSession, sf_dir: str) -> Workspace:
     rows = table(spark, sf_dir, "events")
     path = F.concat(F.lit("user/"), F.col("user_id").cast("string"))
     file = node_id("file", F.col("user_id"))
-    files = node_rows(rows.select("user_id").distinct(), "file", [F.col("user_id")], F.col("user_id").cast("string"), path, path, [ROOT], _number("user_id"))
+    files = node_rows(rows.select("user_id").distinct(), "file", [F.col("user_id")], F.col("user_id").cast("string"), path, path, [root()], _number("user_id"))
     event = node_id("field", F.col("event_id"))
-    fields = node_rows(rows, "field", [F.col("event_id")], F.col("event_type"), F.concat(path, F.lit("#"), F.col("event_id").cast("string")), path, [ROOT, file], F.concat_ws("\x01", _number("user_id"), F.date_format("ts", "yyyyMMddHHmmss.SSSSSS"), _number("event_id")), full=F.concat_ws(".", "event_type", F.col("event_id").cast("string")), file_id=event)
+    fields = node_rows(rows, "field", [F.col("event_id")], F.col("event_type"), F.concat(path, F.lit("#"), F.col("event_id").cast("string")), path, [root(), file], F.concat_ws("\x01", _number("user_id"), F.date_format("ts", "yyyyMMddHHmmss.SSSSSS"), _number("event_id")), full=F.concat_ws(".", "event_type", F.col("event_id").cast("string")), file_id=event)
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     out = rows.select(event.alias("src"), F.lead(event).over(order).alias("dst")).where("dst is not null").select("src", "dst", F.lit("call").alias("kind"), F.lit("").alias("pos"), F.lit("lexical").alias("conf"), F.lit("next").alias("site"))
     return Workspace(union([project(spark, "events"), files, fields]), split_lines(rows, event, F.col("props")), both_directions(out), {})
@@ -81,13 +81,13 @@ def trade(spark: SparkSession, sf_dir: str) -> Workspace:
     supplier, part, orders, lineitem = (table(spark, sf_dir, t) for t in ("supplier", "part", "orders", "lineitem"))
     r_id, n_id = node_id("dir", F.lit("r"), F.col("r_regionkey")), node_id("dir", F.lit("n"), F.col("n_nationkey"))
     places = nation.join(region, nation.n_regionkey == region.r_regionkey)
-    r_rows = node_rows(region, "dir", [F.lit("r"), F.col("r_regionkey")], F.col("r_name"), F.col("r_name"), F.col("r_name"), [ROOT], F.col("r_name"))
+    r_rows = node_rows(region, "dir", [F.lit("r"), F.col("r_regionkey")], F.col("r_name"), F.col("r_name"), F.col("r_name"), [root()], F.col("r_name"))
     n_path = F.concat_ws("/", "r_name", "n_name")
-    n_rows = node_rows(places, "dir", [F.lit("n"), F.col("n_nationkey")], F.col("n_name"), n_path, n_path, [ROOT, r_id], F.concat_ws("\x01", "r_name", "n_name"))
+    n_rows = node_rows(places, "dir", [F.lit("n"), F.col("n_nationkey")], F.col("n_name"), n_path, n_path, [root(), r_id], F.concat_ws("\x01", "r_name", "n_name"))
     people = customer.join(places, customer.c_nationkey == places.n_nationkey)
     c_path = F.concat_ws("/", "r_name", "n_name", "c_name")
     c_id = node_id("file", F.lit("c"), F.col("c_custkey"))
-    c_anc = [ROOT, r_id, n_id]
+    c_anc = [root(), r_id, n_id]
     c_rows = node_rows(people, "file", [F.lit("c"), F.col("c_custkey")], F.col("c_name"), c_path, c_path, c_anc, F.concat_ws("\x01", "r_name", "n_name", _number("c_custkey")))
     s_path = F.concat_ws("/", "r_name", "n_name", "s_name")
     s_rows = node_rows(supplier.join(places, supplier.s_nationkey == places.n_nationkey), "file", [F.lit("s"), F.col("s_suppkey")], F.col("s_name"), s_path, s_path, c_anc, F.concat_ws("\x01", "r_name", "n_name", _number("s_suppkey")))
@@ -102,9 +102,9 @@ def trade(spark: SparkSession, sf_dir: str) -> Workspace:
     l_id = node_id("field", F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_at"))
     l_rows = node_rows(placed, "field", [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_at")], F.concat(F.lit("l"), F.col("l_linenumber").cast("string")), F.concat(c_path, F.lit("#"), o_name, F.lit("."), l_name), c_path, [*c_anc, c_id, o_id], F.concat_ws("\x01", *o_ord, _number("l_linenumber", 4), _number("l_at", 8)), full=F.concat_ws(".", o_name, l_name), file_id=c_id)
     shelf = node_id("dir", F.lit("p"))
-    shelf_row = node_rows(spark.range(1), "dir", [F.lit("p")], F.lit("parts"), F.lit("parts"), F.lit("parts"), [ROOT], F.lit("parts"))
+    shelf_row = node_rows(spark.range(1), "dir", [F.lit("p")], F.lit("parts"), F.lit("parts"), F.lit("parts"), [root()], F.lit("parts"))
     p_name = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
-    p_rows = node_rows(part, "type", [F.col("p_partkey")], p_name, F.concat(F.lit("parts#"), p_name), F.lit("parts"), [ROOT, shelf], F.concat_ws("\x01", F.lit("parts"), _number("p_partkey")))
+    p_rows = node_rows(part, "type", [F.col("p_partkey")], p_name, F.concat(F.lit("parts#"), p_name), F.lit("parts"), [root(), shelf], F.concat_ws("\x01", F.lit("parts"), _number("p_partkey")))
     uses = lines.select(l_id.alias("src"), node_id("type", F.col("l_partkey")).alias("dst"), F.lit("type").alias("kind"))
     calls = lines.select(l_id.alias("src"), node_id("file", F.lit("s"), F.col("l_suppkey")).alias("dst"), F.lit("call").alias("kind"))
     out = uses.union(calls).select("src", "dst", "kind", F.lit("").alias("pos"), F.lit("lexical").alias("conf"), F.col("kind").alias("site"))
@@ -123,7 +123,7 @@ def pages(spark: SparkSession, sf_dir: str) -> Workspace:
     host = F.coalesce(F.lower(F.regexp_extract("url", "://([^/?#]*)", 1)), F.lit(""))
     path = F.concat(host, F.lit("/"), F.col("page_id").cast("string"))
     file = node_id("file", F.col("page_id"))
-    dirs = node_rows(rows.select(host.alias("host")).distinct(), "dir", [F.col("host")], F.col("host"), F.col("host"), F.col("host"), [ROOT], F.col("host"))
-    files = node_rows(rows, "file", [F.col("page_id")], F.col("page_id").cast("string"), path, path, [ROOT, node_id("dir", host)], F.concat_ws("\x01", host, _number("page_id")))
+    dirs = node_rows(rows.select(host.alias("host")).distinct(), "dir", [F.col("host")], F.col("host"), F.col("host"), F.col("host"), [root()], F.col("host"))
+    files = node_rows(rows, "file", [F.col("page_id")], F.col("page_id").cast("string"), path, path, [root(), node_id("dir", host)], F.concat_ws("\x01", host, _number("page_id")))
     none = spark.createDataFrame([], EMPTY_EDGES)
     return Workspace(union([project(spark, "pages"), dirs, files]), split_lines(rows, file, F.col("html")), both_directions(none), {})

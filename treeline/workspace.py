@@ -25,7 +25,9 @@ def node_id(*key: Column | str) -> Column:
     return F.xxhash64(*[F.lit(k) if isinstance(k, str) else k for k in key])
 
 
-ROOT = node_id("project")
+def root() -> Column:
+    """The project's id; made on use, as columns need a running session."""
+    return node_id("project")
 
 
 def node_rows(df: DataFrame, cls: str, key: list[Column], leaf: Column, addr: Column, path: Column, parent_anc: list[Column], ord_: Column, lang: Column | None = None, full: Column | None = None, file_id: Column | None = None, start: Column | None = None, end: Column | None = None) -> DataFrame:
@@ -39,7 +41,7 @@ def node_rows(df: DataFrame, cls: str, key: list[Column], leaf: Column, addr: Co
 
 
 def project(spark, name: str) -> DataFrame:
-    return spark.range(1).select(ROOT.alias("id"), F.lit("project").alias("cls"), F.lit(name).alias("leaf"), F.lit(name).alias("full"), F.lit(name).alias("addr"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("long").alias("parent"), F.array(ROOT).alias("anc"), F.lit(None).cast("long").alias("file_id"), F.lit("").alias("ord"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
+    return spark.range(1).select(root().alias("id"), F.lit("project").alias("cls"), F.lit(name).alias("leaf"), F.lit(name).alias("full"), F.lit(name).alias("addr"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("long").alias("parent"), F.array(root()).alias("anc"), F.lit(None).cast("long").alias("file_id"), F.lit("").alias("ord"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
 
 
 def union(frames: list[DataFrame]) -> DataFrame:
