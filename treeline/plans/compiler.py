@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeline.functions.patterns import attribute, matches
+from treeline.operators import conflicts
 from treeline.plans.selector import Bool, Chain, Compound, Edge, Element, Generated, Pseudo, SelectorError, parse
 from treeline.workspace import Workspace, node_id
 
@@ -76,7 +77,7 @@ class Compiler:
         return reduce(lambda a, b: a.union(b), [p.select("anchor", "id") for p, _ in parts]).distinct(), kinds.pop()
 
     def chain(self, steps: Chain, start: DataFrame | None = None, relaxed: bool = False) -> tuple[DataFrame, str]:
-        tips, kind = start, "node"
+        tips, kind, steps = start, "node", unfolded(steps)
         for n, (comb, e) in enumerate(steps):
             if relaxed and n == len(steps) - 1:
                 e = relax(e)
@@ -150,6 +151,8 @@ class Compiler:
     # -- edges ---------------------------------------------------------------
     def edges(self, e: Edge) -> DataFrame:
         edges = self.ws.edges.where(F.col("dir") == e.direction)
+        if "implements" not in e.kinds:  # a relation of its own, crossed only by name
+            edges = edges.where("kind <> 'implements'")
         for kind in e.kinds:
             edges = edges.where((F.col("kind") == kind) | (F.col("pos") == kind))
         if e.ids or e.tests:
@@ -332,7 +335,10 @@ class Compiler:
             hits = span.join(self.ws.lines, "file_id").where("line between low and high").groupBy("host", F.col("low").alias("line")).agg(text.alias("text"))
             hits = hits.withColumns({"before": F.expr("cast(array() as array<string>)"), "after": F.expr("cast(array() as array<string>)")})
         else:
-            raise SelectorError(f"::{g.name} needs the conflict operator")
+            none = F.expr("cast(array() as array<string>)")
+            files = self.ws.nodes.where("cls = 'file'").join(tips.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("host"), "file_id")
+            hits = conflicts.fragments(self.ws.lines.join(files, "file_id", "left_semi"), g.name)
+            hits = files.join(hits, "file_id").select("host", "line", "text", none.alias("before"), none.alias("after"))
         out = hosts.join(hits, "host").select("anchor", node_id(g.name, F.col("host"), F.col("line")).alias("id"), "host", "line", "text", "before", "after")
         for p in g.pseudos:
             if p.name not in ("first", "last"):
@@ -342,6 +348,13 @@ class Compiler:
         return out
 
 
+def unfolded(steps: Chain) -> Chain:
+    """A side of a ::conflict is the file's side: the region between them goes, unless it is filtered itself."""
+    body = lambda i: steps[i][1].body
+    inner = {i for i in range(len(steps) - 1) if isinstance(body(i), Generated) and body(i).name == "conflict" and not body(i).pseudos and isinstance(body(i + 1), Generated)}
+    return [s for i, s in enumerate(steps) if i not in inner]
+
+
 def plain(c: Compound) -> bool:
     return not (c.tag or c.langs or c.ids or c.tests or c.pseudos or c.self_ref)
 
@@ -366,7 +379,7 @@ def query(ws: Workspace, selector: str) -> DataFrame:
     last = chains[0][-1][1].body
     if isinstance(last, Generated):
         parts = []
-        for c in chains:
+        for c in map(unfolded, chains):
             head = c[:-1] or [(" ", Element(Compound()))]
             tips, kind = compiler.chain(head)
             parts.append(compiler.fragments(compiler.cross(tips) if kind == "edge" else tips, c[-1][1].body))

@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from treeline.sources import languages
 from treeline.sources.tables import split_lines
 from treeline.workspace import Workspace, both_directions, node_id, project, root
 
 # Extensions and languages; folders that hold no source.
-EXTENSIONS = {"go": "go", "ts": "typescript", "tsx": "typescript", "js": "typescript", "jsx": "typescript", "mjs": "typescript", "cjs": "typescript", "py": "python", "pyi": "python"}
+EXTENSIONS = {"go": "go", "ts": "typescript", "tsx": "typescript", "js": "typescript", "jsx": "typescript", "mjs": "typescript", "cjs": "typescript", "py": "python", "pyi": "python", "java": "java", "kt": "kotlin", "kts": "kotlin", "groovy": "groovy", "gradle": "groovy", "gvy": "groovy", "gy": "groovy", "c": "c", "cpp": "cpp", "cc": "cpp", "h": "cpp", "hpp": "cpp", "sql": "sql", "psql": "sql", "xml": "xml", "md": "markdown", "markdown": "markdown"}
+BRACED = ("go", "typescript")
 NOISE = (".git", "node_modules", "vendor", "__pycache__", "dist", "build", ".idea", ".vscode")
 # Words of the languages that are never references.
 KEYWORDS = frozenset("break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var string int int64 int32 bool error byte rune float64 any nil true false class extends implements constructor function let new this super export from as async await static public private protected readonly number boolean void null undefined typeof instanceof in of throw try catch finally enum def lambda pass raise yield with not and or is None True False self cls elif except global nonlocal del assert".split())
@@ -170,7 +172,9 @@ def brace_decls(text: str, lang: str) -> list[Decl]:
 
 def sites_of(text: str, lang: str) -> list[tuple[str, int, int, str]]:
     """(name, line, column, kind) of every identifier outside comments and strings that is no keyword."""
-    plain = _blank(text) if lang != "python" else re.sub(r"#[^\n]*", lambda m: " " * len(m[0]), text)
+    if lang == "markdown":
+        return [(*name, "") for name in languages.markdown_names(text)]
+    plain = languages.blank(text, sql=True) if lang == "sql" else text if lang == "xml" else _blank(text) if lang != "python" else re.sub(r"#[^\n]*", lambda m: " " * len(m[0]), text)
     out = []
     for n, line in enumerate(plain.split("\n"), 1):
         importing = bool(re.match(r"\s*(?:import|from)\b", line))
@@ -196,7 +200,7 @@ def _parse(what: str):
                     types, names = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()], [c.split()[0] for c in SITES.split(", ")]
                 else:
                     try:
-                        found = python_decls(text) if lang == "python" else brace_decls(text, lang)
+                        found = python_decls(text) if lang == "python" else brace_decls(text, lang) if lang in BRACED else languages.read(text, lang)
                     except SyntaxError:
                         found = []
                     seen: dict[tuple, int] = {}
@@ -225,8 +229,13 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
     return clean.select(path.alias("path"), F.col("content").cast("string").alias("content")).where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, NOISE))))
 
 
-def workspace(files: DataFrame, name: str = "workspace", definitions: DataFrame | None = None) -> Workspace:
-    """The tables over files (path, content). definitions (path, line, col, def_path, def_line), if any, settles ambiguous edges."""
+def workspace(files: DataFrame, name: str = "workspace", definitions: DataFrame | None = None, implements: DataFrame | None = None) -> Workspace:
+    """The tables over files (path, content).
+
+    definitions (path, line, col, def_path, def_line), if any, settles ambiguous
+    edges. implements (path, sym, of_path, of_sym), if any, says which types
+    implement which; without it no ``.implements`` edge is known.
+    """
     spark = files.sparkSession
     lang = F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv])[F.lower(F.regexp_extract("path", r"\.(\w+)$", 1))]
     rows = files.select("path", lang.alias("lang"), "content")
@@ -254,7 +263,14 @@ def workspace(files: DataFrame, name: str = "workspace", definitions: DataFrame
     top = project(spark, name)
     top = top.select(*top.columns, *[none.cast("int").alias(c) for c in ("body_line", "comment_start", "comment_end")], none.cast("string").alias("sym"))
     nodes = top.select(pick).unionByName(d_rows.select(pick)).unionByName(f_rows.select(pick)).unionByName(s_rows.select(pick))
-    return Workspace(nodes, split_lines(files, file, F.col("content")), _edges(rows, s_rows, definitions))
+    edges = _edges(rows, s_rows, definitions)
+    if implements is not None:
+        known = s_rows.select("id")
+        id_of = lambda path, sym: F.xxhash64(F.lit("symbol"), F.col(path), F.col(sym))
+        pairs = implements.select(id_of("path", "sym").alias("src"), id_of("of_path", "of_sym").alias("dst"), F.lit("implements").alias("kind"), F.lit("").alias("pos"), F.lit("lsp").alias("conf"), F.lit("implements").alias("site")).distinct()
+        pairs = pairs.join(known.toDF("src"), "src", "left_semi").join(known.toDF("dst"), "dst", "left_semi")
+        edges = edges.unionByName(both_directions(pairs))
+    return Workspace(nodes, split_lines(files, file, F.col("content")), edges)
 
 
 def _edges(rows: DataFrame, symbols: DataFrame, definitions: DataFrame | None) -> DataFrame:
