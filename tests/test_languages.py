@@ -6,7 +6,7 @@ import json
 
 import pytest
 
-from treeline.operators import conflicts, references, results
+from treeline.operators import conflicts, edits, references, results, text
 from treeline.plans.compiler import query
 from treeline.plans.selector import SelectorError
 from treeline.sources import code, languages
@@ -129,3 +129,24 @@ def test_explain_and_hint(ws):
     assert results.hint(ws, "class#Foo > method") is None
     assert "drop the tag" in results.hint(ws, "func#Repo")
     assert results.hint(ws, "class#Foo > func").startswith("step 2 finds nothing; the steps before")
+
+
+def test_rename_plan(ws):
+    plan = edits.rename_plan(ws, "Repo", "Store")
+    assert {(r["path"], r["line"], r["col"], r["action"]) for r in plan.collect()} == {("k/R.kt", 6, 7, "edit")}
+    assert [(r["before"], r["after"]) for r in edits.applied(ws, plan).collect()] == [("class Repo {", "class Store {")]
+    assert {r["action"] for r in edits.rename_plan(ws, "id", "key").where("path = 'db/s.sql' and line = 7").collect()} <= {"edit", "candidate"}
+    with pytest.raises(ValueError):
+        edits.rename_plan(ws, "a b", "c")
+
+
+def test_edits_of_one_line_go_from_the_right(spark, ws):
+    plan = spark.createDataFrame([("m.txt", 3, 1, "mine", "ours", "edit"), ("m.txt", 3, 6, "1", "one", "edit"), ("m.txt", 4, 1, "gone", "x", "edit"), ("m.txt", 9, 1, "two", "x", "candidate")], "path string, line int, col int, old string, new string, action string")
+    assert [(r["line"], r["after"]) for r in edits.applied(ws, plan).collect()] == [(3, "ours one")]
+
+
+def test_structure(ws):
+    names = lambda **k: [r["node"] for r in text.structure(ws, **k).collect()]
+    assert names(pattern="^Color$") == ["src", "src/Foo.java", "src/Foo.java#Foo", "src/Foo.java#Foo.Color", "src/Foo.java#Foo.Color.RED", "src/Foo.java#Foo.Color.GREEN", "src/Foo.java#Foo.Color.k"]
+    assert names(folder="db", depth=1) == ["db", "db/s.sql"]
+    assert len(names(limit=3)) == 3

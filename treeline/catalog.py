@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.operators import incremental, text
+from treeline.operators import incremental, references, results, text
 from treeline.plans.compiler import query
 from treeline.sources import tables
 
@@ -77,6 +77,13 @@ _add("q_lookup_dedup", f"WITH {_TURNS} SELECT conv_id, role, max(turn) AS turn F
 _add("q_replace_keys", "SELECT user_id, event_type, value FROM events WHERE event_type = 'purchase' UNION ALL SELECT user_id, event_type, value FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')", lambda s, d: incremental.replace_keys(*(lambda e: (e, e.where("event_type = 'purchase'")))(tables.table(s, d, "events").select("user_id", "event_type", "value")), "user_id"))
 _add("q_fold", "WITH log AS (SELECT event_id AS seq, user_id, event_type FROM events) SELECT CAST(user_id AS VARCHAR) AS \"table\", event_type AS \"column\", max(seq) AS seq FROM log GROUP BY user_id, event_type HAVING arg_max(seq, seq) % 3 <> 0", lambda s, d: incremental.fold(_ddl(tables.table(s, d, "events"))))
 
+_add("q_page", f"WITH {_TURNS} SELECT node FROM turns WHERE role = 'user' ORDER BY conv_id, turn LIMIT 20 OFFSET 40", lambda s, d: results.page(tables.conversations(s, d), "method#user", 20, 40).rows.select("node"))
+_add("q_languages", "SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang", lambda s, d: references.languages(tables.documents(s, d)))
+_add("q_symbol_search", f"{_NAMES.replace('SELECT unnest', 'SELECT node, line, unnest')} SELECT name, node AS path, line, count(*) AS n FROM names WHERE contains(lower(name), 'licen') GROUP BY ALL", lambda s, d: references.workspace_symbols(tables.documents(s, d), "licen").groupBy("name", "path", "line").agg(F.count(F.lit(1)).alias("n")))
+_add("q_ambiguous", f"WITH {_PLACES} SELECT 'l' || l_linenumber AS leaf, count(DISTINCT r_name || '/' || n_name) AS n_dirs FROM people JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1 HAVING count(DISTINCT r_name || '/' || n_name) > 1", lambda s, d: references.ambiguous(tables.trade(s, d)))
+_add("q_explain", "SELECT 1 AS alternative, 1 AS step, 'node' AS element, count(*) AS rows FROM region WHERE r_name = 'ASIA' UNION ALL SELECT 1, 2, 'node', count(*) FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'", lambda s, d: results.explain(tables.trade(s, d), "dir#ASIA > dir"))
+_add("q_structure", f"WITH {_PLACES}, hits AS (SELECT DISTINCT c_custkey, path, o_orderkey FROM people JOIN orders ON o_custkey = c_custkey WHERE o_orderkey % 1000 = 7 AND o_orderkey > 9) SELECT DISTINCT unnest([r_name, r_name || '/' || n_name, p.path, p.path || '#o' || o_orderkey]) AS node, unnest(['dir', 'dir', 'file', 'struct']) AS type FROM hits JOIN people p USING (c_custkey)", lambda s, d: text.structure(tables.trade(s, d), depth=4, pattern="^o[0-9]+007$", limit=None).select("node", "type"))
+
 
 def _ddl(events: DataFrame) -> DataFrame:
     """Events as a log: every third drops the column that its type names, others add it; users are tables made at the start."""

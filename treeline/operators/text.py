@@ -76,6 +76,29 @@ def outline(ws: Workspace, limit: int) -> DataFrame:
     return ws.nodes.orderBy("ord", "id").limit(limit).select(F.col("addr").alias("node"), F.col("cls").alias("type"), (F.size("anc") - 1).alias("depth"))
 
 
+def structure(ws: Workspace, folder: str = "", depth: int | None = None, pattern: str | None = None, limit: int | None = 250) -> DataFrame:
+    """(node, type, depth) in document order below a folder, to a depth.
+
+    With a pattern on names: the nodes that match, all that contains them, and
+    all below a matching file or symbol; a matching folder keeps only what matches.
+    """
+    nodes = ws.nodes.where("cls <> 'project'")
+    if folder:
+        inside = folder.rstrip("/") + "/"
+        nodes = nodes.where((F.col("path") == folder) | F.col("path").startswith(inside))
+    if pattern is not None:
+        hits = nodes.where(F.col("leaf").rlike(to_java(pattern)))
+        above = hits.select(F.explode("anc").alias("id"))
+        whole = hits.where("cls <> 'dir'").select(F.col("id").alias("a"))
+        below = nodes.select("id", F.explode("anc").alias("a")).join(whole, "a", "left_semi").select("id")
+        nodes = nodes.join(above.union(below).distinct(), "id", "left_semi")
+    out = nodes.select(F.col("addr").alias("node"), F.col("cls").alias("type"), (F.size("anc") - 1).alias("depth"), "ord", "id")
+    if depth is not None:
+        out = out.where(F.col("depth") <= depth + (folder.strip("/").count("/") + 1 if folder.strip("/") else 0))
+    out = out.orderBy("ord", "id")
+    return (out if limit is None else out.limit(limit)).select("node", "type", "depth")
+
+
 def histogram(ws: Workspace) -> DataFrame:
     """(path, type, n): symbols per class in each file."""
     return ws.nodes.where("cls not in ('project', 'dir', 'file')").groupBy("path", F.col("cls").alias("type")).agg(F.count(F.lit(1)).alias("n"))
