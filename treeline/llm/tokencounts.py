@@ -33,6 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from treeline.llm.common import stored
+
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # The pre-tokenisation pattern of the 50k byte-level vocabulary, and its free id.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -143,7 +145,8 @@ def _scan(eod: int):
 
 def counts(blocks: DataFrame, eod: int = EOD, chunk: int = 256) -> DataFrame:
     """(file, document, doc_id, n_tokens, closed) of every document in the blocks; document counts from 0 in its file."""
-    seen = blocks.mapInArrow(_scan(eod), "file string, block long, ids array<long>, seps long, head long, tail long, inner array<long>")
+    # Read three times below: stored, so that the tokens behind it are made and scanned once.
+    seen = stored(blocks.mapInArrow(_scan(eod), "file string, block long, ids array<long>, seps long, head long, tail long, inner array<long>"))
     seen = seen.withColumn("chunk", F.floor(F.col("block") / chunk))
     here = Window.partitionBy("file", "chunk").orderBy("block")
     before = here.rowsBetween(Window.unboundedPreceding, -1)
