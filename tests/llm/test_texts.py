@@ -95,6 +95,18 @@ def test_main_text():
     assert len(htmltext.main_text("<article><p>" + "word " * 200_000)) == 999_999
 
 
+def test_paths_are_scored_whatever_the_containers():
+    text = [f"Paragraph {i} has some words, with marks, and a second clause. It ends here." for i in range(8)]
+    body = "".join(f"<p>{t}</p>" for t in text)
+    want = "\n\n".join(text)
+    teaser = "<article class=card><h3>Other</h3><p>Read, too.</p></article>"
+    assert all(t in htmltext.main_text(f"<body><div id=story>{body}</div>{teaser}</body>") for t in text)
+    assert htmltext.main_text(f"<body><article>{body}</article><article><p>{text[0]}</p></article></body>") == f"{want}\n\n{text[0]}"
+    for page in (f"<div class='content share'>{body}</div>", f"<article><div class='content share'>{body}</div></article>"):
+        assert htmltext.main_text(f"<body>{page}<div class='share'><div class=comments><p>troll, no.</p></div></div></body>").startswith(want)
+    assert htmltext.main_text(f"<body><article>{body}<div class=comments>{body}</div></article></body>") == want
+
+
 def test_extract_query_keeps_every_row(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", "<p>a</p>")]
     out = htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()

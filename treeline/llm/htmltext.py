@@ -5,16 +5,20 @@ their class, role and id names). Per path the text length and the number of
 punctuation marks are summed and divided by the path's number of leaves; both
 ratios are smoothed over neighbouring leaves in page order (Gaussian of
 ``width`` leaves), scaled by the page's own mean, and fused as their geometric
-mean. Paths are content when
+mean. That score is multiplied by two factors, on every page alike:
 
-* no tag on them is one that never holds article text (menus, headers and
-  footers of the page, sidebars, forms, scripts, styles ...), nor is there a
-  class, id or role that names notices, adverts, comments and the like, and
-* they lie under the page's article (``article``, ``main``, role main), if it
-  has one; else their fused ratio reaches ``threshold`` times the page's mean.
+* names: each class, id or role on the path that names notices, adverts,
+  comments and the like lowers it to ``NAMED`` of itself. Such names count from
+  the least number of them that a fifth of the page's weight (fused ratio times
+  length) has, so a wrapper named so around the whole text changes nothing;
+* container: with a share h of the page's weight in its articles (``article``,
+  ``main``, role main), paths under these gain 1 + ``HOME`` * h and all others
+  1 - h, so a teaser card hardly counts and a page's own article does.
 
-Under an article the ratios only choose between several containers: the one
-with the largest fused sum, weighted by length, and its own kind.
+Paths whose product reaches ``threshold`` times the page's mean are content.
+Only elements that never hold article text (navigation, headers and footers of
+the page, sidebars, forms, scripts, styles ...) and hidden ones are left out
+whatever they score.
 
 Blocks are closed by block-level tags; inline tags don't break text. Character
 references are decoded, white space inside a block becomes one space, blocks
@@ -43,7 +47,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea title iframe object svg math select".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 NEVER = frozenset("nav header footer aside form script style noscript template button select textarea iframe head title menu dialog label input svg math".split())
-# Words in class, id and role names that mark what is no article text.
+# Words in class, id and role names that tell against article text, and the weights of names and articles.
+NAMED, HOME = 0.02, 9.0
 UNWANTED = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments comentarios complementary contentinfo consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice popup promo promoted recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 CLOSES = {"p": frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
@@ -53,18 +58,18 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¡¿]")
 
 
 class _Open:
-    __slots__ = ("tag", "path", "veto", "home")
+    __slots__ = ("tag", "path", "veto", "home", "named")
 
-    def __init__(self, tag: str, path: str, veto: bool, home: int):
-        self.tag, self.path, self.veto, self.home = tag, path, veto, home
+    def __init__(self, tag: str, path: str, veto: bool, home: bool, named: int):
+        self.tag, self.path, self.veto, self.home, self.named = tag, path, veto, home, named
 
 
-def leaves(page: str) -> list[tuple[int, str, str, bool, int]]:
-    """(block, path, raw text, vetoed, article) of each text leaf; article is 0 outside, else its number."""
-    out: list[tuple[int, str, str, bool, int]] = []
-    stack = [_Open("", "", False, 0)]
+def leaves(page: str) -> list[tuple[int, str, str, bool, bool, int]]:
+    """(block, path, raw text, vetoed, in an article, elements above it of unwanted names) of each text leaf."""
+    out: list[tuple[int, str, str, bool, bool, int]] = []
+    stack = [_Open("", "", False, False, 0)]
     depth: dict[str, int] = {}
-    block = homes = at = 0
+    block = at = 0
     lower = None
 
     def close(n: int) -> None:
@@ -80,14 +85,14 @@ def leaves(page: str) -> list[tuple[int, str, str, bool, int]]:
         end = m.start() if m else len(page)
         if end > at:
             top = stack[-1]
-            out.append((block, top.path, page[at:end], top.veto, top.home))
+            out.append((block, top.path, page[at:end], top.veto, top.home, top.named))
         if not m:
             break
         at = m.end()
         tag = m[2]
         if not tag:
             if m[0].startswith("<![CDATA["):
-                out.append((block, stack[-1].path, html.escape(m[0][9:].removesuffix("]]>"), False), stack[-1].veto, stack[-1].home))
+                out.append((block, stack[-1].path, html.escape(m[0][9:].removesuffix("]]>"), False), stack[-1].veto, stack[-1].home, stack[-1].named))
             continue
         tag = tag.lower()
         if m[1]:
@@ -111,7 +116,7 @@ def leaves(page: str) -> list[tuple[int, str, str, bool, int]]:
         if tag in VOID:
             if tag == "br":
                 top = stack[-1]
-                out.append((block, top.path, " ", top.veto, top.home))
+                out.append((block, top.path, " ", top.veto, top.home, top.named))
             continue
         attributes = m[3] or ""
         names: list[str] = []
@@ -122,11 +127,9 @@ def leaves(page: str) -> list[tuple[int, str, str, bool, int]]:
             if a.lower() == "role":
                 role = words[0]
         top = stack[-1]
-        veto = top.veto or (tag in NEVER and not (tag == "header" and top.home)) or (tag not in ("html", "body", "article", "main") and not UNWANTED.isdisjoint(names)) or bool(attributes and _HIDDEN.search(attributes))
-        home = top.home
-        if not home and (tag in ("article", "main") or role == "main"):
-            homes += 1
-            home = homes
+        veto = top.veto or (tag in NEVER and not (tag == "header" and top.home)) or bool(attributes and _HIDDEN.search(attributes))
+        named = top.named + (tag not in ("html", "body", "article", "main") and not UNWANTED.isdisjoint(names))
+        home = top.home or tag in ("article", "main") or role == "main"
         if tag in RAW:
             if lower is None:
                 lower = page.lower() if page.isascii() else re.sub("[A-Z]", lambda x: x[0].lower(), page)
@@ -138,7 +141,7 @@ def leaves(page: str) -> list[tuple[int, str, str, bool, int]]:
             continue
         if attributes.endswith("/"):
             continue
-        stack.append(_Open(tag, f"{top.path}/{'.'.join([tag, *filter(None, names)])}", veto, home))
+        stack.append(_Open(tag, f"{top.path}/{'.'.join([tag, *filter(None, names)])}", veto, home, named))
         depth[tag] = depth.get(tag, 0) + 1
     return out
 
@@ -158,10 +161,10 @@ def _smooth(values: list[float], width: float) -> list[float]:
     return out
 
 
-def fused_ratios(nodes: list[tuple[int, str, str, bool, int]], width: float = 1.0) -> list[float]:
+def fused_ratios(nodes: list[tuple[int, str, str, bool, bool, int]], width: float = 1.0) -> list[float]:
     """The fused tag-path ratio of each leaf, as a multiple of the page's mean."""
     by_path: dict[str, list[float]] = {}
-    for _, path, text, _, _ in nodes:
+    for _, path, text, *_ in nodes:
         if not text.isspace():
             own = by_path.setdefault(path, [0, 0, 0])
             own[0] += len(text.strip())
@@ -177,26 +180,27 @@ def main_text(page: str | None, threshold: float = 0.5) -> str:
     if not page:
         return ""
     nodes = leaves(page)
-    allowed = [not n[3] for n in nodes]
-    inside: dict[int, float] = {}
     scores = fused_ratios(nodes)
-    for n, score, ok in zip(nodes, scores, allowed, strict=True):
-        if n[4] and ok and not n[2].isspace():
-            inside[n[4]] = inside.get(n[4], 0.0) + score * len(n[2])
-    if inside:
-        # Teasers of other articles are articles too, but their paths weigh little beside the page's own.
-        best = max(inside.values())
-        homes = {k for k, v in inside.items() if v >= threshold * best}
-        chosen = [ok and n[4] in homes for n, ok in zip(nodes, allowed, strict=True)]
-    else:
-        by_path: dict[str, list[float]] = {}
-        for n, score, ok in zip(nodes, scores, allowed, strict=True):
-            if ok and not n[2].isspace():
-                by_path.setdefault(n[1], []).append(score)
-        content = {p for p, v in by_path.items() if max(v) >= threshold}
-        # A block is content whole, so that inline tags in it don't lose their text.
-        blocks = {n[0] for n in nodes if n[1] in content}
-        chosen = [ok and n[0] in blocks for n, ok in zip(nodes, allowed, strict=True)]
+    own = [(n, score * len(n[2].strip())) for n, score in zip(nodes, scores, strict=True) if not n[3] and not n[2].isspace()]
+    total = sum(w for _, w in own)
+    by_names: dict[int, float] = {}
+    for n, w in own:
+        by_names[n[5]] = by_names.get(n[5], 0.0) + w
+    base, met = 0, 0.0
+    for base in sorted(by_names):
+        met += by_names[base]
+        if met >= 0.2 * total:
+            break
+    damped = lambda n: NAMED ** max(0, n[5] - base)
+    total = sum(w * damped(n) for n, w in own)
+    share = sum(w * damped(n) for n, w in own if n[4]) / (total or 1.0)
+    content = set()
+    for n, score in zip(nodes, scores, strict=True):
+        if not n[3] and not n[2].isspace() and score * damped(n) * (1 + HOME * share if n[4] else 1 - share) >= threshold:
+            content.add(n[1])
+    # A block is content whole, so that inline tags in it don't lose their text; what has more unwanted names stands alone.
+    blocks = {n[0] for n in nodes if n[1] in content}
+    chosen = [not n[3] and (n[1] in content or (n[5] <= base and n[0] in blocks)) for n in nodes]
     parts: dict[int, list[str]] = {}
     for n, take in zip(nodes, chosen, strict=True):
         if take:
