@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from treeline.llm import minhash
 from treeline.llm.common import components
 from treeline.llm.minhash import near_duplicates
 from treeline.llm.shingles import shingle_sets
@@ -69,6 +70,21 @@ def test_small_blocks_give_the_same(spark):
     assert got(spark, rows, k=2, region=2, block_items=150) == brute(rows, 2, 80)
 
 
+def test_crowded_regions_lose_no_link(spark, monkeypatch):
+    # Each satellite is near one of a hundred and fifty near copies only, just over the threshold.
+    monkeypatch.setattr(minhash, "MOST_BLOCKS", 1)
+    rng = random.Random(4)
+    core = [f"c{i}" for i in range(190)]
+    rows = []
+    for i in range(150):
+        own = [f"u{i}x{j}" for j in range(10)]
+        rows.append((i, " ".join(core + own)))
+        rows.append((1000 + i, " ".join(rng.sample(core, 168) + own + [f"j{i}x{j}" for j in range(22)])))
+    want = brute(rows, 1, 80)
+    assert {c for _, _, c, _ in want} == {0}
+    assert got(spark, rows, k=1, region=1) == want
+
+
 def test_null_ids_repeated_rows_and_empty_table(spark):
     out = near_duplicates(spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, "a b c")], SCHEMA), k=2)
     assert sorted((tuple(r) for r in out.collect()), key=str) == sorted([(None, 2, None, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False)], key=str)

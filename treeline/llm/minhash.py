@@ -3,18 +3,20 @@
 A document's set is its distinct k-word shingles. Documents of equal sets are
 one class, represented by the smallest doc_id. Each class gets ``trees`` sorted
 signature orders; classes with a common prefix in an order are neighbours. A
-region (classes that share a prefix) starts at ``depth`` values and goes deeper
-the more it is over ``region`` times ``MOST_BLOCKS`` classes, so the prefix that
-makes two classes candidates adapts to how crowded their region is. Candidates
-whose whole signatures agree well enough form coarse components; inside these
+region is the classes that share a prefix of ``depth`` values, however many: a
+crowded one is only dealt out in more and larger blocks. Candidates whose whole signatures agree well enough form coarse components; inside these
 every pair's true similarity is decided on the full sets, and confirmed links
 make the components returned.
 
 Recall before the exact check: a pair at the threshold 0.8 shares a prefix of 3
-in one of 16 orders with probability 1 - (1 - 0.8^3)^16 > 0.99998.
+in one of 16 orders with probability 1 - (1 - 0.8^3)^16 > 0.99998, in regions of
+any size.
 
 Bounds: no task holds more than two blocks of a region or a coarse component;
-larger ones are dealt out as pairs of blocks. Tasks return spanning forests
+larger ones are dealt out as pairs of blocks. Blocks of a region grow from
+``region`` classes to ``WIDEST`` times as many, so that there are ``MOST_BLOCKS``
+of them; beyond that their number grows, and a region's comparisons grow with
+the square of its classes. Tasks return spanning forests
 only, never all pairs of a group. Nothing is collected to the driver.
 
 Defined cases: null, empty and blank texts have an empty set, link with nothing
@@ -38,7 +40,7 @@ from treeline.llm.shingles import mix, shingle_sets
 
 TREES, LEVELS = 16, 8
 _MULTIPLIERS = np.random.default_rng(0x5EED_0002).integers(1, 2**62, TREES * LEVELS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-MOST_BLOCKS = 64
+MOST_BLOCKS, WIDEST = 64, 8
 
 
 def signature(items: np.ndarray) -> np.ndarray:
@@ -147,8 +149,8 @@ def _sets(k: int):
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, depth: int = 3, region: int = 512, block_items: int = 1_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text).
 
-    Links sets with 100 * intersection >= percent * union. region: classes in a
-    block of a region; block_items: shingles in a block of a coarse component.
+    Links sets with 100 * intersection >= percent * union. region: least classes in
+    a full block of a region; block_items: shingles in a block of a coarse component.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stored(docs.mapInArrow(_signatures(k), "doc_id long, n_shingles long, set_key binary, sig binary"))
@@ -157,14 +159,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, depth: int =
         signed.where("set_key is not null and doc_id is not null").groupBy(F.hex("set_key").alias("set_hex")).agg(F.min(F.struct("doc_id", "sig")).alias("x")).select("set_hex", F.col("x.doc_id").alias("rep"), F.col("x.sig").alias("sig"))
     )
     width = 2 * LEVELS
-    prefixes = classes.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("t"), F.substring("sig", t * width + 1, F.lit(width)).alias("branch")))).alias("x")).select(
-        "rep", "x.t", "x.branch", F.xxhash64("x.t", F.substring("x.branch", F.lit(1), F.lit(2 * depth))).alias("region")
+    prefixes = classes.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("t"), F.substring("sig", t * width + 1, F.lit(2 * depth)).alias("prefix")))).alias("x")).select(
+        "rep", F.xxhash64("x.t", "x.prefix").alias("region")
     )
     crowd = prefixes.groupBy("region").count().where("count > 1").withColumnRenamed("count", "n")
-    deeper = F.least(F.lit(LEVELS), F.lit(depth) + F.ceil(F.greatest(F.lit(0.0), F.log(4.0, F.col("n") / (region * MOST_BLOCKS)))).cast("int"))
-    placed = prefixes.join(crowd, "region").select("rep", F.col("n"), F.when(deeper <= depth, F.col("region")).otherwise(F.xxhash64("t", deeper, F.substring("branch", F.lit(1), 2 * deeper))).alias("region"))
-    n_blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / region)).cast("int")
-    dealt = placed.withColumn("n_blocks", F.least(n_blocks, F.lit(MOST_BLOCKS))).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("n_blocks")).cast("int"))
+    block_size = F.least(F.greatest(F.lit(region), F.ceil(F.col("n") / MOST_BLOCKS)), F.lit(WIDEST * region))
+    dealt = prefixes.join(crowd, "region").withColumn("n_blocks", F.ceil(F.col("n") / block_size).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("n_blocks")).cast("int"))
     dealt = dealt.join(classes.select("rep", "sig"), "rep").select("rep", "sig", "region", F.explode(block_pairs(F.col("n_blocks"), F.col("block"))).alias("p"))
     dealt = dealt.select("rep", "sig", F.xxhash64("region", "p.lo", "p.hi").alias("g"))
     # Signatures of a pair at the threshold differ from it by four standard errors only once in 30,000.
