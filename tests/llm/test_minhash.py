@@ -105,3 +105,11 @@ def test_shingle_hashes_count_like_strings():
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {r["node"]: r["component"] for r in components(edges).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_components_of_chains_in_any_order(spark):
+    n = 300
+    shuffled = random.Random(3).sample(range(n), n)
+    chains = [[0, *range(n - 1, 0, -1)], [1000 + x for x in shuffled], [2000 + x for x in range(n)]]
+    edges = spark.createDataFrame([e for c in chains for e in zip(c[:-1], c[1:], strict=True)], "a long, b long")
+    assert {r["node"]: r["component"] for r in components(edges).collect()} == {x: min(c) for c in chains for x in c}

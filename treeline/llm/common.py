@@ -95,23 +95,26 @@ def block_pairs(n_blocks: Column, block: Column) -> Column:
     return F.transform(others, lambda j: F.struct(F.least(j, block).alias("lo"), F.greatest(j, block).alias("hi")))
 
 
-def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node in edges (a, b); component is the smallest node reachable.
 
-    Each round takes the least label among a node's neighbours and then the
-    label's own label (pointer jumping), so long chains halve. Labels are
-    written to the shared folder each round. Raises if not settled in
-    ``max_rounds``, which at halving would need 2^64 nodes in a chain.
+    Each round gives the least label among a node's neighbours to the node and to
+    the node that its own label names (a tree's root), and then takes the label's
+    own label (pointer jumping): whole trees hook on to others, so rounds grow
+    with the logarithm of a chain, whatever the order of its numbers. Labels only
+    fall, so it ends by itself. They are written to the shared folder each round.
     """
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct().toDF("a", "b"))
     labels = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node"))
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
-        step = labels.join(near, labels.node == near.a).select("node", "component", F.least("component", "near").alias("to"))
-        hop = labels.select(F.col("node").alias("to"), F.col("component").alias("beyond"))
-        new = stored(step.join(hop, "to").select("node", F.least("to", "beyond").alias("component"), (F.least("to", "beyond") < F.col("component")).alias("moved")))
+        step = labels.join(near, labels.node == near.a).select("node", "component", "near")
+        # A node's row has its label before, too; a row for its root has none.
+        given = step.select(F.explode(F.array(F.struct("node", F.least("component", "near").alias("to"), F.col("component").alias("old")), F.struct(F.col("component").alias("node"), F.col("near").alias("to"), F.lit(None).cast("long").alias("old")))).alias("x")).select("x.*")
+        step = stored(given.groupBy("node").agg(F.min("to").alias("to"), F.max("old").alias("old")))
+        hop = step.select(F.col("node").alias("to"), F.col("to").alias("beyond"))
+        new = stored(step.join(hop, "to").select("node", F.least("to", "beyond").alias("component"), (F.least("to", "beyond") < F.col("old")).alias("moved")))
         moved = new.where("moved").limit(1).count()
         labels = new.select("node", "component")
         if not moved:
             return labels
-    raise RuntimeError("components did not settle")
