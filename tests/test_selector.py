@@ -67,3 +67,9 @@ def test_innermost_span(spark):
     spans = spark.createDataFrame([("f", "a", 1, 20), ("f", "a.b", 5, 9), ("g", "z", 1, 2)], "path string, span string, lo int, hi int")
     points = spark.createDataFrame([("f", 6), ("f", 15), ("f", 30), ("h", 1)], "path string, line int")
     assert {(r["path"], r["line"], r["span"]) for r in text.innermost(spans, points).collect()} == {("f", 6, "a.b"), ("f", 15, "a"), ("f", 30, None), ("h", 1, None)}
+
+
+def test_outline_has_every_node_of_the_tables(spark):
+    out = catalog.queries()["q_structure_all"](spark, SF).groupBy("type").count().collect()
+    rows = lambda *names: sum(spark.read.parquet(f"{SF}/{n}.parquet").count() for n in names)
+    assert {r["type"]: r["count"] for r in out} == {"dir": rows("region", "nation") + 1, "file": rows("customer", "supplier"), "struct": rows("orders"), "field": rows("lineitem"), "type": rows("part")}

@@ -83,6 +83,7 @@ _add("q_symbol_search", f"{_NAMES.replace('SELECT unnest', 'SELECT node, line, u
 _add("q_ambiguous", f"WITH {_PLACES} SELECT 'l' || l_linenumber AS leaf, count(DISTINCT r_name || '/' || n_name) AS n_dirs FROM people JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1 HAVING count(DISTINCT r_name || '/' || n_name) > 1", lambda s, d: references.ambiguous(tables.trade(s, d)))
 _add("q_explain", "SELECT 1 AS alternative, 1 AS step, 'node' AS element, count(*) AS rows FROM region WHERE r_name = 'ASIA' UNION ALL SELECT 1, 2, 'node', count(*) FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'", lambda s, d: results.explain(tables.trade(s, d), "dir#ASIA > dir"))
 _add("q_structure", f"WITH {_PLACES}, hits AS (SELECT DISTINCT c_custkey, path, o_orderkey FROM people JOIN orders ON o_custkey = c_custkey WHERE o_orderkey % 1000 = 7 AND o_orderkey > 9) SELECT DISTINCT unnest([r_name, r_name || '/' || n_name, p.path, p.path || '#o' || o_orderkey]) AS node, unnest(['dir', 'dir', 'file', 'struct']) AS type FROM hits JOIN people p USING (c_custkey)", lambda s, d: text.structure(tables.trade(s, d), depth=4, pattern="^o[0-9]+007$", limit=None).select("node", "type"))
+_add("q_structure_all", f"WITH {_PLACES}, {_SUPPLIERS}, {_ITEMS}, placed AS (SELECT o_orderkey, path || '#o' || o_orderkey AS node FROM orders JOIN people ON o_custkey = c_custkey) SELECT r_name AS node, 'dir' AS type, CAST(1 AS INTEGER) AS depth FROM region UNION ALL SELECT 'parts', 'dir', 1 UNION ALL SELECT r_name || '/' || n_name, 'dir', 2 FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'parts#p' || p_partkey, 'type', 2 FROM part UNION ALL SELECT path, 'file', 3 FROM people UNION ALL SELECT node, 'file', 3 FROM suppliers UNION ALL SELECT node, 'struct', 4 FROM placed UNION ALL SELECT node || '.l' || l_linenumber || '.' || l_at, 'field', 5 FROM items JOIN placed ON l_orderkey = o_orderkey", lambda s, d: text.structure(tables.trade(s, d), limit=None))
 
 
 def _ddl(events: DataFrame) -> DataFrame:
