@@ -15,7 +15,10 @@ Defined cases: null and empty texts have all-zero features and are scored by
 them. Rows without a label aren't trained on; a null doc_id is scored, with
 held_out false. With no labelled row, or one class only, the score is the
 smoothed rate of the class, 0.5 without any label. Repeated rows are scored
-each. Other columns are not read by the query; ``accepted`` keeps them.
+each. Very long texts are worked on whole, a text at a time. Of equal gains the
+first feature and bin is taken. An empty table gives no rows. ``score`` keeps
+other columns; those named ``score`` or ``predicted`` are replaced by its
+results, and null texts score like empty ones.
 """
 
 from __future__ import annotations
@@ -179,8 +182,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", may: Colum
 
 
 def score(docs: DataFrame, model: BoostedTrees, threshold: float = 0.7) -> DataFrame:
-    """All columns of docs with score and predicted."""
+    """All columns of docs with score and predicted, which replace columns of these names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the number of trees
+    docs = docs.drop("score", "predicted")
     names = docs.columns
     spot = names.index("text")
 
