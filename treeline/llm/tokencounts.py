@@ -13,7 +13,8 @@ The scan runs in two levels (chunks of blocks, then blocks in a chunk), so no
 task holds a whole file's blocks.
 
 ``flat_blocks`` makes such blocks from texts in memory as the tokenizer emits
-them, one flat file a partition; ``file_blocks`` reads files in a folder.
+them, one flat file a partition; ``file_blocks`` reads files of any size in a
+folder, in byte ranges.
 
 Defined cases: a document of no tokens counts 0. Null texts are documents of no
 tokens, counted 0. Text that spells the separator is ordinary text and never
@@ -25,10 +26,12 @@ doesn't divide a file's length is an error. Repeated rows are counted each.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -105,24 +108,34 @@ def flat_blocks(docs: DataFrame, ranks: bytes, eod: int = EOD, block_tokens: int
     return rows.mapInArrow(run, BLOCK_SCHEMA)
 
 
-def file_blocks(spark: SparkSession, path: str, width: int = 4, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks of the flat token files of a folder (little-endian ids of 2 or 4 bytes, files of at most 2 GB)."""
+def file_blocks(spark: SparkSession, path: str, width: int = 4, block_tokens: int = BLOCK_TOKENS, range_blocks: int = 256) -> DataFrame:
+    """Blocks of the flat token files of a folder (little-endian ids of 2 or 4 bytes), of any size.
+
+    Each file is dealt out as byte ranges of ``range_blocks`` blocks, which tasks
+    read by themselves. That needs a path that pyarrow's file systems open (file,
+    hdfs, s3, gs, abfs ...); others are refused.
+    """
     if width not in (2, 4):
         raise ValueError("width is 2 or 4")
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    step = range_blocks * block_tokens * width
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    ranges = files.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(step).cast("long"))))
+    ranges = ranges.repartition(F.xxhash64("path", "start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = raw.as_buffer()
-                if raw.size % width:
-                    raise ValueError(f"{name}: {raw.size} bytes aren't tokens of {width}")
-                flat = np.frombuffer(raw, "<u2" if width == 2 else "<u4")
-                for block, at in enumerate(range(0, len(flat), block_tokens)):
-                    part = flat[at : at + block_tokens].astype(np.uint32)
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block], pa.int64()), pa.array([part.tobytes()], pa.binary()), pa.array([None], pa.list_(pa.int64()))], ["file", "block", "tokens", "ids"])
-
-    return files.mapInArrow(run, BLOCK_SCHEMA)
+            for name, length, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if length % width:
+                    raise ValueError(f"{name}: {length} bytes aren't tokens of {width}")
+                system, place = FileSystem.from_uri(re.sub("^(\\w+):/(?!/)", r"\1:///", name))
+                with system.open_input_file(place) as f:
+                    f.seek(start)
+                    for at in range(start, min(start + step, length), block_tokens * width):
+                        raw = f.read(min(block_tokens * width, length - at))
+                        part = np.frombuffer(raw, "<u2" if width == 2 else "<u4").astype(np.uint32)
+                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at // (block_tokens * width)], pa.int64()), pa.array([part.tobytes()], pa.binary()), pa.array([None], pa.list_(pa.int64()))], ["file", "block", "tokens", "ids"])
+
+    return ranges.mapInArrow(run, BLOCK_SCHEMA)
 
 
 def _scan(eod: int):
