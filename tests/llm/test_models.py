@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from treeline.llm import quality, toxicity
@@ -13,16 +14,38 @@ from treeline.llm.toxicity import FactorizationMachine
 SF = "/root/testdata/sf0.1"
 
 
-def test_machine_learns_pairs_that_add_up_to_nothing():
+def exclusive_pairs(noise, per):
+    """Documents of label 1 if just one of two terms is there, among others that say nothing."""
     rng = np.random.default_rng(1)
     sets, labels = [], []
-    for _ in range(2000):
+    for _ in range(4000):
         a, b = rng.integers(0, 2, 2)
-        sets.append(np.array(sorted({10 + a, 20 + b, 100 + rng.integers(0, 30)}), np.uint64))
+        sets.append(np.unique(np.array([10 + a, 20 + b, *(100 + rng.integers(0, noise, per))], np.uint64)))
         labels.append(int(a != b))
-    model = FactorizationMachine.fit(sets, np.array(labels), epochs=60, rate=0.3)
-    flat, at = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-    assert ((model.score(flat, at) >= 0.5) == labels).mean() > 0.97
+    return sets, np.array(labels)
+
+
+def flat(sets):
+    return np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+
+
+@pytest.mark.parametrize(("noise", "per"), [(30, 1), (3000, 30)])
+def test_machine_learns_pairs_that_add_up_to_nothing(noise, per):
+    sets, labels = exclusive_pairs(noise, per)
+    right = lambda **fit: ((FactorizationMachine.fit(sets[:2000], labels[:2000], **fit).score(*flat(sets[2000:])) >= 0.5) == labels[2000:]).mean()
+    assert right() > 0.97
+    assert right(factors=0) < 0.6
+
+
+def test_pairs_do_no_harm_to_held_out_documents():
+    import zlib
+
+    docs = pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "text"]).to_pandas()
+    rows = docs.merge(pq.read_table(f"{SF}/labels.parquet").to_pandas(), on="doc_id").dropna(subset=["toxic"])
+    sets, labels = list(toxicity.term_sets(rows.text.tolist())), rows.toxic.to_numpy().astype(int)
+    held = np.array([zlib.crc32(str(x).encode()) % 5 == 0 for x in rows.doc_id])
+    right = lambda n: ((FactorizationMachine.fit([s for s, h in zip(sets, held, strict=True) if not h], labels[~held], factors=n).score(*flat([s for s, h in zip(sets, held, strict=True) if h])) >= 0.5) == labels[held]).mean()
+    assert right(4) > right(0) > 0.98
 
 
 def test_pair_sum_equals_the_double_loop():
@@ -77,3 +100,21 @@ def test_no_labels_one_class_and_odd_texts(spark, op, label):
         labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
         scores = {r["score"] for r in op.score(docs, op.train(docs, labels, label)).collect()}
         assert len(scores) == 1 and (rows == [(1, 1, 1)]) == (scores != {0.5})
+
+
+@pytest.mark.parametrize(("op", "label"), [(toxicity, "toxic"), (quality, "quality")])
+def test_repeated_rows_clashing_columns_and_empty_tables(spark, op, label):
+    docs = spark.createDataFrame([(i % 40, "good words" if i % 2 else "bad words", 0.5, 7) for i in range(80)], "doc_id long, text string, score double, predicted int")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    model = op.train(docs, labels, label)
+    got = op.score(docs, model)
+    assert got.columns.count("score") == 1 and len({tuple(r) for r in got.select("doc_id", "score", "predicted").collect()}) == 40 and got.count() == 80
+    assert op.score(docs.limit(0), model).collect() == []
+    assert op.train(docs.limit(0), labels, label).score is not None
+    assert op.train(docs, labels, label, max_rows=10).score is not None
+
+
+def test_training_texts_are_bounded_by_their_terms(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(50)) if i else "v " * 3) for i in range(8)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, toxic int")
+    assert len(toxicity.train(docs, labels, max_items=1, min_df=1).terms) == 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import struct
 
 import numpy as np
 import pytest
@@ -124,10 +125,23 @@ def test_flat_files_are_counted_across_blocks(spark, tmp_path, block):
         want += [(f, i, len(d) - 1, True) for i, d in enumerate(docs[:-1])]
         want += [(f, len(docs) - 1, len(docs[-1]), False)] if len(docs[-1]) else []
     (tmp_path / "f9.bin").write_bytes(b"")
-    got = tokencounts.counts(tokencounts.file_blocks(spark, f"file://{tmp_path}", 2, block), eod=5, chunk=4).collect()
+    got = tokencounts.counts(tokencounts.file_blocks(spark, f"file://{tmp_path}", 2, block, range_blocks=3), eod=5, chunk=4).collect()
     assert sorted((int(r["file"][-5]), r["document"], r["n_tokens"], r["closed"]) for r in got) == want
 
 
+def test_a_file_that_is_no_tokens_is_an_error(spark, tmp_path):
+    (tmp_path / "x.bin").write_bytes(b"abc")
+    with pytest.raises(Exception, match="aren't tokens"):
+        tokencounts.file_blocks(spark, f"file://{tmp_path}", 2).collect()
+
+
+def test_token_counts_of_odd_tables(spark):
+    ranks = tokencounts.load_ranks()
+    df = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "y"), (None, "c", "z")], "doc_id long, text string, n_tokens string")
+    assert sorted(((r["doc_id"], r["n_tokens"]) for r in tokencounts.token_counts(df, ranks).collect()), key=str) == [(1, 2), (1, 2), (None, 1)]
+    assert tokencounts.token_counts(df.limit(0), ranks).collect() == []
+
+
 def test_token_counts_of_texts(spark):
     ranks = tokencounts.load_ranks()
     enc = tokencounts.encoding(ranks)
@@ -176,6 +190,75 @@ def test_sentencepiece_parity_and_round_trip(spark):
     assert {r["doc_id"] for r in checked if not r["round_trip"]} == {i for i, t in enumerate(ODD) if "▁" in t}
 
 
-def test_unigram_models_are_rebuilt():
-    model = spm.SentencePieceModel(pieces=[("<unk>", 0.0, spm.UNKNOWN), ("▁ab", -1.0, 1), ("▁a", -2.0, 1), ("b", -2.5, 1), ("▁", -4.0, 1)], kind=spm.UNIGRAM)
-    assert model.tokenizer().encode("ab  a", add_special_tokens=False).tokens == ["▁ab", "▁a"]
+def model_bytes(pieces, kind, byte_fallback=False, dummy=True, squeeze=False):
+    """A model file's bytes, written field by field."""
+
+    def number(n):
+        out = b""
+        while n > 127:
+            out += bytes([n & 127 | 128])
+            n >>= 7
+        return out + bytes([n])
+
+    def field(at, value):
+        if isinstance(value, float):
+            return number(at << 3 | 5) + struct.pack("<f", value)
+        if isinstance(value, int):
+            return number(at << 3) + number(value)
+        return number(at << 3 | 2) + number(len(value)) + value
+
+    out = b"".join(field(1, field(1, p.encode()) + field(2, s) + field(3, t)) for p, s, t in pieces)
+    out += field(2, field(3, kind) + field(35, int(byte_fallback)))
+    return out + field(3, field(1, b"identity") + field(3, int(dummy)) + field(4, int(squeeze)) + field(5, 1))
+
+
+SPECIAL = [("<unk>", 0.0, spm.UNKNOWN), ("<s>", 0.0, spm.CONTROL), ("</s>", 0.0, spm.CONTROL)]
+BYTES = [(f"<0x{i:02X}>", 0.0, spm.BYTE) for i in range(256)]
+SMALL = ["▁", "a", "b", "c", "s", "<", ">", "0", "x", "4", "1", ".", "ab", "bc", "▁a", "▁ab", "abc", "ca", "<s", "aa", "▁▁"]
+
+
+@pytest.mark.parametrize("fallback", [False, True])
+@pytest.mark.parametrize("squeeze", [False, True])
+@pytest.mark.parametrize("kind", [spm.UNIGRAM, spm.BPE])
+@pytest.mark.parametrize("users", [[], ["cab", "ba"]])
+def test_small_models_equal_the_library(kind, squeeze, fallback, users):
+    # Unigram scores that no two ways to cut a text share.
+    normal = [(p, -(5.0 + 0.37 * i - 2.0 * len(p) + 0.001 * i * i), spm.NORMAL) for i, p in enumerate(SMALL)]
+    raw = model_bytes([*SPECIAL, *(BYTES if fallback else []), *((u, 0.0, spm.USER) for u in users), *normal], kind, fallback, True, squeeze)
+    rng = random.Random(6)
+    texts = ["", "<s>", "<0x41> <s></s>", "abcab", "  a  b ", "é", "aéé漢b", "\n\nab\n", "\U0010ffff1", "xcabx cab", "ab " * 500]
+    texts += ["".join(rng.choice([*"abcs<>0x41. ", "é", "\n", "漢"]) for _ in range(rng.randint(1, 30))) for _ in range(400)]
+    assert [texts[i] for i in spm.verify(raw, texts)] == []
+
+
+def test_documents_equal_the_library(spark):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").where("text is not null").collect()]
+    raw = spm.load(spm.DEFAULT_MODEL)
+    assert spm.verify(raw, texts) == []
+
+
+def test_odd_ids_decode_as_the_library_does():
+    import sentencepiece
+
+    raw = spm.load(spm.DEFAULT_MODEL)
+    theirs = sentencepiece.SentencePieceProcessor(model_proto=raw)
+    rng = random.Random(2)
+    lists = [[rng.randrange(300 if i % 2 else 32_000) for _ in range(rng.randint(0, 12))] for i in range(300)]
+    assert spm.built(raw).decode([np.array(x, np.int32) for x in lists]) == [theirs.decode(x) for x in lists]
+
+
+def test_caches_are_bounded_and_keep_what_is_used(monkeypatch):
+    monkeypatch.setattr(spm.Codec, "CACHE", 8)
+    raw = spm.load(spm.DEFAULT_MODEL)
+    codec, whole = spm.Codec(raw), spm.built(raw)
+    texts = [f"always word{i} and.so{i}" for i in range(60)]
+    assert [codec.encode([t])[0].tolist() for t in texts] == [x.tolist() for x in whole.encode(texts)]
+    assert all(len(x) <= 12 for x in [*codec.words, *codec.segments]) and "always" in codec.words[0] | codec.words[1]
+
+
+def test_encoding_odd_tables(spark):
+    raw = spm.load(spm.DEFAULT_MODEL)
+    df = spark.createDataFrame([(1, "a b", 7), (1, "a b", 7), (2, "long word " * 100_000, 8)], "doc_id long, text string, n_tokens int")
+    rows = spm.encode_checked(df, raw).collect()
+    assert sorted((r["doc_id"], r["n_tokens"] == len(r["ids"]), r["round_trip"]) for r in rows) == [(1, True, True), (1, True, True), (2, True, True)]
+    assert spm.encode_checked(df.limit(0), raw).collect() == []

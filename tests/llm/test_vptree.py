@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import numpy as np
 
-from treeline.llm.vptree import PRODUCTION_FACTOR, VPTree, nearest
+from pyspark.sql import functions as F
+
+from treeline.llm.vptree import PRODUCTION_FACTOR, Regions, VPTree, nearest
 
 SCHEMA = "vec_id long, embedding array<double>"
 
@@ -49,3 +51,33 @@ def test_vectors_that_take_no_part(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert [tuple(r) for r in nearest(df, df.where("vec_id = 0"), 10).collect()] == [(0, 1, 1, 1.0)]
     assert nearest(df.limit(0), df.limit(0)).collect() == []
+
+
+def test_repeated_queries_and_clashing_columns(spark):
+    rows = [(0, [1.0, 0.0], 1), (0, [1.0, 0.0], 1), (1, [1.0, 1.0], 2), (2, [2.0, 0.0], 3), (3, [9.0, 9.0], 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int").withColumn("id", F.lit("x")).withColumn("v", F.lit(1))
+    got = [tuple(r) for r in nearest(df, df.where("vec_id = 0"), 3).orderBy("rank").collect()]
+    assert [r[:3] for r in got] == [(0, 1, 1), (0, 2, 2), (0, 3, 3)]
+
+
+def test_regions_hold_every_point_and_bound_it():
+    _, points = data(600, 5)
+    regions = Regions(np.arange(200), points[:200], 9)
+    home = regions.place(points)
+    assert regions.n == 9 and set(home) <= set(range(9))
+    slack = regions.slack(points[:40])
+    for q in range(40):
+        dist = np.sqrt(((points[q] - points) ** 2).sum(1))
+        assert all(slack[q, r] <= dist[home == r].min() + 1e-9 for r in set(home))
+
+
+def test_clustered_vectors_skip_regions_and_long_vectors(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 300)) * 50
+    points = np.concatenate([c + rng.normal(size=(40, 300)) for c in centres])
+    tree = VPTree(np.arange(480), points, leaf=20)
+    tree.search(np.arange(40), points[:40], 5)
+    assert tree.scanned < 0.5 * 40 * 480
+    rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], SCHEMA)
+    got = sorted(tuple(r) for r in nearest(rows, rows.where("vec_id % 20 = 0"), 5, 1.0, shard_rows=50, leaf=16).collect())
+    assert [r[:3] for r in got] == [r[:3] for r in brute(np.arange(480), points, range(0, 480, 20), 5)]
