@@ -3,10 +3,12 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from treeline.llm import minhash
-from treeline.llm.common import components
+from treeline.llm.common import components, find, join_roots
 from treeline.llm.minhash import near_duplicates
 from treeline.llm.shingles import shingle_sets
 
@@ -67,22 +69,73 @@ def test_against_brute_force(spark, k):
 
 def test_small_blocks_give_the_same(spark):
     rows = corpus(9)
-    assert got(spark, rows, k=2, region=2, block_items=150) == brute(rows, 2, 80)
+    assert got(spark, rows, k=2, window=2, block_items=150) == brute(rows, 2, 80)
 
 
-def test_crowded_regions_lose_no_link(spark, monkeypatch):
-    # Each satellite is near one of a hundred and fifty near copies only, just over the threshold.
-    monkeypatch.setattr(minhash, "MOST_BLOCKS", 1)
+@pytest.mark.parametrize(("window", "block_items"), [(4, 300), (512, 300), (4, 1_000_000)])
+def test_crowds_lose_no_link(spark, window, block_items):
+    # Each satellite is near one of eighty near copies only, just over the threshold.
     rng = random.Random(4)
     core = [f"c{i}" for i in range(190)]
     rows = []
-    for i in range(150):
+    for i in range(80):
         own = [f"u{i}x{j}" for j in range(10)]
         rows.append((i, " ".join(core + own)))
         rows.append((1000 + i, " ".join(rng.sample(core, 168) + own + [f"j{i}x{j}" for j in range(22)])))
     want = brute(rows, 1, 80)
     assert {c for _, _, c, _ in want} == {0}
-    assert got(spark, rows, k=1, region=1) == want
+    assert got(spark, rows, k=1, window=window, block_items=block_items) == want
+
+
+def test_parts_of_a_large_coarse_component(spark):
+    # Chains: each text is near the next only, and no block holds a chain.
+    rng = random.Random(6)
+    rows = []
+    for c in range(4):
+        words = [f"v{c}x{i}" for i in range(60)]
+        for i in range(25):
+            words = words[3:] + [f"v{c}x{60 + 3 * i + j}" for j in range(3)]
+            rows.append((100 * c + i, " ".join(words)))
+    rng.shuffle(rows)
+    want = brute(rows, 1, 80)
+    assert {c for _, _, c, _ in want} == {0, 100, 200, 300}
+    assert got(spark, rows, k=1, block_items=200) == want
+
+
+def test_neighbours_stream_like_one_batch():
+    # Windows and batches of any size find the same as one comparison of each small region.
+    rng = np.random.default_rng(3)
+    regions, sigs = [], []
+    for r in range(60):
+        base = rng.integers(0, 2**16, 128)
+        for _ in range(rng.integers(1, 9)):
+            own = np.where(rng.random(128) < rng.choice([0.05, 0.6]), rng.integers(0, 2**16, 128), base)
+            regions.append(r)
+            sigs.append(own.astype(np.uint16))
+    ids = np.arange(len(regions))
+
+    def found(size, window):
+        parts = [pa.RecordBatch.from_arrays([pa.array(regions[a : a + size], pa.int64()), pa.array(ids[a : a + size]), pa.array([s.tobytes() for s in sigs[a : a + size]], pa.binary())], ["region", "rep", "sig"]) for a in range(0, len(ids), size)]
+        parent: dict = {}
+        for batch in minhash._neighbours(80, window)(iter(parts)):
+            for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                join_roots(parent, a, b)
+        return {x: find(parent, x) for x in list(parent)}
+
+    want = found(1000, 16)
+    assert want and all(found(size, 16) == want for size in (1, 2, 3, 7, 50))
+
+
+@pytest.mark.parametrize("depth", [3, 5, 8])
+def test_recall_of_the_orders(depth):
+    # Share of pairs at similarity 0.8 that share a prefix of so many values in one of the orders.
+    rng = np.random.default_rng(depth)
+    hit = 0
+    for _ in range(200):
+        both = rng.integers(1, 2**63, 400, dtype=np.uint64)
+        a, b = (minhash.signature(np.concatenate([both, rng.integers(1, 2**63, 50, dtype=np.uint64)])).reshape(minhash.TREES, minhash.LEVELS) for _ in range(2))
+        hit += (a[:, :depth] == b[:, :depth]).all(1).any()
+    assert hit >= 200 * {3: 0.999, 5: 0.97, 8: 0.9}[depth]
 
 
 def test_null_ids_repeated_rows_and_empty_table(spark):
