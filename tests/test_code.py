@@ -1,42 +1,88 @@
-"""Golden sets over a small call graph in two languages, and Python declarations."""
+"""Sets derived by hand from a small stock keeper in three languages."""
 
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from treeline.plans.compiler import query
-from treeline.sources import code
+from treeline.sources import code, details
 
-GO = """package demo
+# Calls: open -> load, check; load -> parse; check -> parse (a diamond); ping <-> pong (a cycle);
+# walk -> walk (a loop of one); nobody calls open, walk apart from itself, or orphan.
+STORE = """package stock
 
-type T struct{}
+import "fmt"
 
-func C() {
+// Shelf holds crates.
+type Shelf struct {
+	Name  string `json:"name" db:"shelf_name"`
+	crate Crate
 }
 
-func B(bArg int) {
-	C()
+type Crate interface{ Weigh() int }
+
+func open(path string) (Shelf, error) {
+	check(path)
+	return load(path)
 }
 
-func A() { B(2) }
+func load(path string) (Shelf, error) { return parse(path) }
 
-func X(xArg string) {
-	Y()
-	C()
-}
+func check(path string) { parse(path) } // looks only
+
+func parse(text string) (Shelf, error) { return Shelf{}, nil }
+
+func ping(n int) { pong(n) }
+
+func pong(n int) { ping(n - 1) }
 
-func Y() { X("") }
+func walk(depth int, shelf Shelf) { walk(depth-1, shelf) }
 
-func UsesT(t T) {}
+func orphan() {}
 
-var h = C
+var (
+	first = parse
+	limit = 3
+)
 """
-FILES = [
-    ("go.mod", "module demo\n"),
-    ("main.go", GO),
-    ("web/util.ts", "export function tsHelper(a: string) {\n  return a;\n}\n"),
-    ("web/app.ts", "import {tsHelper} from './util';\n\nexport function useHelper() {\n  return tsHelper('q');\n}\n"),
-]
+TOOLS = """import os
+
+LIMIT: Count = 4
+
+
+# Finds a crate.
+@cached(size=3)
+def find(name, *rest) -> Crate:
+    \"\"\"parse is only spoken of here\"\"\"
+    return lookup(name)
+
+
+def lookup(name):
+    return os.environ[name]
+
+
+class Desk:
+    owner = None
+
+    def __init__(self, owner):
+        self.owner = owner
+
+    def find(self, name):
+        return lookup(name)
+"""
+PANEL = """package ui;
+
+/** A panel. */
+@Deprecated
+public class Panel {
+  private Shelf shelf;
+  public Panel(Shelf shelf) { this.shelf = shelf; }
+  void show(int a) { show(a, 0); }
+  Crate show(int a, int b) { return null; }
+}
+"""
+FILES = [("stock/store.go", STORE), ("tools/find.py", TOOLS), ("ui/Panel.java", PANEL), ("notes.txt", "plain\n"), ("tools/broken.py", "def ("), ("tools/deep.py", "x = " + "(" * 3000 + ")" * 3000), ("tools/none.py", None)]
 
 
 @pytest.fixture(scope="module")
@@ -53,54 +99,114 @@ def nodes(ws, selector):
 @pytest.mark.parametrize(
     ("selector", "want"),
     [
-        ("#'main.go#B' > *", {"B.bArg"}),
-        ("#'main.go#A'::out.call > *", {"B"}),
-        ("#'main.go#X'::out.call > *", {"Y", "C"}),
-        ("#'main.go#h'::out > *", {"C"}),
-        ("#'main.go#h'::out.call > *", set()),
-        ("#'main.go#C'::in.call{1,} > *", {"B", "X", "A", "Y"}),
-        ("#'main.go#C'::in.call{2,2} > *", {"A", "Y"}),
-        ("#'main.go#X'::in.call{1,} > *", {"Y", "X"}),
-        ("func:where(::in:empty)", {"A", "UsesT", "useHelper"}),
-        ("func:where(::out.call:empty)", {"C", "UsesT", "tsHelper"}),
-        ("func:where(&::in.call:any)", {"C", "B", "X", "Y", "tsHelper"}),
+        ("#'stock/store.go#open' > argument", {"open.path"}),
+        ("#'stock/store.go#open'::out.call > *", {"check", "load"}),
+        ("#'stock/store.go#parse'::in.call > *", {"load", "check"}),
+        ("#'stock/store.go#parse'::in.call{1,} > *", {"load", "check", "open"}),
+        ("#'stock/store.go#parse'::in.call{2,2} > *", {"open"}),
+        ("#'stock/store.go#ping'::in.call{1,} > *", {"ping", "pong"}),
+        ("#'stock/store.go#walk'::out.call > *", {"walk"}),
+        ("#'stock/store.go#first'::out > *", {"parse"}),
+        ("func.go:where(::in:empty)", {"open", "orphan"}),
+        ("func.go:where(::out.call:empty)", {"parse", "orphan"}),
+        ("#'stock/store.go#parse':parents(func)", {"load", "check", "open"}),
+        ("#'stock/store.go#parse':parents(dir)", {"stock"}),
+        ("#'tools/find.py#lookup'::in.call > *", {"find", "Desk.find"}),
         ("*:parents:empty", {"workspace"}),
-        ("#'main.go#C':parents(func)", {"B", "X", "A", "Y"}),
-        ("#'main.go#C':parents(file)", {"main.go"}),
-        ("#'web/util.ts#tsHelper':parents(dir func)", {"web"}),
-        ("func.ts", {"tsHelper", "useHelper"}),
-        ("file.go", {"main.go"}),
-        ("file > func:first", {"C", "tsHelper", "useHelper"}),
-        ("(dir file){1}", {"web/util.ts", "web/app.ts"}),
-        ("func:arity(1)", {"B", "X", "UsesT", "tsHelper"}),
-        ("file#main.go > *{0}", {"main.go"}),
-        ("func:contains('tsHelper(')", {"tsHelper", "useHelper"}),
-        ("func:not(#A, #B)", {"C", "X", "Y", "UsesT", "tsHelper", "useHelper"}),
+        ("func.py", {"find", "lookup"}),
+        ("file > func:first", {"open", "find"}),
+        ("(dir file){1} > class", {"Desk", "Panel"}),
+        ("func:arity(2)", {"walk", "find"}),
+        ("method:arity(1)", {"Panel.show[1]", "Desk.find"}),
+        ("method:arity(2)", {"Panel.show[2]"}),
+        ("method#'Panel.show[2]' > argument", {"Panel.show[2].a", "Panel.show[2].b"}),
+        ("struct > field", {"Shelf.Name", "Shelf.crate"}),
+        ("annotation", {"Shelf.Name.json", "Shelf.Name.db", "find.cached", "Panel.Deprecated"}),
+        ("func.go > return#Shelf", {"open.Shelf", "load.Shelf", "parse.Shelf"}),
+        ("return#Crate", {"find.Crate", "Panel.show[2].Crate"}),
+        ("const, var", {"first", "limit", "LIMIT"}),
+        ("file#store.go > *{0}", {"stock/store.go"}),
+        ("func.go:contains('parse(')", {"load", "check", "parse"}),
+        ("func.go:not(#open, #load)", {"check", "parse", "ping", "pong", "walk", "orphan"}),
+        ("func:annotated('cached')", {"find"}),
+        ("struct#Shelf::in.return > func", {"open", "load", "parse"}),
+        ("struct#Shelf::in.param > *", {"walk", "Panel.Panel"}),
+        ("struct#Shelf::in.field > *", {"Panel.shelf"}),
+        ("interface#Crate::in.field > *", {"Shelf.crate"}),
+        ("file#broken.py > *, file#deep.py > func", set()),
     ],
 )
 def test_node_sets(ws, selector, want):
     assert nodes(ws, selector) == want
 
 
-@pytest.mark.parametrize(("selector", "n"), [("#'main.go#C'::in", 3), ("#'main.go#C'::in.call", 2), ("#'main.go#T'::in.type", 1), ("#'web/util.ts#tsHelper'::in.import", 1), ("#'web/util.ts#tsHelper'::in.call", 1)])
+@pytest.mark.parametrize(("selector", "n"), [("#'stock/store.go#parse'::in", 3), ("#'stock/store.go#parse'::in.call", 2), ("#'tools/find.py#lookup'::in", 2)])
 def test_edge_counts(ws, selector, n):
     assert query(ws, selector).count() == n
 
 
+@pytest.mark.parametrize(
+    ("selector", "want"),
+    [
+        ("struct#Shelf::comment", {"// Shelf holds crates."}),
+        ("func#check::comment", {"func check(path string) { parse(path) } // looks only"}),
+        ("func#find::comment", {"# Finds a crate."}),
+        ("class#Panel::comment", {"/** A panel. */"}),
+        ("func#open::signature", {"func open(path string) (Shelf, error) {"}),
+        ("func#open::body", {"\tcheck(path)\n\treturn load(path)"}),
+    ],
+)
+def test_generated_text(ws, selector, want):
+    assert {r["text"] for r in query(ws, selector).collect()} == want
+
+
 def test_contains_sets(ws):
-    assert {"C", "web/util.ts"} <= nodes(ws, ":root > *{2}") and "main.go" not in nodes(ws, ":root > *{2}")
-    assert {"main.go", "C"} <= nodes(ws, "#'main.go' > *{0,1}")
-    assert "main.go" not in nodes(ws, "file#main.go *")
+    assert {"open", "tools/find.py"} <= nodes(ws, ":root > *{2,3}") and "stock/store.go" not in nodes(ws, ":root > *{1}")
+    assert {"stock/store.go", "open"} <= nodes(ws, "#'stock/store.go' > *{0,1}")
+    assert "stock/store.go" not in nodes(ws, "file#store.go *")
     every = nodes(ws, "func:where(::in.call:all)")
-    assert "B" in every and "C" not in every
+    assert "load" in every and "parse" not in every
+
+
+def test_ids_are_one_to_one(ws):
+    symbols = ws.nodes.where("cls not in ('project', 'dir', 'file')")
+    assert symbols.count() == symbols.select("id").distinct().count()
+    assert symbols.join(ws.nodes.selectExpr("id as parent"), "parent", "left_anti").count() == 0
+
+
+def test_files_with_faults(spark):
+    rows = [*FILES, ("a.xml", "<a><b></a>"), ("b.go", "func f() {"), ("c.md", "((")]
+    got = {r["path"]: r["clean"] for r in code.clean_files(spark.createDataFrame(rows, "path string, content string")).collect()}
+    assert {p for p, clean in got.items() if not clean} >= {"tools/broken.py", "a.xml", "b.go"}
+    assert got["stock/store.go"] and got["c.md"] and got["tools/find.py"] and "notes.txt" not in got
+
+
+def test_sites_of_other_languages():
+    assert {s[0] for s in code.sites_of('<r><string name="hi">words here</string><V id="@+id/box"/></r>', "xml")} == {"r", "string", "hi", "V", "box"}
+    assert {s[0] for s in code.sites_of("const q = gql`query Q { user(id: $x) { name } }`;", "typescript")} == {"q", "gql", "Q", "user", "id", "name"}
+    assert "map" in {s[0] for s in code.sites_of("y = map(f, new)", "python")}
+    assert {s[0] for s in code.sites_of("SELECT a FROM t -- b", "sql")} == {"a", "t"}
+
+
+def test_nested_duplicates_keep_their_children():
+    decls = [("f", "func", "f", 1, 3, 1, 6, 1), ("f.a", "argument", "a", 1, 1, 1, 8, 0), ("f", "func", "f", 4, 6, 4, 6, 4), ("f.a", "argument", "a", 4, 4, 4, 8, 0)]
+    assert [n for n, _ in details.nested(decls)] == ["f[1]", "f[1].a", "f[2]", "f[2].a"]
+
+
+def test_external_and_collisions(spark, ws):
+    paths = ["/go/pkg/mod/example.org/x/y@v1.2/a.go", "/w/node_modules/@s/p/i.js", "/w/node_modules/q/i.js", "/lib/site-packages/num/a.py", "/usr/src/fmt/print.go", "/home/x.go"]
+    got = [r[0] for r in spark.createDataFrame([(p,) for p in paths], "p string").select(code.external(F.col("p"))).collect()]
+    assert got == ["example.org/x/y", "@s/p", "q", "num", "fmt", None]
+    assert tuple(code.collisions(ws).first()) == (3, 76)
+
+
+IGNORE = ["*.log", "!keep.log", "/out", "tmp/", "doc/**/x.md", "# note", "", "a?c.[ch]"]
 
 
-def test_python_declarations_and_body(spark):
-    source = "import os.path as p\n\nclass K:\n    x = 1\n\n    def __init__(self, a):\n        self.a = a\n\n    def get(self):\n        return helper(self.x)\n\n\ndef helper(v):\n    return v\n"
-    w = code.workspace(spark.createDataFrame([("m.py", source), ("bad.py", "def ("), ("none.py", None)], "path string, content string"))
-    got = {(r["node"], r["type"]) for r in query(w, "file#m.py *").collect()}
-    assert got == {("m.py#p", "import"), ("m.py#K", "class"), ("m.py#K.x", "field"), ("m.py#K.__init__", "ctor"), ("m.py#K.__init__.a", "argument"), ("m.py#K.get", "method"), ("m.py#helper", "func"), ("m.py#helper.v", "argument")}
-    assert nodes(w, "method#get::out.call > *") == {"helper"}
+def test_ignored_paths(spark):
+    want = {"a.log": True, "d/b.log": True, "d/keep.log": False, "out/x.go": True, "d/out/x.go": False, "tmp/a": True, "d/tmp/a": True, "tmp": False, "doc/x.md": True, "doc/p/q/x.md": True, "abc.c": True, "abbc.c": False}
+    rows = spark.createDataFrame([(p,) for p in want], "path string")
+    assert {r["path"]: r["x"] for r in rows.withColumn("x", code.ignored(F.col("path"), IGNORE)).collect()} == want
 
 
 def test_definitions_settle_ambiguous_edges(spark):
@@ -118,4 +224,6 @@ def test_scan_reads_text_files_only(spark, tmp_path):
     (tmp_path / "pkg" / "a.py").write_text("x = 1\n")
     (tmp_path / "bin.py").write_bytes(b"\x00\x01")
     (tmp_path / "node_modules" / "b.py").write_text("y = 1\n")
-    assert [r["path"] for r in code.scan(spark, str(tmp_path)).collect()] == ["pkg/a.py"]
+    (tmp_path / "pkg" / "build").write_text("a file, no folder\n")
+    assert sorted(r["path"] for r in code.scan(spark, str(tmp_path)).collect()) == ["pkg/a.py", "pkg/build"]
+    assert [r["path"] for r in code.scan(spark, str(tmp_path), ignore=["*.py"]).collect()] == ["pkg/build"]

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.operators import incremental, references, results, text
+from treeline.operators import conflicts, edits, incremental, references, results, text
 from treeline.plans.compiler import query
-from treeline.sources import tables
+from treeline.sources import code, tables
+from treeline.workspace import StoredWorkspace
 
 _LINES = f"lines AS (SELECT node, CAST(line AS INTEGER) AS line, text, lang FROM (SELECT source || '/' || doc_id AS node, lang, unnest(range(1, len(parts) + 1)) AS line, unnest(parts) AS text FROM (SELECT doc_id, source, lang, string_split(text, chr(10)) AS parts FROM documents)))"
 _PLACES = "people AS (SELECT c_custkey, c_name, r_name, n_name, r_name || '/' || n_name || '/' || c_name AS path FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
@@ -28,16 +29,28 @@ def _add(name: str, sql: str | None, run: Callable[[SparkSession, str], DataFram
         _SQL[name] = sql
 
 
+_KEPT: dict[tuple, StoredWorkspace] = {}
+
+
+def kept(workspace: Callable, spark: SparkSession, sf_dir: str) -> StoredWorkspace:
+    """The workspace over a folder's tables, built once in a session; the tables don't change while it lasts."""
+    key = spark.sparkContext.applicationId, workspace.__name__, sf_dir
+    if key not in _KEPT:
+        _KEPT[key] = StoredWorkspace(lambda: workspace(spark, sf_dir))
+    return _KEPT[key]
+
+
 def _select(name: str, workspace: Callable, selector: str, columns: list[str], sql: str, shape: Callable[[DataFrame], DataFrame] | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = query(workspace(spark, sf_dir), selector)
+        out = query(kept(workspace, spark, sf_dir), selector)
         return (shape(out) if shape else out).select(*columns)
 
     _add(name, sql, run)
 
 
 _select("q_grep_lines", tables.documents, "file.en::grep('-i -w the')", ["node", "line", "text"], f"WITH {_LINES} SELECT node, line, text FROM lines WHERE lang = 'en' AND regexp_matches(text, '(?i)\\bthe\\b')")
-_select("q_grep_context", tables.documents, "file::grep('-A1 -B2 License')", ["node", "line", "text", "n_before", "n_after"], f"WITH {_LINES}, framed AS (SELECT *, count(*) OVER (PARTITION BY node ORDER BY line ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS n_before, count(*) OVER (PARTITION BY node ORDER BY line ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS n_after FROM lines) SELECT node, line, text, n_before, n_after FROM framed WHERE contains(text, 'License')", lambda d: d.withColumn("n_before", F.size("before").cast("long")).withColumn("n_after", F.size("after").cast("long")))
+_select("q_grep_context", tables.documents, "file::grep('-A1 -B2 License')", ["node", "line", "text", "before", "after"], f"WITH {_LINES}, framed AS (SELECT *, list(text) OVER (PARTITION BY node ORDER BY line ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS b, list(text) OVER (PARTITION BY node ORDER BY line ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS a FROM lines) SELECT node, line, text, coalesce(array_to_string(b, chr(10)), '') AS before, coalesce(array_to_string(a, chr(10)), '') AS after FROM framed WHERE contains(text, 'License')", lambda d: d.withColumn("before", F.array_join("before", "\n")).withColumn("after", F.array_join("after", "\n")))
+_select("q_grep_unicode", tables.documents, "file::grep('-i -E ÉT|Ü[a-z]+N')", ["node", "line"], f"WITH {_LINES} SELECT node, line FROM lines WHERE regexp_matches(text, '(?i)ÉT|Ü[a-z]+N')")
 _select("q_grep_rollup", tables.documents, "file::grep('the')", ["node", "n"], f"WITH {_LINES} SELECT node, count(*) AS n FROM lines WHERE contains(text, 'the') GROUP BY node", text.rollup)
 _select("q_grep_first", tables.documents, "file::grep('-v the'):first", ["node", "line", "text"], f"WITH {_LINES} SELECT node, line, text FROM lines WHERE NOT contains(text, 'the') QUALIFY row_number() OVER (PARTITION BY node ORDER BY line) = 1")
 _select("q_contains", tables.documents, "file:contains('-i license')", ["node"], f"WITH {_LINES} SELECT DISTINCT node FROM lines WHERE contains(lower(text), 'license')")
@@ -54,7 +67,7 @@ _select("q_empty", tables.conversations, "file:empty(method#system)", ["node"],
 _select("q_all", tables.conversations, "file:all(> method[name^=user | name^=assistant])", ["node"], "SELECT 'conv/' || conv_id AS node FROM conversations GROUP BY conv_id HAVING bool_and(starts_with(role, 'user') OR starts_with(role, 'assistant'))")
 _select("q_first", tables.conversations, "file > method#user:first", ["node"], f"WITH {_TURNS} SELECT node FROM turns WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1")
 _select("q_last", tables.conversations, "file > method:last", ["node"], f"WITH {_TURNS} SELECT node FROM turns QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1")
-_select("q_out_call", tables.conversations, "method#assistant::out.call", ["host", "type"], f"WITH {_TURNS} SELECT node AS host, '::out.call' AS type FROM turns WHERE role = 'assistant' AND turn > (SELECT min(t.turn) FROM turns t WHERE t.conv_id = turns.conv_id)")
+_select("q_out_call", tables.conversations, "method#assistant::out.call", ["host", "type", "far"], f"WITH {_TURNS}, told AS (SELECT role, node, lag(node) OVER (PARTITION BY conv_id ORDER BY turn) AS far FROM turns) SELECT node AS host, '::out.call' AS type, far FROM told WHERE role = 'assistant' AND far IS NOT NULL", lambda d: d.withColumn("far", F.array_join("far", ",")))
 _select("q_in_call", tables.trade, "file[name^=Supplier]::in.call", ["n", "host"], f"WITH {_SUPPLIERS} SELECT count(*) AS n, node AS host FROM lineitem JOIN suppliers ON l_suppkey = s_suppkey GROUP BY node", lambda d: d.groupBy("host").agg(F.count(F.lit(1)).alias("n")))
 _select("q_cross", tables.trade, "field#l1::out.call > file", ["node"], f"WITH {_SUPPLIERS} SELECT DISTINCT node FROM lineitem JOIN suppliers ON l_suppkey = s_suppkey WHERE l_linenumber = 1")
 _select("q_hops", tables.events, "field#purchase::out.call{2,3} > *", ["node"], f"WITH {_NEXT}, two AS (SELECT a.src, b.dst FROM pairs a JOIN pairs b ON a.dst = b.src), three AS (SELECT t.src, c.dst FROM two t JOIN pairs c ON t.dst = c.src), far AS (SELECT DISTINCT dst FROM (SELECT * FROM two UNION ALL SELECT * FROM three) JOIN events e ON e.event_id = src WHERE e.event_type = 'purchase' AND dst IS NOT NULL) SELECT 'user/' || user_id || '#' || event_id AS node FROM far JOIN events ON event_id = dst")
@@ -65,25 +78,71 @@ _select("q_copies_in", tables.documents, "file:any(::in.import)", ["node"], "SEL
 _select("q_is_chain", tables.documents, "file:is(dir#src0 > file)", ["node"], "SELECT source || '/' || doc_id AS node FROM documents WHERE source = 'src0'")
 _select("q_group", tables.trade, "(dir dir){1}", ["node"], "SELECT r_name || '/' || n_name AS node FROM nation JOIN region ON n_regionkey = r_regionkey")
 
-_add("q_class_counts", "SELECT 'project' AS type, 1 AS n UNION ALL SELECT 'dir', count(*) + 1 + (SELECT count(*) FROM region) FROM nation UNION ALL SELECT 'file', (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) UNION ALL SELECT 'struct', count(*) FROM orders UNION ALL SELECT 'field', count(*) FROM lineitem UNION ALL SELECT 'type', count(*) FROM part", lambda s, d: text.class_counts(tables.trade(s, d)))
+_add("q_class_counts", "SELECT 'project' AS type, 1 AS n UNION ALL SELECT 'dir', count(*) + 1 + (SELECT count(*) FROM region) FROM nation UNION ALL SELECT 'file', (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) UNION ALL SELECT 'struct', count(*) FROM orders UNION ALL SELECT 'field', count(*) FROM lineitem UNION ALL SELECT 'type', count(*) FROM part", lambda s, d: text.class_counts(kept(tables.trade, s, d)))
 _NAMES = f"WITH {_LINES}, names AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM lines)"
-_add("q_name_freq", f"{_NAMES} SELECT name, count(*) AS n FROM names GROUP BY name", lambda s, d: text.name_freq(tables.documents(s, d)))
-_add("q_cardinality", f"{_NAMES} SELECT count(DISTINCT name) AS n FROM names", lambda s, d: text.cardinality(tables.documents(s, d)))
-_add("q_search", f"WITH {_LINES}, ok AS (SELECT * FROM lines WHERE node NOT IN (SELECT node FROM lines WHERE length(text) > 5000)), hits AS (SELECT node, line, unnest(regexp_extract_all(text, 'License|password')) AS hit FROM ok) SELECT node AS path, line, hit, count(*) AS n FROM hits GROUP BY ALL", lambda s, d: text.search(tables.documents(s, d), "License|password").groupBy("path", "line", "hit").agg(F.count(F.lit(1)).alias("n")))
-_add("q_histogram", f"WITH {_PLACES} SELECT path, 'struct' AS type, count(*) AS n FROM people JOIN orders ON o_custkey = c_custkey GROUP BY path UNION ALL SELECT path, 'field', count(*) FROM people JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY path UNION ALL SELECT 'parts', 'type', count(*) FROM part", lambda s, d: text.histogram(tables.trade(s, d)))
+_add("q_name_freq", f"{_NAMES} SELECT name, count(*) AS n FROM names GROUP BY name", lambda s, d: text.name_freq(kept(tables.documents, s, d)))
+_add("q_cardinality", f"{_NAMES} SELECT count(DISTINCT name) AS n FROM names", lambda s, d: text.cardinality(kept(tables.documents, s, d)))
+_add("q_search", f"WITH {_LINES}, ok AS (SELECT * FROM lines WHERE node NOT IN (SELECT node FROM lines WHERE length(text) > 5000)), hits AS (SELECT node, line, unnest(regexp_extract_all(text, 'License|password')) AS hit FROM ok) SELECT node AS path, line, hit, count(*) AS n FROM hits GROUP BY ALL", lambda s, d: text.search(kept(tables.documents, s, d), "License|password").groupBy("path", "line", "hit").agg(F.count(F.lit(1)).alias("n")))
+_add("q_histogram", f"WITH {_PLACES} SELECT path, 'struct' AS type, count(*) AS n FROM people JOIN orders ON o_custkey = c_custkey GROUP BY path UNION ALL SELECT path, 'field', count(*) FROM people JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY path UNION ALL SELECT 'parts', 'type', count(*) FROM part", lambda s, d: text.histogram(kept(tables.trade, s, d)))
 _add("q_debounce", "WITH e AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 3600000000 THEN 0 ELSE 1 END AS cut FROM events), r AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM e) SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM r GROUP BY user_id, run", lambda s, d: incremental.debounce(tables.table(s, d, "events"), "user_id", "ts", 3_600_000))
 _add("q_latest_state", "SELECT user_id, arg_max(event_type, ts) AS event_type, max(ts) AS ts FROM events GROUP BY user_id", lambda s, d: incremental.latest(tables.table(s, d, "events").select("user_id", "ts", "event_type"), "user_id", ["ts"]))
-_add("q_lookup_dedup", f"WITH {_TURNS} SELECT conv_id, role, max(turn) AS turn FROM turns GROUP BY conv_id, role", lambda s, d: incremental.lookup(tables.table(s, d, "conversations").select(F.col("conv_id").alias("path"), F.lit(1).alias("line"), F.col("role").alias("col"), F.col("turn").alias("conf"), F.col("role").alias("name"))).select(F.col("path").alias("conv_id"), F.col("col").alias("role"), F.col("conf").alias("turn")))
+_add("q_lookup_dedup", "SELECT conv_id, CAST(length(text) AS INTEGER) AS size, role, max(turn) AS turn FROM conversations GROUP BY ALL", lambda s, d: incremental.lookup(tables.table(s, d, "conversations").select(F.col("conv_id").alias("path"), F.length("text").alias("line"), F.col("role").alias("col"), F.col("turn").alias("conf"), F.col("role").alias("name"))).select(F.col("path").alias("conv_id"), F.col("line").alias("size"), F.col("col").alias("role"), F.col("conf").alias("turn")))
 _add("q_replace_keys", "SELECT user_id, event_type, value FROM events WHERE event_type = 'purchase' UNION ALL SELECT user_id, event_type, value FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')", lambda s, d: incremental.replace_keys(*(lambda e: (e, e.where("event_type = 'purchase'")))(tables.table(s, d, "events").select("user_id", "event_type", "value")), "user_id"))
 _add("q_fold", "WITH log AS (SELECT event_id AS seq, user_id, event_type FROM events) SELECT CAST(user_id AS VARCHAR) AS \"table\", event_type AS \"column\", max(seq) AS seq FROM log GROUP BY user_id, event_type HAVING arg_max(seq, seq) % 3 <> 0", lambda s, d: incremental.fold(_ddl(tables.table(s, d, "events"))))
 
-_add("q_page", f"WITH {_TURNS} SELECT node FROM turns WHERE role = 'user' ORDER BY conv_id, turn LIMIT 20 OFFSET 40", lambda s, d: results.page(tables.conversations(s, d), "method#user", 20, 40).rows.select("node"))
-_add("q_languages", "SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang", lambda s, d: references.languages(tables.documents(s, d)))
-_add("q_symbol_search", f"{_NAMES.replace('SELECT unnest', 'SELECT node, line, unnest')} SELECT name, node AS path, line, count(*) AS n FROM names WHERE contains(lower(name), 'licen') GROUP BY ALL", lambda s, d: references.workspace_symbols(tables.documents(s, d), "licen").groupBy("name", "path", "line").agg(F.count(F.lit(1)).alias("n")))
-_add("q_ambiguous", f"WITH {_PLACES} SELECT 'l' || l_linenumber AS leaf, count(DISTINCT r_name || '/' || n_name) AS n_dirs FROM people JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1 HAVING count(DISTINCT r_name || '/' || n_name) > 1", lambda s, d: references.ambiguous(tables.trade(s, d)))
-_add("q_explain", "SELECT 1 AS alternative, 1 AS step, 'node' AS element, count(*) AS rows FROM region WHERE r_name = 'ASIA' UNION ALL SELECT 1, 2, 'node', count(*) FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'", lambda s, d: results.explain(tables.trade(s, d), "dir#ASIA > dir"))
-_add("q_structure", f"WITH {_PLACES}, hits AS (SELECT DISTINCT c_custkey, path, o_orderkey FROM people JOIN orders ON o_custkey = c_custkey WHERE o_orderkey % 1000 = 7 AND o_orderkey > 9) SELECT DISTINCT unnest([r_name, r_name || '/' || n_name, p.path, p.path || '#o' || o_orderkey]) AS node, unnest(['dir', 'dir', 'file', 'struct']) AS type FROM hits JOIN people p USING (c_custkey)", lambda s, d: text.structure(tables.trade(s, d), depth=4, pattern="^o[0-9]+007$", limit=None).select("node", "type"))
-_add("q_structure_all", f"WITH {_PLACES}, {_SUPPLIERS}, {_ITEMS}, placed AS (SELECT o_orderkey, path || '#o' || o_orderkey AS node FROM orders JOIN people ON o_custkey = c_custkey) SELECT r_name AS node, 'dir' AS type, CAST(1 AS INTEGER) AS depth FROM region UNION ALL SELECT 'parts', 'dir', 1 UNION ALL SELECT r_name || '/' || n_name, 'dir', 2 FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'parts#p' || p_partkey, 'type', 2 FROM part UNION ALL SELECT path, 'file', 3 FROM people UNION ALL SELECT node, 'file', 3 FROM suppliers UNION ALL SELECT node, 'struct', 4 FROM placed UNION ALL SELECT node || '.l' || l_linenumber || '.' || l_at, 'field', 5 FROM items JOIN placed ON l_orderkey = o_orderkey", lambda s, d: text.structure(tables.trade(s, d), limit=None))
+_add("q_page", f"WITH {_TURNS} SELECT node FROM turns WHERE role = 'user' ORDER BY conv_id, turn LIMIT 20 OFFSET 40", lambda s, d: results.page(kept(tables.conversations, s, d), "method#user", 20, 40).rows.select("node"))
+_add("q_languages", "SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang", lambda s, d: references.languages(kept(tables.documents, s, d)))
+_add("q_symbol_search", f"{_NAMES.replace('SELECT unnest', 'SELECT node, line, unnest')} SELECT name, node AS path, line, count(*) AS n FROM names WHERE contains(lower(name), 'licen') GROUP BY ALL", lambda s, d: references.workspace_symbols(kept(tables.documents, s, d), "licen").groupBy("name", "path", "line").agg(F.count(F.lit(1)).alias("n")))
+_add("q_ambiguous", f"WITH {_PLACES} SELECT 'l' || l_linenumber AS leaf, count(DISTINCT r_name || '/' || n_name) AS n_dirs FROM people JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1 HAVING count(DISTINCT r_name || '/' || n_name) > 1", lambda s, d: references.ambiguous(kept(tables.trade, s, d)))
+_add("q_explain", "SELECT 1 AS alternative, 1 AS step, 'node' AS element, count(*) AS rows FROM region WHERE r_name = 'ASIA' UNION ALL SELECT 1, 2, 'node', count(*) FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'", lambda s, d: results.explain(kept(tables.trade, s, d), "dir#ASIA > dir"))
+_add("q_structure", f"WITH {_SUPPLIERS} SELECT node, 'file' AS type FROM suppliers UNION SELECT DISTINCT unnest([split_part(node, '/', 1), split_part(node, '/', 1) || '/' || split_part(node, '/', 2)]), 'dir' FROM suppliers", lambda s, d: text.structure(kept(tables.trade, s, d), pattern="^Supplier#", limit=None).select("node", "type"))
+_add("q_structure_all", f"WITH {_PLACES}, {_SUPPLIERS}, {_ITEMS}, placed AS (SELECT o_orderkey, path || '#o' || o_orderkey AS node FROM orders JOIN people ON o_custkey = c_custkey) SELECT r_name AS node, 'dir' AS type, CAST(1 AS INTEGER) AS depth FROM region UNION ALL SELECT 'parts', 'dir', 1 UNION ALL SELECT r_name || '/' || n_name, 'dir', 2 FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'parts#p' || p_partkey, 'type', 2 FROM part UNION ALL SELECT path, 'file', 3 FROM people UNION ALL SELECT node, 'file', 3 FROM suppliers UNION ALL SELECT node, 'struct', 4 FROM placed UNION ALL SELECT node || '.l' || l_linenumber || '.' || l_at, 'field', 5 FROM items JOIN placed ON l_orderkey = o_orderkey", lambda s, d: text.structure(kept(tables.trade, s, d), limit=None))
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): three source files for every document, named by its id, and one with a merge conflict."""
+    docs = tables.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("i"), "lang")
+    go = "package stock\n\n// Item%s is about %s.\n// It is kept.\ntype Item%s struct {\n\tNext *Item%s `json:\"next\" db:\"n%s\"`\n}\n\n// Get%s finds it.\nfunc Get%s(key string, item Item%s) (Item%s, error) { // always\n\tif key == \"\" {\n\t\treturn item, nil\n\t}\n\treturn Item%s{}, nil\n}\n\nfunc use%s() { Get%s(\"k\", nil) }\n"
+    java = "package box;\n\n@Stored(\"b%s\")\npublic class Box%s {\n  @Override\n  public void go(int a) { go(a, 1); }\n  Box%s go(int a, int b) { return null; }\n}\n"
+    merged = "head %s\n<<<<<<< ours\nmine %s\n||||||| base\nold %s\n=======\ntheirs %s\nmore %s\n>>>>>>> branch\ntail\n"
+    filled = lambda text, lang_at=None: F.format_string(text, *["lang" if n == lang_at else "i" for n in range(text.count("%s"))])
+    docs = docs.withColumn("lang", F.coalesce("lang", F.lit("none")))
+    rows = [("go", filled(go, 1)), ("java", filled(java)), ("txt", filled(merged))]
+    each = docs.select("i", F.explode(F.array(*[F.struct(F.lit(x).alias("ext"), t.alias("content")) for x, t in rows])).alias("x"))
+    return each.select(F.concat(F.lit("src/"), "x.ext", F.lit("/f"), "i", F.lit("."), "x.ext").alias("path"), "x.content")
+
+
+def code_tree(spark: SparkSession, sf_dir: str):
+    return code.workspace(code_files(spark, sf_dir))
+
+
+_IDS = "ids AS (SELECT CAST(doc_id AS VARCHAR) AS i, coalesce(lang, 'none') AS lang FROM documents)"
+_GO, _JAVA, _TXT = (f"'src/{x}/f' || i || '.{x}'" for x in ("go", "java", "txt"))
+_select("q_code_symbols", code_tree, "dir#go > file > *", ["node", "type", "start", "end"], f"WITH {_IDS} SELECT {_GO} || '#' || unnest(['stock', 'Item' || i, 'Get' || i, 'use' || i]) AS node, unnest(['module', 'struct', 'func', 'func']) AS type, CAST(unnest([1, 5, 10, 17]) AS INTEGER) AS start, CAST(unnest([1, 7, 15, 17]) AS INTEGER) AS \"end\" FROM ids")
+_select("q_code_arity", code_tree, "method:arity(2)", ["node"], f"WITH {_IDS} SELECT {_JAVA} || '#Box' || i || '.go[2]' AS node FROM ids")
+_select("q_code_arguments", code_tree, "method > argument", ["node"], f"WITH {_IDS} SELECT {_JAVA} || '#Box' || i || unnest(['.go[1].a', '.go[2].a', '.go[2].b']) AS node FROM ids")
+_select("q_code_returns", code_tree, "func > return, method > return", ["node"], f"WITH {_IDS} SELECT {_GO} || '#Get' || i || '.' || unnest(['Item' || i, 'error']) AS node FROM ids UNION ALL SELECT {_JAVA} || '#Box' || i || '.go[2].Box' || i FROM ids")
+_select("q_code_annotations", code_tree, "annotation", ["node"], f"WITH {_IDS} SELECT {_GO} || '#Item' || i || '.Next.' || unnest(['json', 'db']) AS node FROM ids UNION ALL SELECT {_JAVA} || '#Box' || i || unnest(['.Stored', '.go[1].Override']) FROM ids")
+_select("q_code_annotated", code_tree, "class:annotated('Stored'), method:annotated('@Override')", ["node"], f"WITH {_IDS} SELECT {_JAVA} || '#Box' || i || unnest(['', '.go[1]', '.go[2]']) AS node FROM ids")
+_select("q_code_comment", code_tree, "struct::comment, func::comment", ["node", "line", "text"], f"WITH {_IDS} SELECT {_GO} || '#Item' || i AS node, CAST(3 AS INTEGER) AS line, '// Item' || i || ' is about ' || lang || '.' || chr(10) || '// It is kept.' AS text FROM ids UNION ALL SELECT {_GO} || '#Get' || i, 9, '// Get' || i || ' finds it.' FROM ids")
+_select("q_code_signature", code_tree, "func::signature", ["node", "text"], f"WITH {_IDS} SELECT {_GO} || '#Get' || i AS node, 'func Get' || i || '(key string, item Item' || i || ') (Item' || i || ', error) {{ // always' AS text FROM ids UNION ALL SELECT {_GO} || '#use' || i, 'func use' || i || '() {{ Get' || i || '(\"k\", nil) }}' FROM ids")
+_select("q_code_body", code_tree, "func[name^=Get]::body", ["node", "line", "text"], f"WITH {_IDS} SELECT {_GO} || '#Get' || i AS node, CAST(11 AS INTEGER) AS line, chr(9) || 'if key == \"\" {{' || chr(10) || chr(9) || chr(9) || 'return item, nil' || chr(10) || chr(9) || '}}' || chr(10) || chr(9) || 'return Item' || i || '{{}}, nil' AS text FROM ids")
+_select("q_code_in_return", code_tree, "struct::in.return > func", ["node"], f"WITH {_IDS} SELECT {_GO} || '#Get' || i AS node FROM ids")
+_select("q_code_in_param", code_tree, "struct::in.param > *", ["node"], f"WITH {_IDS} SELECT {_GO} || '#Get' || i AS node FROM ids")
+_select("q_code_in_field", code_tree, "struct::in.field > *", ["node"], f"WITH {_IDS} SELECT {_GO} || '#Item' || i || '.Next' AS node FROM ids")
+_select("q_code_in_call", code_tree, "func::in.call > func", ["node"], f"WITH {_IDS} SELECT {_GO} || '#use' || i AS node FROM ids")
+_select("q_code_uncalled", code_tree, "func:where(::in:empty)", ["node"], f"WITH {_IDS} SELECT {_GO} || '#use' || i AS node FROM ids")
+_select("q_conflict_sides", code_tree, "file::mine, file::theirs", ["node", "line", "text"], f"WITH {_IDS} SELECT {_TXT} AS node, CAST(3 AS INTEGER) AS line, 'mine ' || i AS text FROM ids UNION ALL SELECT {_TXT}, 7, 'theirs ' || i || chr(10) || 'more ' || i FROM ids")
+_add("q_conflict_resolved", f"WITH {_IDS} SELECT {_TXT} AS path, string_agg(x, chr(10) ORDER BY n) AS text FROM (SELECT i, unnest([1, 2, 3, 4]) AS n, unnest(['head ' || i, 'theirs ' || i, 'more ' || i, 'tail']) AS x FROM ids) GROUP BY i", lambda s, d: _resolved(kept(code_tree, s, d)))
+_add("q_rename_plan", f"WITH {_IDS} SELECT {_GO} AS path, CAST(unnest([10, 11]) AS INTEGER) AS line, CAST(unnest([10, 5]) + length(i) * unnest([1, 0]) AS INTEGER) AS col, 'edit' AS action FROM ids", lambda s, d: edits.rename_plan(kept(code_tree, s, d), "key", "name").select("path", F.col("line").cast("int").alias("line"), F.col("col").cast("int").alias("col"), "action"))
+_add("q_ignored", "SELECT 'src/go/f' || doc_id || '.go' AS path FROM documents", lambda s, d: (lambda f: f.where(~code.ignored(F.col("path"), ["*.java", "src/t?t/", "!src/txt/keep"])).select("path"))(code_files(s, d)))
+_add("q_clean_files", "SELECT 'src/' || x || '/f' || doc_id || '.' || x AS path, true AS clean FROM documents, (VALUES ('go'), ('java')) t(x)", lambda s, d: code.clean_files(code_files(s, d)).select("path", "clean"))
+
+
+def _resolved(ws) -> DataFrame:
+    files = ws.nodes.where("cls = 'file' and path like '%.txt'").select("file_id", "path")
+    lines = conflicts.resolved(ws.lines.join(files, "file_id", "left_semi"), "theirs").join(files, "file_id")
+    return lines.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x.text), "\n").alias("text"))
 
 
 def _ddl(events: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def search(ws: Workspace, pattern: str, path_prefix: str | None = None, limit: i
     if path_prefix:
         files = files.where(F.col("path").startswith(path_prefix))
     generated = ws.lines.where(F.length("text") > GENERATED_LINE).select("file_id").distinct()
-    java = to_java(pattern)
+    java = f"(?d){to_java(pattern)}"
     lines = ws.lines.where(F.col("text").rlike(java)).join(files, "file_id").join(generated, "file_id", "left_anti")
     hits = lines.select("path", "line", "text", F.regexp_extract_all("text", F.lit(f"({java})"), F.lit(1)).alias("all"))
     # A match's column: the text up to it, built from the gaps that splitting leaves.
@@ -87,7 +87,7 @@ def structure(ws: Workspace, folder: str = "", depth: int | None = None, pattern
         inside = folder.rstrip("/") + "/"
         nodes = nodes.where((F.col("path") == folder) | F.col("path").startswith(inside))
     if pattern is not None:
-        hits = nodes.where(F.col("leaf").rlike(to_java(pattern)))
+        hits = nodes.where(F.col("leaf").rlike(f"(?d){to_java(pattern)}"))
         above = hits.select(F.explode("anc").alias("id"))
         whole = hits.where("cls <> 'dir'").select(F.col("id").alias("a"))
         below = nodes.select("id", F.explode("anc").alias("a")).join(whole, "a", "left_semi").select("id")

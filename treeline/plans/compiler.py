@@ -9,7 +9,6 @@ on the driver, over frontiers written to the shared folder.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import replace
 from functools import reduce
 
@@ -19,18 +18,14 @@ from pyspark.sql import functions as F
 from treeline.functions.patterns import attribute, matches
 from treeline.operators import conflicts
 from treeline.plans.selector import Bool, Chain, Compound, Edge, Element, Generated, Pseudo, SelectorError, parse
-from treeline.workspace import Workspace, node_id
+from treeline.workspace import Workspace, node_id, written
 
 CLAIMS = ("any", "empty", "all")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir, or a local one where none is set, and read again."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/treeline-scratch"
-    path = f"{root.rstrip('/')}/frontier-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df written to the folder of spark.checkpoint.dir and read again."""
+    return written(df)
 
 
 def tests_column(test, id_columns: tuple[str, ...] = ("leaf", "full")) -> Column:
@@ -368,6 +363,17 @@ def relax(e: Element) -> Element:
     return e
 
 
+def named(ws: Workspace, chains: list[Chain]) -> DataFrame:
+    """The nodes that a selector can end at: only those of its last tags, if it names some and doesn't move on from them."""
+    tags: set[str] = set()
+    for c in chains:
+        last = c[-1][1]
+        if not isinstance(last.body, Compound) or not last.body.tag or last.low < 1 or any(p.name == "parents" for p in last.body.pseudos):
+            return ws.nodes
+        tags.add(last.body.tag)
+    return ws.nodes.where(F.col("cls").isin(sorted(tags)))
+
+
 def query(ws: Workspace, selector: str) -> DataFrame:
     """The selector's result.
 
@@ -388,7 +394,7 @@ def query(ws: Workspace, selector: str) -> DataFrame:
     tips, kind = compiler.alternatives(chains)
     ids = tips.select("id").distinct()
     if kind == "node":
-        return ws.nodes.join(ids, "id", "left_semi").select(F.col("addr").alias("node"), F.col("cls").alias("type"), "path", "start", "end")
+        return named(ws, chains).join(ids, "id", "left_semi").select(F.col("addr").alias("node"), F.col("cls").alias("type"), "path", "start", "end")
     edges = ws.edges.join(ids.withColumnRenamed("id", "edge_id"), "edge_id", "left_semi")
     names = ws.nodes.select("id", "addr")
     edges = edges.join(names.toDF("host", "host_addr"), "host").join(names.toDF("far", "far_addr"), "far")

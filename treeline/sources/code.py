@@ -8,6 +8,7 @@ scanner of braces and declaration heads. Trees and edges are then joins.
 from __future__ import annotations
 
 import ast
+import keyword
 import re
 from collections.abc import Iterator
 
@@ -15,20 +16,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from treeline.sources import languages
+from treeline.sources import details, languages
 from treeline.sources.tables import split_lines
 from treeline.workspace import Workspace, both_directions, node_id, project, root
 
 # Extensions and languages; folders that hold no source.
 EXTENSIONS = {"go": "go", "ts": "typescript", "tsx": "typescript", "js": "typescript", "jsx": "typescript", "mjs": "typescript", "cjs": "typescript", "py": "python", "pyi": "python", "java": "java", "kt": "kotlin", "kts": "kotlin", "groovy": "groovy", "gradle": "groovy", "gvy": "groovy", "gy": "groovy", "c": "c", "cpp": "cpp", "cc": "cpp", "h": "cpp", "hpp": "cpp", "sql": "sql", "psql": "sql", "xml": "xml", "md": "markdown", "markdown": "markdown"}
 BRACED = ("go", "typescript")
-NOISE = (".git", "node_modules", "vendor", "__pycache__", "dist", "build", ".idea", ".vscode")
-# Words of the languages that are never references.
-KEYWORDS = frozenset("break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var string int int64 int32 bool error byte rune float64 any nil true false class extends implements constructor function let new this super export from as async await static public private protected readonly number boolean void null undefined typeof instanceof in of throw try catch finally enum def lambda pass raise yield with not and or is None True False self cls elif except global nonlocal del assert".split())
+NOISE = (".git", "node_modules", "vendor", "__pycache__", "dist", "build", ".idea", ".vscode", "_fixture")
+# Words of each language, and names of its basic types, that are never references.
+_CURLY = "abstract break case catch class continue default do else enum extends final finally for if import instanceof interface new package private protected public return static super switch this throw throws try void while"
+KEYWORDS = {
+    "go": "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var string int int8 int16 int32 int64 uint uint8 uint16 uint32 uint64 byte rune float32 float64 bool any error true false nil iota",
+    "typescript": f"{_CURLY} any as async await boolean const constructor delete export from function get implements in let never null number object of readonly set string true false type typeof undefined unknown var yield",
+    "python": f"{' '.join(keyword.kwlist)} int float str bool bytes list dict tuple set frozenset type object print len range self cls",
+    "java": f"{_CURLY} assert boolean byte char double float implements int long native null record short synchronized true false transient var volatile String Object Integer Boolean Long Double Float Byte Short Character Void",
+    "kotlin": f"{_CURLY} as by companion constructor data fun in init inline internal is it null object open out override sealed suspend true false typealias val var when where String Int Long Short Byte Boolean Char Float Double Unit Any Nothing Array List Map Set Pair",
+    "groovy": f"{_CURLY} as assert boolean byte char def double float implements in int it long null short trait true false String Object Integer Boolean Long Double Float Byte Short Character List Map Set",
+    "c": f"{_CURLY} auto char const delete double extern explicit float friend goto inline int long namespace operator override register short signed sizeof struct template typedef typename union unsigned using virtual volatile NULL nullptr true false size_t ssize_t ptrdiff_t wchar_t bool int8_t int16_t int32_t int64_t uint8_t uint16_t uint32_t uint64_t intptr_t uintptr_t",
+    "sql": "add all alter and as asc begin between by case check constraint create cross default delete desc distinct drop else end exists foreign from function group having if in index inner insert into is join key left like limit not null on or order outer primary references returning returns right select set table then trigger union unique update using values view when where with",
+}
+WORDS = {lang: frozenset(words.split()) for lang, words in KEYWORDS.items()} | {"cpp": frozenset(KEYWORDS["c"].split())}
 MOST_BYTES = 1 << 20
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
-DECLS = "path string, sym string, cls string, leaf string, start int, end int, name_line int, name_col int, body_line int, at int"
-SITES = "path string, name string, line int, col int, kind string"
+DECLS = "path string, sym string, cls string, leaf string, start int, end int, name_line int, name_col int, body_line int, at int, above array<string>, comment_start int, comment_end int"
+SITES = "path string, name string, line int, col int, kind string, pos string, host string, encl string"
+_DECL_TYPES = [pa.string()] * 4 + [pa.int32()] * 6 + [pa.list_(pa.string()), pa.int32(), pa.int32()]
+_SITE_TYPES = [pa.string(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 4]
 
 Decl = tuple  # (sym, cls, leaf, start, end, name_line, name_col, body_line)
 
@@ -69,30 +83,22 @@ def _blank(text: str) -> str:
     return re.sub(r"//[^\n]*|/\*.*?\*/|`[^`]*`|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S)
 
 
-_GO = re.compile(r"^[ \t]*(?:func\s*(?:\(\s*\w*\s*\*?(?P<recv>\w+)[^)]*\)\s*)?(?P<func>\w+)|type\s+(?P<type>\w+)[^\n{]*?\b(?P<form>struct|interface)?\b|(?P<value>var|const)\s+(?P<name>\w+)|package\s+(?P<package>\w+))", re.M)
+_GO = re.compile(r"^[ \t]*(?:func\s*(?:\(\s*\w*\s*\*?(?P<recv>\w+)[^)]*\)\s*)?(?P<func>\w+)|type\s+(?P<type>\w+)(?:[^\n{]*?\b(?P<form>struct|interface)\b)?|(?P<value>var|const)\s+(?:(?P<name>\w+)|(?P<many>\())|package\s+(?P<package>\w+))", re.M)
 _TS = re.compile(r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\s*\*?\s*(?P<func>\w+)|(?:abstract\s+)?class\s+(?P<cls>\w+)|interface\s+(?P<iface>\w+)|type\s+(?P<type>\w+)\s*[=<]|enum\s+(?P<enum>\w+)|(?P<value>const|let|var)\s+(?P<name>\w+))", re.M)
-_TS_MEMBER = re.compile(r"^[ \t]*(?:(?:public|private|protected|static|readonly|async|get|set)\s+)*(?P<name>\w+)\s*(?P<what>[(<:=;?])", re.M)
+_TS_MEMBER = re.compile(r"^[ \t]*(?:@[\w.]+(?:\([^()\n]*\))?\s+)*(?:(?:public|private|protected|static|readonly|async|get|set)\s+)*(?P<name>\w+)\s*(?P<what>[(<:=;?])", re.M)
 _TS_IMPORT = re.compile(r"^[ \t]*import\b[^;\n]*?from\s*['\"](?P<from>[^'\"]+)['\"]|^[ \t]*import\s*['\"](?P<only>[^'\"]+)['\"]", re.M)
 _GO_IMPORT = re.compile(r"^[ \t]*import\s*(?:\((?P<many>[^)]*)\)|(?P<one>[^\n]*))", re.M)
 
 
 def _close(text: str, at: int, pair: str) -> int:
-    """Place of the bracket that closes the one at ``at``; the end of the text if none does."""
-    depth = 0
-    for i in range(at, len(text)):
-        if text[i] == pair[0]:
-            depth += 1
-        elif text[i] == pair[1]:
-            depth -= 1
-            if not depth:
-                return i
-    return len(text) - 1
+    """Place of the bracket that closes the one at ``at``; the last place of the text if none does."""
+    return min(details.closing(text, at, pair), len(text) - 1)
 
 
 def brace_decls(text: str, lang: str) -> list[Decl]:
     plain = _blank(text)
-    line_of = lambda at: plain.count("\n", 0, at) + 1
-    column = lambda at: at - (plain.rfind("\n", 0, at) + 1) + 1
+    places = details.Text(plain)
+    line_of, column = places.line, places.column
     out: list[Decl] = []
 
     def head(m: re.Match) -> int:
@@ -134,6 +140,10 @@ def brace_decls(text: str, lang: str) -> list[Decl]:
             done = callable_(sym, "method" if recv else "func", g["func"], first, m.start("func"))
         elif g.get("package"):
             add(g["package"], "module", g["package"], first, m.end(), m.start("package"))
+        elif g.get("many"):
+            done = _close(plain, m.start("many"), "()")
+            for f in re.compile(r"^[ \t]*(\w+)\b[^\n]*", re.M).finditer(plain, plain.find("\n", m.end()) + 1, done):
+                add(f[1], "const" if g["value"] == "const" else "var", f[1], f.start(1), f.end() - 1, f.start(1))
         elif g.get("value"):
             stop = plain.find("\n", m.end())
             add(g["name"], "const" if g["value"] == "const" else "var", g["name"], first, (len(plain) if stop < 0 else stop) - 1, m.start("name"))
@@ -170,63 +180,176 @@ def brace_decls(text: str, lang: str) -> list[Decl]:
     return sorted(out, key=lambda d: (d[3], d[6]))
 
 
+def plain_text(text: str, lang: str) -> str:
+    """The text with comments and strings as spaces, places kept."""
+    if lang == "python":
+        return re.sub(r"#[^\n]*|[rbfuRBFU]{0,2}(?:\"\"\".*?\"\"\"|'''.*?'''|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*')", lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S)
+    if lang in ("xml", "markdown"):
+        return text
+    return languages.blank(text, sql=True) if lang == "sql" else _blank(text)
+
+
+def graphql_names(text: str) -> list[tuple[str, int]]:
+    """(name, place) in GraphQL documents that TypeScript holds as template literals, without variables, strings and comments."""
+    out = []
+    for m in re.finditer(r"\b(?:graphql|gql)\s*\(?\s*`([^`]*)`", text):
+        body = re.sub(r"#[^\n]*|\"[^\"\n]*\"|\$\{[^}]*\}|\$\w+", lambda x: " " * len(x[0]), m[1])
+        words = [x for x in _NAME.finditer(body) if x[0] not in ("query", "mutation", "subscription", "fragment", "on", "true", "false", "null")]
+        out += [(x[0], m.start(1) + x.start()) for x in words]
+    return out
+
+
 def sites_of(text: str, lang: str) -> list[tuple[str, int, int, str]]:
     """(name, line, column, kind) of every identifier outside comments and strings that is no keyword."""
     if lang == "markdown":
         return [(*name, "") for name in languages.markdown_names(text)]
-    plain = languages.blank(text, sql=True) if lang == "sql" else text if lang == "xml" else _blank(text) if lang != "python" else re.sub(r"#[^\n]*", lambda m: " " * len(m[0]), text)
+    if lang == "xml":
+        # Names of elements, and names in values that name or refer to something.
+        at = details.Text(text)
+        found = [m for m in re.finditer(r"</?([A-Za-z_][\w.]*)|\b(?:name|key|id)\s*=\s*[\"']([A-Za-z_]\w*)[\"']|@\+?(?:[\w.]+:)?\w+/([A-Za-z_]\w*)", text) if not m[0].startswith("</")]
+        return [(m[m.lastindex], at.line(m.start(m.lastindex)), at.column(m.start(m.lastindex)), "") for m in found]
+    plain, words = plain_text(text, lang), WORDS.get(lang, frozenset())
     out = []
     for n, line in enumerate(plain.split("\n"), 1):
         importing = bool(re.match(r"\s*(?:import|from)\b", line))
         for m in _NAME.finditer(line):
-            if m[0] in KEYWORDS:
+            if m[0] in words or lang == "sql" and m[0].lower() in words:
                 continue
             before, after = line[: m.start()].rstrip(), line[m.end() :]
             kind = "import" if importing else "call" if re.match(r"\s*\(", after) else ""
             if not kind and (re.search(r"(?:\bnew|\bextends|\bimplements|:|\*|\[\]|->)$", before) or lang == "go" and re.search(r"[(,]\s*\w+$", before) and re.match(r"\s*[,){]", after)):
                 kind = "type"
             out.append((m[0], n, m.start() + 1, kind))
+    if lang == "typescript":
+        at = details.Text(text)
+        out += [(name, at.line(x), at.column(x), "") for name, x in graphql_names(text)]
+    return out
+
+
+def declarations(text: str, lang: str) -> list[Decl]:
+    """A file's declarations with their returns and annotations, none where the file can't be read."""
+    try:
+        found = python_decls(text) if lang == "python" else brace_decls(text, lang) if lang in BRACED else languages.read(text, lang)
+    except (SyntaxError, ValueError, RecursionError):
+        return []
+    if lang in ("markdown", "xml", "sql"):
+        return list(found)
+    whole, plain = details.Text(text), details.Text(plain_text(text, lang))
+    out: list[Decl] = []
+    for d in found:
+        out += [d, *details.annotations(whole, plain, d, lang), *details.returns(plain, d, lang)]
     return out
 
 
+def _decl_rows(path: str, text: str, lang: str) -> list[tuple]:
+    whole = details.Text(text)
+    found = declarations(text, lang)
+    rows = []
+    for at, (d, (sym, above)) in enumerate(zip(found, details.nested(found), strict=True)):
+        span = None if d[1] in ("argument", "return", "annotation", "module") else details.comment_span(whole, d, lang)
+        rows.append((path, sym, *d[1:], at, above, *(span or (None, None))))
+    return rows
+
+
+def _site_rows(path: str, text: str, lang: str) -> list[tuple]:
+    """Sites that are no declarations, each with the innermost symbol around it and the position of a type."""
+    found = declarations(text, lang)
+    names = details.nested(found)
+    declared = {(d[2], d[5], d[6]) for d in found if d[1] not in ("return", "annotation")}
+    plain = details.Text(plain_text(text, lang))
+    places = details.positions(plain, found, lang) if lang not in ("markdown", "xml", "sql") else []
+    hosts = sorted(((d[3], -d[4], -len(d[0].split(".")), i) for i, d in enumerate(found) if d[1] not in ("argument", "return", "import", "module", "annotation")), reverse=True)
+    # Outer symbols are written first, so each line ends up with its innermost.
+    inner: dict[int, int] = {}
+    for first, last, _, i in sorted(hosts, key=lambda h: (h[1] + h[0], -h[2], -h[3])):
+        inner.update(dict.fromkeys(range(first, -last + 1), i))
+    rows = []
+    for name, line, col, kind in sites_of(text, lang):
+        if (name, line, col) in declared:
+            continue
+        i = inner.get(line)
+        host = (f"{found[i][1]} {names[i][0]}", names[i][0]) if i is not None else (None, "")
+        rows.append((path, name, line, col, kind, details.position_of(places, plain.at(line, col)) if places else "", *host))
+    return rows
+
+
 def _parse(what: str):
+    make, types, schema = (_site_rows, _SITE_TYPES, SITES) if what == "sites" else (_decl_rows, _DECL_TYPES, DECLS)
+    names = [c.split()[0] for c in schema.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if not lang or text is None or len(text) > MOST_BYTES:
+                if not lang or text is None or len(text) > MOST_BYTES or len(text.encode("utf-8", "surrogatepass")) > MOST_BYTES:
                     continue
-                if what == "sites":
-                    rows = [(path, *s) for s in sites_of(text, lang)]
-                    types, names = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()], [c.split()[0] for c in SITES.split(", ")]
-                else:
-                    try:
-                        found = python_decls(text) if lang == "python" else brace_decls(text, lang) if lang in BRACED else languages.read(text, lang)
-                    except SyntaxError:
-                        found = []
-                    seen: dict[tuple, int] = {}
-                    total: dict[tuple, int] = {}
-                    for d in found:
-                        total[d[0], d[1]] = total.get((d[0], d[1]), 0) + 1
-                    rows = []
-                    for at, d in enumerate(found):
-                        k = d[0], d[1]
-                        seen[k] = seen.get(k, 0) + 1
-                        rows.append((path, f"{d[0]}[{seen[k]}]" if total[k] > 1 else d[0], *d[1:], at))
-                    types = [pa.string()] * 4 + [pa.int32()] * 6
-                    names = [c.split()[0] for c in DECLS.split(", ")]
-                if rows:
+                if rows := make(path, text, lang):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     return run
 
 
-def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, content) of the text files below a folder; noise folders and binary files are left out."""
+def language(path: str = "path"):
+    """The language of a path's extension, or null."""
+    return F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv])[F.lower(F.regexp_extract(path, r"\.(\w+)$", 1))]
+
+
+def clean_files(files: DataFrame) -> DataFrame:
+    """(path, lang, clean) of files (path, content) in a known language: whether they have no fault."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            clean = [details.parses_cleanly(t or "", plain_text(t or "", lang), lang) for _, lang, t in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(clean, pa.bool_())], ["path", "lang", "clean"])
+
+    return files.select("path", language().alias("lang"), "content").where("lang is not null").mapInArrow(run, "path string, lang string, clean boolean")
+
+
+def scan(spark: SparkSession, folder: str, ignore: list[str] | None = None, noise: tuple[str, ...] = NOISE) -> DataFrame:
+    """(path, content) of the text files below a folder; noise folders, binary files and ignored paths are left out.
+
+    ignore: patterns as in an ignore file, the later ones over the earlier (see ``ignored``).
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(F.col("length") <= MOST_BYTES)
     base = folder.split("://")[-1].rstrip("/") + "/"
     path = F.substring_index("path", base, -1)
     clean = files.where(~F.substring("content", 1, 8192).cast("string").contains("\x00"))
-    return clean.select(path.alias("path"), F.col("content").cast("string").alias("content")).where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, NOISE))))
+    rows = clean.select(path.alias("path"), F.col("content").cast("string").alias("content"))
+    parts = F.split("path", "/")
+    rows = rows.where(~F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*map(F.lit, noise))))
+    return rows.where(~ignored(F.col("path"), ignore)) if ignore else rows
+
+
+def ignore_regex(pattern: str) -> tuple[str, bool] | None:
+    """(regular expression over paths, whether it takes back) of a line of an ignore file; null for comments and empty lines."""
+    line = re.sub(r"(?<!\\)\s+$", "", pattern)
+    if not line or line.startswith("#"):
+        return None
+    back, line = (True, line[1:]) if line.startswith("!") else (False, line)
+    folder = line.endswith("/")
+    line = line.rstrip("/")
+    anchored = "/" in line
+    out, i, line = "", 0, line.lstrip("/")
+    while i < len(line):
+        if line.startswith("**/", i):
+            out, i = out + "(?:.*/)?", i + 3
+        elif line.startswith("**", i):
+            out, i = out + ".*", i + 2
+        elif line[i] == "[" and (shut := line.find("]", i + 2)) > 0:
+            inner = line[i + 1 : shut]
+            out, i = out + f"[{'^' + inner[1:] if inner[0] == '!' else inner}]", shut + 1
+        else:
+            out += {"*": "[^/]*", "?": "[^/]"}.get(line[i], re.escape(line[i]))
+            i += 1
+    return f"{'^' if anchored else '^(?:.*/)?'}{out}{'/.*' if folder else '(?:/.*)?'}$", back
+
+
+def ignored(path, patterns: list[str]):
+    """Whether the last pattern that fits a path ignores it."""
+    out = F.lit(False)
+    for regex, back in filter(None, map(ignore_regex, patterns)):
+        out = F.when(path.rlike(regex), F.lit(not back)).otherwise(out)
+    return out
 
 
 def workspace(files: DataFrame, name: str = "workspace", definitions: DataFrame | None = None, implements: DataFrame | None = None) -> Workspace:
@@ -237,8 +360,7 @@ def workspace(files: DataFrame, name: str = "workspace", definitions: DataFrame
     implement which; without it no ``.implements`` edge is known.
     """
     spark = files.sparkSession
-    lang = F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv])[F.lower(F.regexp_extract("path", r"\.(\w+)$", 1))]
-    rows = files.select("path", lang.alias("lang"), "content")
+    rows = files.select("path", language().alias("lang"), "content")
     decls = rows.mapInArrow(_parse("decls"), DECLS)
     parts = F.split("path", "/")
     paths = rows.select("path", "lang", F.slice(parts, 1, F.size(parts) - 1).alias("dirs"))
@@ -252,42 +374,38 @@ def workspace(files: DataFrame, name: str = "workspace", definitions: DataFrame
     prefix = above.where(F.size("dirs") > 0).select("dirs", F.explode(F.sequence(F.lit(1), F.size("dirs"))).alias("n"), "anc").select(F.array_join(F.slice("dirs", 1, F.col("n")), "/").alias("path"), F.slice("anc", 1, F.col("n") + 1).alias("anc")).distinct()
     leaf = F.element_at(F.split("path", "/"), -1)
     d_rows = prefix.select(F.element_at("anc", -1).alias("id"), F.lit("dir").alias("cls"), leaf.alias("leaf"), leaf.alias("full"), F.col("path").alias("addr"), "path", none.cast("string").alias("lang"), F.element_at("anc", -2).alias("parent"), "anc", none.cast("long").alias("file_id"), F.col("path").alias("ord"), *[none.cast("int").alias(c) for c in ("start", "end", "body_line", "comment_start", "comment_end")], F.lit(None).cast("string").alias("sym"))
-    # A symbol lies under those whose dotted names lead to its own, as far as they exist.
-    symbol = lambda s: F.xxhash64(F.lit("symbol"), F.col("path"), s)
-    steps = F.split(F.regexp_replace("sym", r"\[\d+\]", ""), r"\.")
-    heads = F.when(F.size(steps) > 1, F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda n: F.array_join(F.slice(steps, 1, n), "."))).otherwise(F.expr("cast(array() as array<string>)"))
-    own = decls.groupBy("path").agg(F.collect_set("sym").alias("known"))
-    placed = decls.join(own, "path").withColumn("up", F.transform(F.filter(heads, lambda h: F.array_contains("known", h)), symbol)).join(above.select("path", "lang", F.concat("anc", F.array(file)).alias("fanc")), "path")
-    anc = F.concat("fanc", "up", F.array(symbol(F.col("sym"))))
-    s_rows = placed.select(symbol(F.col("sym")).alias("id"), "cls", "leaf", F.col("sym").alias("full"), F.concat("path", F.lit("#"), "sym").alias("addr"), "path", "lang", F.element_at(anc, -2).alias("parent"), anc.alias("anc"), file.alias("file_id"), F.concat_ws("\x01", "path", F.lpad(F.col("at").cast("string"), 8, "0")).alias("ord"), "start", "end", "body_line", none.cast("int").alias("comment_start"), none.cast("int").alias("comment_end"), "sym", "name_line", "name_col")
+    symbol = lambda key: F.xxhash64(F.lit("symbol"), F.col("path"), key)
+    placed = decls.withColumn("up", F.transform("above", symbol)).join(above.select("path", "lang", F.concat("anc", F.array(file)).alias("fanc")), "path")
+    own = symbol(F.concat_ws(" ", "cls", "sym"))
+    anc = F.concat("fanc", "up", F.array(own))
+    s_rows = placed.select(own.alias("id"), "cls", "leaf", F.col("sym").alias("full"), F.concat("path", F.lit("#"), "sym").alias("addr"), "path", "lang", F.element_at(anc, -2).alias("parent"), anc.alias("anc"), file.alias("file_id"), F.concat_ws("\x01", "path", F.lpad(F.col("at").cast("string"), 8, "0")).alias("ord"), "start", "end", "body_line", "comment_start", "comment_end", "sym", "name_line", "name_col")
     top = project(spark, name)
     top = top.select(*top.columns, *[none.cast("int").alias(c) for c in ("body_line", "comment_start", "comment_end")], none.cast("string").alias("sym"))
     nodes = top.select(pick).unionByName(d_rows.select(pick)).unionByName(f_rows.select(pick)).unionByName(s_rows.select(pick))
     edges = _edges(rows, s_rows, definitions)
     if implements is not None:
-        known = s_rows.select("id")
-        id_of = lambda path, sym: F.xxhash64(F.lit("symbol"), F.col(path), F.col(sym))
-        pairs = implements.select(id_of("path", "sym").alias("src"), id_of("of_path", "of_sym").alias("dst"), F.lit("implements").alias("kind"), F.lit("").alias("pos"), F.lit("lsp").alias("conf"), F.lit("implements").alias("site")).distinct()
-        pairs = pairs.join(known.toDF("src"), "src", "left_semi").join(known.toDF("dst"), "dst", "left_semi")
+        types = s_rows.where("cls not in ('argument', 'return', 'annotation', 'import')").select("id", "path", "sym")
+        pairs = implements.join(types.toDF("src", "path", "sym"), ["path", "sym"]).join(types.toDF("dst", "of_path", "of_sym"), ["of_path", "of_sym"])
+        pairs = pairs.select("src", "dst", F.lit("implements").alias("kind"), F.lit("").alias("pos"), F.lit("lsp").alias("conf"), F.lit("implements").alias("site")).distinct()
         edges = edges.unionByName(both_directions(pairs))
     return Workspace(nodes, split_lines(files, file, F.col("content")), edges)
 
 
 def _edges(rows: DataFrame, symbols: DataFrame, definitions: DataFrame | None) -> DataFrame:
-    """Sites that are no declarations, under their innermost symbol, to every declaration of the name in scope."""
+    """Sites under their innermost symbol to every declaration of the name in scope.
+
+    Arguments and imports are in scope in their own file only, so these are
+    joined by file and name; only names that any file may use are joined by name.
+    """
     sites = rows.mapInArrow(_parse("sites"), SITES)
-    names = symbols.where("cls <> 'return'").select("path", F.col("leaf").alias("name"), F.col("name_line").alias("line"), F.col("name_col").alias("col"))
-    sites = sites.join(names, ["path", "name", "line", "col"], "left_anti")
-    hosts = symbols.where("cls not in ('argument', 'return', 'import', 'module')").select("path", F.col("id").alias("host"), F.col("sym").alias("host_sym"), "start", "end")
-    inside = (F.col("s.path") == F.col("h.path")) & (F.col("line") >= F.col("start")) & (F.col("line") <= F.col("end"))
-    near = sites.alias("s").join(hosts.alias("h"), inside, "left").select("s.*", "host", "host_sym", "start", "end")
-    inner = Window.partitionBy("path", "line", "col", "name").orderBy(F.col("end") - F.col("start"), F.size(F.split("host_sym", r"\.")).desc(), "host")
-    near = near.withColumn("at", F.row_number().over(inner)).where("at = 1").select("path", "name", "line", "col", "kind", F.coalesce("host", F.xxhash64(F.lit("file"), "path")).alias("src"), F.coalesce("host_sym", F.lit("")).alias("encl"))
-    owner = F.regexp_replace("sym", r"\.[^.]*$", "")
-    targets = symbols.where("cls not in ('module')").select(F.col("leaf").alias("name"), F.col("id").alias("dst"), F.col("cls").alias("t_cls"), F.col("path").alias("t_path"), F.when(F.col("cls") == "argument", owner).alias("owner"), F.col("start").alias("t_start"), F.col("end").alias("t_end"))
-    same = F.col("path") == F.col("t_path")
-    scope = ((F.col("t_cls") != "import") | same) & (F.col("owner").isNull() | (same & ((F.col("encl") == F.col("owner")) | F.col("encl").startswith(F.concat("owner", F.lit("."))))))
-    hits = near.join(targets, "name").where(scope).where("t_cls <> 'import' or kind = 'import'")
+    src = F.when(F.col("host").isNotNull(), F.xxhash64(F.lit("symbol"), F.col("path"), F.col("host"))).otherwise(F.xxhash64(F.lit("file"), "path"))
+    near = sites.select("path", "name", "line", "col", "kind", "pos", src.alias("src"), "encl")
+    targets = symbols.where("cls not in ('module', 'return', 'annotation')").select(F.col("leaf").alias("name"), F.col("id").alias("dst"), "cls", F.col("path").alias("t_path"), F.regexp_replace("sym", r"\.[^.]*$", "").alias("owner"), F.col("start").alias("t_start"), F.col("end").alias("t_end"))
+    local = targets.where("cls in ('argument', 'import')").withColumnRenamed("t_path", "path")
+    inside = (F.col("encl") == F.col("owner")) | F.col("encl").startswith(F.concat("owner", F.lit(".")))
+    here = near.join(local, ["path", "name"]).where(F.when(F.col("cls") == "import", F.col("kind") == "import").otherwise(inside)).withColumn("t_path", F.col("path"))
+    there = near.join(targets.where("cls not in ('argument', 'import')"), "name")
+    hits = here.unionByName(there)
     many = F.count(F.lit(1)).over(Window.partitionBy("path", "line", "col", "name"))
     hits = hits.withColumn("n", many)
     if definitions is not None:
@@ -297,4 +415,17 @@ def _edges(rows: DataFrame, symbols: DataFrame, definitions: DataFrame | None) -
     else:
         conf = F.when(F.col("n") < 2, "lexical").otherwise("unsettled")
     site = F.concat_ws(":", "path", F.col("line").cast("string"), F.col("col").cast("string"), "name")
-    return both_directions(hits.select("src", "dst", "kind", F.lit("").alias("pos"), conf.alias("conf"), site.alias("site")))
+    return both_directions(hits.select("src", "dst", "kind", "pos", conf.alias("conf"), site.alias("site")))
+
+
+def external(path):
+    """The package that a path outside the workspace belongs to, or null: module caches, node packages, site packages."""
+    tries = [r"/pkg/mod/((?:[^/@]+/)*[^/@]+)@", r"/node_modules/((?:@[^/]+/)?[^/]+)", r"/site-packages/([^/]+)", r"/src/((?:[^/]+/)*)[^/]+$"]
+    found = [F.nullif(F.regexp_replace(F.regexp_extract(path, t, 1), "/$|\\.py$", ""), F.lit("")) for t in tries]
+    return F.coalesce(*found)
+
+
+def collisions(ws: Workspace, base: int = 64, each: int = 4, most: int = 1500) -> DataFrame:
+    """(names, lookups): how many names have two declarations or more, and how many definition lookups that allows."""
+    named = ws.nodes.where("cls not in ('project', 'dir', 'file', 'argument', 'return', 'annotation', 'import', 'module')").groupBy("leaf").count().where("count >= 2")
+    return named.agg(F.count(F.lit(1)).alias("names")).select("names", F.least(F.lit(base) + each * F.col("names"), F.lit(most)).alias("lookups"))

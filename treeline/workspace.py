@@ -9,9 +9,13 @@ edges (edge_id, dir, host, kind, pos, conf, far), a row for each far end.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.plans.selector import LANGUAGES
@@ -64,3 +68,51 @@ class Workspace:
     lines: DataFrame
     edges: DataFrame
     languages: dict[str, str] = field(default_factory=lambda: dict(LANGUAGES))
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names. Where none is set, a local one in local mode, and an error on a cluster."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"file://{tempfile.gettempdir()}/treeline-scratch"
+
+
+def written(df: DataFrame, *partitions: str) -> DataFrame:
+    """df written to the shared folder and read again."""
+    path = f"{scratch_root(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partitions).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+class StoredWorkspace:
+    """A workspace whose nodes and edges are built once, on first use, and written to the shared folder by class and direction.
+
+    Selectors then read only the classes that they name, instead of building
+    every table's tree again for each of their steps. Lines stay views.
+    """
+
+    def __init__(self, made: Callable[[], Workspace]):
+        self._made = made
+
+    @cached_property
+    def _plain(self) -> Workspace:
+        return self._made()
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return written(self._plain.nodes, "cls")
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return written(self._plain.edges, "dir")
+
+    @property
+    def lines(self) -> DataFrame:
+        return self._plain.lines
+
+    @property
+    def languages(self) -> dict[str, str]:
+        return self._plain.languages
