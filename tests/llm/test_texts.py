@@ -8,6 +8,7 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from treeline.llm import decontaminate, htmltext, linededup, spm, tokencounts, urlfilter
 
@@ -21,20 +22,81 @@ def test_lines_in_ten_documents_go(spark):
     assert [r["doc_id"] for r in kept] == [0]
 
 
+def line_batch(spark, a, b):
+    return spark.createDataFrame([(i, f"x\nb{i}") for i in range(a, b)], "doc_id long, text string")
+
+
+KEY_X = hashlib.blake2b(b"x", digest_size=16).digest()
+
+
 def test_line_runs_over_batches_and_compaction(spark):
     runs = linededup.LineRuns(spark, fanout=2)
-    batch = lambda a, b: spark.createDataFrame([(i, f"x\nb{i}") for i in range(a, b)], "doc_id long, text string")
-    dropped = [sum(r["n_dropped"] for r in runs.add(batch(4 * i, 4 * i + 4), min_docs=10).collect()) for i in range(4)]
+    dropped = [sum(r["n_dropped"] for r in runs.add(line_batch(spark, 4 * i, 4 * i + 4), min_docs=10).collect()) for i in range(4)]
     assert dropped == [0, 0, 4, 4]
     assert [level for level, _ in runs.runs()] == [2]
-    assert {bytes(r["key"]): r["n"] for r in runs.counts().collect()}[hashlib.blake2b(b"x", digest_size=16).digest()] == 16
+    assert {bytes(r["key"]): r["n"] for r in runs.counts().collect()}[KEY_X] == 16
+    again = linededup.LineRuns(spark, runs.folder, fanout=2)
+    assert {bytes(r["key"]): r["n"] for r in again.counts().collect()}[KEY_X] == 16
 
 
-def test_lines_of_an_empty_table_and_null_id(spark):
-    empty = spark.createDataFrame([], "doc_id long, text string, n_lines int")
-    assert linededup.dedup_lines(empty.drop("n_lines")).collect() == []
-    (row,) = linededup.dedup_lines(spark.createDataFrame([(None, "a\nb")], "doc_id long, text string")).collect()
-    assert (row["n_lines"], row["kept_text"]) == (2, "a\nb")
+def test_runs_are_merged_and_probed_without_a_shuffle(spark):
+    runs = linededup.LineRuns(spark, fanout=3)
+    for i in range(2):
+        runs.add(line_batch(spark, 4 * i, 4 * i + 4), 10).collect()
+    plan = runs.counts()._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan and "Exchange" not in plan
+
+
+def test_a_stop_in_compaction_and_a_repeated_batch_count_once(spark, monkeypatch):
+    runs = linededup.LineRuns(spark, fanout=2)
+    runs.add(line_batch(spark, 0, 4), 10, batch="a").collect()
+
+    def stop(*_):
+        raise OSError("stopped")
+
+    monkeypatch.setattr(linededup.LineRuns, "_merged", stop)
+    with pytest.raises(OSError):
+        runs.add(line_batch(spark, 4, 8), 10, batch="b")
+    monkeypatch.undo()
+    count = lambda r: {bytes(x["key"]): x["n"] for x in r.counts().collect()}[KEY_X]
+    again = linededup.LineRuns(spark, runs.folder, fanout=2)
+    assert count(again) == 8
+    monkeypatch.setattr(linededup.LineRuns, "_commit", stop)  # the merged run is written, but doesn't count
+    with pytest.raises(OSError):
+        again.compact()
+    monkeypatch.undo()
+    again = linededup.LineRuns(spark, runs.folder, fanout=2)
+    again.add(line_batch(spark, 4, 8), 10, batch="b").collect()
+    again.compact()
+    assert count(again) == 8 and [level for level, _ in again.runs()] == [1]
+    fs, path = again._fs()
+    assert sum(s.getPath().getName().startswith("run-") for s in fs.listStatus(path(again.folder))) == 1
+
+
+def test_new_lines_of_a_batch_stay_once(spark):
+    runs = linededup.LineRuns(spark)
+    kept = lambda df: sorted(r["doc_id"] for r in df.where("kept_text like 'x%'").collect())
+    assert kept(runs.add(line_batch(spark, 0, 12), 10, keep_first=True)) == [0]
+    assert kept(runs.add(line_batch(spark, 12, 15), 10, keep_first=True)) == []
+
+
+def test_documents_count_once_and_very_common_lines(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "HOT_SHARE", 2)
+    rows = [(i % 9, "often") for i in range(40)] + [(i, f"very\nown {i}") for i in range(100, 160)] + [(None, "very\nnull"), (3, "other text\nvery")] + [(i, "ten") for i in range(200, 210)]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and {r["kept_text"] for r in got if r["text"] == "often"} == {"often"}
+    assert not [r for r in got if r["doc_id"] in range(100, 160) and r["kept_text"] != f"own {r['doc_id']}"]
+    assert {r["kept_text"] for r in got if r["doc_id"] is None} == {"null"} and {r["kept_text"] for r in got if r["text"] == "ten"} == {""}
+    first = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), keep_first=True).where("kept_text like '%very%' or kept_text = 'ten'")
+    assert sorted(r["doc_id"] for r in first.collect()) == [3, 200]
+
+
+def test_lines_of_odd_tables(spark):
+    frame = spark.createDataFrame([(None, "a\nb", 7, "q"), (1, "y" * 300_000 + "\n" + "z\n" * 50_000, 8, "r")], "doc_id long, text string, n_lines int, __row string").withColumn("key", F.lit(1)).withColumn("spots", F.lit("s"))
+    out = linededup.dedup_lines(frame)
+    assert out.columns == ["doc_id", "text", "__row", "key", "spots", "n_lines", "n_dropped", "kept_text"]
+    assert sorted((r["__row"], r["n_lines"], r["kept_text"] == r["text"]) for r in out.collect()) == [("q", 2, True), ("r", 50_002, True)]
+    assert linededup.dedup_lines(frame.limit(0)).collect() == []
 
 
 def edits(a, b):
