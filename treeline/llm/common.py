@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the session names; a local one only where none is set, as in tests."""
+    """The shared folder the session names. Where none is set, a local one in local mode, as in tests; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.gettempdir()}/treeline-scratch"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
