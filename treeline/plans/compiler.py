@@ -225,6 +225,11 @@ class Compiler:
             args = self.ws.nodes.where("cls = 'argument'").groupBy("parent").agg(F.count(F.lit(1)).alias("n"))
             n = F.coalesce("n", F.lit(0))
             return same.join(args, F.col("ok") == F.col("parent"), "left").where((n >= low) & ((n <= high) if high is not None else F.lit(True))).select("ok")
+        if p.name == "depth":
+            low, high = p.arg
+            depth = F.size("anc") - F.array_position("anc", F.col("file_id"))
+            near = self.ws.nodes.where("file_id is not null").where((depth >= low) & ((depth <= high) if high is not None else F.lit(True))).select(F.col("id").alias("ok"))
+            return same.join(near, "ok", "left_semi")
         if p.name == "recursive":
             own = self.ws.edges.where("dir = 'out' and kind = 'call' and conf = 'lsp' and host = far").select(F.col("host").alias("ok"))
             return same.join(own, "ok", "left_semi")
