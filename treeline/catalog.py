@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.operators import conflicts, edits, incremental, references, results, text
+from treeline.operators import conflicts, edits, incremental, patches, read, references, results, text, walks
 from treeline.plans.compiler import query
-from treeline.sources import code, tables
+from treeline.sources import bindings, code, tables
+from treeline.streaming import state
 from treeline.workspace import StoredWorkspace
 
 _LINES = f"lines AS (SELECT node, CAST(line AS INTEGER) AS line, text, lang FROM (SELECT source || '/' || doc_id AS node, lang, unnest(range(1, len(parts) + 1)) AS line, unnest(parts) AS text FROM (SELECT doc_id, source, lang, string_split(text, chr(10)) AS parts FROM documents)))"
@@ -139,6 +140,52 @@ _add("q_ignored", "SELECT 'src/go/f' || doc_id || '.go' AS path FROM documents",
 _add("q_clean_files", "SELECT 'src/' || x || '/f' || doc_id || '.' || x AS path, true AS clean FROM documents, (VALUES ('go'), ('java')) t(x)", lambda s, d: code.clean_files(code_files(s, d)).select("path", "clean"))
 
 
+_add("q_signature_plan", f"WITH {_IDS} SELECT {_JAVA} AS path, CAST(6 AS INTEGER) AS line, CAST(30 AS INTEGER) AS col, 'a, 1' AS old, '1, false' AS new, 'edit' AS action FROM ids", lambda s, d: patches.signature_plan(kept(code_tree, s, d), code_files(s, d), "go", ["a int", "b int"], ["b int", "quiet boolean"], "java"))
+_add("q_patched", f"WITH {_IDS} SELECT {_TXT} AS path, replace(replace('top ' || i || chr(10) || '<<<<<<< ours', '<<<<<<< ours', '<<<<<<< ours' || chr(10) || 'mine too'), '!', '') AS head FROM ids", lambda s, d: _patched(s, d))
+_add("q_resolved_addresses", f"WITH {_IDS} SELECT {_JAVA} || '#Box' || i || unnest(['.go[1]', '.go[2]', '']) AS addr, unnest(['method', 'method', 'class']) AS cls FROM ids", lambda s, d: _addresses(kept(code_tree, s, d)))
+_add("q_entities", "SELECT 'api/f' || doc_id || '.proto' AS path, unnest(['Item' || doc_id, 'Stock' || doc_id, 'Find' || doc_id]) AS name, unnest(['message', 'service', 'rpc']) AS kind, CAST(unnest([3, 4, 4]) AS INTEGER) AS line FROM documents", lambda s, d: bindings.entities(schema_files(s, d)).select("path", "name", "kind", "line"))
+_add("q_promoted", f"WITH {_IDS} SELECT 'Item' || i AS name, {_GO} AS path, CAST(unnest([3, 5, 6, 10, 14]) AS INTEGER) AS line, 'promoted' AS conf FROM ids UNION ALL SELECT 'Item' || i, 'api/f' || i || '.proto', 3, 'declared' FROM ids", lambda s, d: bindings.promoted(kept(code_tree, s, d), bindings.entities(schema_files(s, d)).where("kind = 'message'")))
+_add("q_regex_names", f"WITH {_LINES} SELECT node AS path, line, unnest(regexp_extract_all(text, '(\\w+) License', 1)) AS name FROM lines", lambda s, d: bindings.regex_names(kept(tables.documents, s, d), r"(\w+) License"))
+_add("q_walk", "WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events), b AS (SELECT *, max(CASE WHEN event_type = 'purchase' THEN rn END) OVER (PARTITION BY user_id ORDER BY rn) AS bought FROM e) SELECT 'user/' || user_id || '#' || event_id AS host, 'user/' || user_id || '#' || nxt AS far, CAST(rn - bought + 1 AS INTEGER) AS hop FROM b WHERE nxt IS NOT NULL AND rn - bought + 1 <= 3", lambda s, d: walks.walk(kept(tables.events, s, d), "field#purchase::out.call{1,3}").select("host", F.array_join("far", ",").alias("far"), "hop"))
+_add("q_capped_lines", f"WITH {_LINES}, hits AS (SELECT node, line, text, length(text) AS n, strpos(text, 'the') AS pos FROM lines WHERE contains(text, 'the')) SELECT node, line, CASE WHEN n <= 60 THEN text ELSE substring(text, CAST(greatest(1, least(pos - 28, n - 59)) AS INTEGER), 60) || ' (+' || (n - 60) || ' chars)' END AS text FROM hits", lambda s, d: query(kept(tables.documents, s, d), "file::grep('the')").select("node", "line", read.capped(F.col("text"), F.locate("the", F.col("text")), F.lit(3), 60).alias("text")))
+_add("q_near_context", f"WITH {_LINES}, framed AS (SELECT node, line, text, lag(text) OVER w AS b, lead(text) OVER w AS a FROM lines WINDOW w AS (PARTITION BY node ORDER BY line)), hits AS (SELECT *, 120 - length(text) AS room FROM framed WHERE contains(text, 'License')), after AS (SELECT *, a IS NOT NULL AND length(a) + 1 <= room AS fits_a FROM hits) SELECT node, line, CASE WHEN fits_a THEN a ELSE '' END AS after, CASE WHEN b IS NOT NULL AND (a IS NULL OR fits_a) AND length(b) + 1 <= room - CASE WHEN fits_a THEN length(a) + 1 ELSE 0 END THEN b ELSE '' END AS before FROM after", lambda s, d: _near(query(kept(tables.documents, s, d), "file::grep('-C1 License')")))
+_add("q_new_diagnostics", "WITH b AS (SELECT text, count(*) AS was FROM conversations WHERE role = 'user' GROUP BY text), a AS (SELECT text, count(*) AS now FROM conversations WHERE role = 'assistant' GROUP BY text) SELECT a.text, now - coalesce(was, 0) AS n FROM a LEFT JOIN b ON a.text IS NOT DISTINCT FROM b.text WHERE now > coalesce(was, 0)", lambda s, d: (lambda t: read.missing(t.where("role = 'user'"), t.where("role = 'assistant'"), ["text"]))(tables.table(s, d, "conversations")))
+_add("q_settled", "WITH one AS (SELECT user_id, ts, max(event_id) AS event_id FROM events GROUP BY user_id, ts) SELECT * FROM one QUALIFY epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts)) - epoch_us(ts) >= 3600000000", lambda s, d: state.settled(tables.table(s, d, "events").select("user_id", "ts", "event_id"), "user_id", "ts", 3_600_000))
+_add("q_transitions", "WITH f AS (SELECT user_id, ts, event_id, event_type = 'purchase' AS entered FROM events) SELECT user_id, ts, entered FROM f QUALIFY coalesce(lag(entered) OVER (PARTITION BY user_id ORDER BY ts, event_id), false) <> entered", lambda s, d: state.transitions(tables.table(s, d, "events").withColumn("bought", F.col("event_type") == "purchase"), "user_id", "ts", "bought"))
+_add("q_sibling_rollup", "WITH g AS (SELECT conv_id, max(turn) AS gen FROM conversations GROUP BY conv_id), b AS (SELECT conv_id, max(turn) AS gen FROM conversations WHERE role = 'user' GROUP BY conv_id) SELECT CAST(g.conv_id AS VARCHAR) AS path, g.gen FROM g LEFT JOIN b USING (conv_id) WHERE b.gen IS NULL OR g.gen > b.gen", lambda s, d: (lambda t: state.sibling_rollup(*[x.groupBy(F.col("conv_id").cast("string").alias("path")).agg(F.max("turn").alias("gen")) for x in (t, t.where("role = 'user'"))]))(tables.table(s, d, "conversations")))
+_add("q_idle", "WITH k AS (SELECT user_id, ts, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN -1 ELSE 0 END AS h FROM events), m AS (SELECT max(ts) AS now FROM events) SELECT CAST(user_id AS VARCHAR) AS root, max(ts) AS last FROM k, m GROUP BY user_id, now HAVING sum(h) <= 0 AND epoch_ms(now) - epoch_ms(max(ts)) >= 86400000", lambda s, d: _idle(tables.table(s, d, "events")))
+
+
+def schema_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a schema file for every document."""
+    text_ = 'syntax = "proto3";\n// message Not%s {}\nmessage Item%s { string id = 1; }\nservice Stock%s { rpc Find%s (Item%s) returns (Item%s); }\n'
+    i = F.col("doc_id").cast("string")
+    return tables.table(spark, sf_dir, "documents").select(F.concat(F.lit("api/f"), i, F.lit(".proto")).alias("path"), F.format_string(text_, *[i] * 6).alias("content"))
+
+
+def _patched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = code_files(spark, sf_dir).where("path like '%.txt'")
+    i = F.regexp_extract("path", r"f(\d+)\.txt$", 1)
+    diff = F.format_string("@@ -1,2 +1,3 @@\n-head %s\n+top %s\n <<<<<<< ours\n+mine too", i, i)
+    return files.select("path", F.array_join(F.slice(F.split(patches.patched(F.col("content"), diff), "\n"), 1, 3), "\n").alias("head"))
+
+
+def _addresses(ws) -> DataFrame:
+    wanted = ws.nodes.where("cls in ('class', 'method')").select("addr", F.col("start").alias("line"))
+    return read.resolved(ws, wanted).select("addr", "cls")
+
+
+def _near(hits: DataFrame) -> DataFrame:
+    before, after = read.budgeted(F.col("before"), F.col("text"), F.col("after"), 120)
+    return hits.select("node", "line", F.array_join(before, "\n").alias("b"), F.array_join(after, "\n").alias("a")).withColumnsRenamed({"b": "before", "a": "after"})
+
+
+def _idle(events: DataFrame) -> DataFrame:
+    now = events.agg(F.max("ts")).first()[0]
+    kind = F.when(F.col("event_type") == "view", "open").when(F.col("event_type") == "click", "close").otherwise("use")
+    return state.idle(events.select(F.col("user_id").cast("string").alias("root"), "ts", kind.alias("kind")), now, 86_400_000)
+
+
 def _resolved(ws) -> DataFrame:
     files = ws.nodes.where("cls = 'file' and path like '%.txt'").select("file_id", "path")
     lines = conflicts.resolved(ws.lines.join(files, "file_id", "left_semi"), "theirs").join(files, "file_id")

@@ -171,7 +171,7 @@ def _arguments(plain: str, open_: int) -> tuple[int, list[str], list[tuple[int,
     return shut, [plain[a:b].strip() for a, b in spans], spans
 
 
-def call_rewrites(content: str, plain: str, name: str, before: list[str], after: list[str], lang: str) -> list[tuple[int, int, str, str, str]]:
+def call_rewrites(content: str, plain: str, name: str, before: list[str], after: list[str], lang: str, declared: frozenset[tuple[int, int]] = frozenset()) -> list[tuple[int, int, str, str, str]]:
     """(line, column, old, new, action) for each call of a function whose parameters change from ``before`` to ``after`` (texts "name type").
 
     A parameter that stays keeps its argument, by name; a new one gets its type's
@@ -184,7 +184,8 @@ def call_rewrites(content: str, plain: str, name: str, before: list[str], after:
     places, out = details.Text(plain), []
     for m in re.finditer(rf"(?<![\w.])(?:\w+\.)*{re.escape(name)}\s*\(", plain):
         head = plain[: m.start()].rstrip()
-        if re.search(r"\b(?:func|def|function|fun)(?:\s*\([^()]*\))?$", head):
+        own = plain.rfind(name, m.start(), m.end())
+        if (places.line(own), places.column(own)) in declared or re.search(r"\b(?:func|def|function|fun)(?:\s*\([^()]*\))?$", head):
             continue
         shut, args, spans = _arguments(plain, m.end() - 1)
         given = [content[a:b].strip() for a, b in spans] if args != [""] else []
@@ -202,11 +203,11 @@ def call_rewrites(content: str, plain: str, name: str, before: list[str], after:
 
 def signature_plan(ws: Workspace, files: DataFrame, name: str, before: list[str], after: list[str], lang: str) -> DataFrame:
     """(path, line, col, old, new, action) of the calls that a function's new parameters change, in files of its language."""
-    from treeline.sources.code import language, plain_text
+    from treeline.sources.code import declarations, language, plain_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(p, *e) for p, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for e in call_rewrites(t, plain_text(t, lang), name, before, after, lang)]
+            rows = [(p, *e) for p, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for e in call_rewrites(t, plain_text(t, lang), name, before, after, lang, frozenset((d[5], d[6]) for d in declarations(t, lang)))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()], strict=True)], ["path", "line", "col", "old", "new", "action"])
 

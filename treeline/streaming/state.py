@@ -108,5 +108,5 @@ def idle(events: DataFrame, now, timeout_ms: int) -> DataFrame:
     """(root, last) of roots that nobody holds and nobody used for ``timeout_ms``, from events (root, ts, kind) of open, close and use."""
     held = F.sum(F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0))
     by_root = events.groupBy("root").agg(held.alias("held"), F.max("ts").alias("last"))
-    since = F.unix_millis(F.lit(now).cast("timestamp")) - F.unix_millis("last")
+    since = F.unix_millis(F.lit(now).cast("timestamp")) - F.unix_millis(F.col("last").cast("timestamp"))
     return by_root.where((F.col("held") <= 0) & (since >= timeout_ms)).select("root", "last")
