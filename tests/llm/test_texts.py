@@ -324,3 +324,45 @@ def test_encoding_odd_tables(spark):
     rows = spm.encode_checked(df, raw).collect()
     assert sorted((r["doc_id"], r["n_tokens"] == len(r["ids"]), r["round_trip"]) for r in rows) == [(1, True, True), (1, True, True), (2, True, True)]
     assert spm.encode_checked(df.limit(0), raw).collect() == []
+
+
+def plain_scores(page):
+    """The fused tag-path ratios by their definition, leaf by leaf, without sharing work."""
+    nodes = htmltext.leaves(page)
+    here = [n for n in nodes if not n[2].isspace()]
+
+    def ratio(count):
+        of = lambda path: [count(n[2]) for n in here if n[1] == path]
+        raw = [sum(of(n[1])) / len(of(n[1])) if of(n[1]) else 0.0 for n in nodes]
+        weights = lambda i: [(np.exp(-((i - j) ** 2) / 2) if abs(i - j) <= 2 else 0.0) for j in range(len(raw))]
+        return np.array([np.average(raw, weights=weights(i)) for i in range(len(raw))])
+
+    text, marks = ratio(lambda t: len(t.strip())), ratio(lambda t: sum(c in ".,;:!?…。，、；：！？¡¿" for c in t))
+    return np.sqrt(text / (text.mean() or 1) * (0.1 + marks / (marks.mean() or 1)))
+
+
+def test_path_scores_equal_their_definition(spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(25).collect()] + [PAGE]
+    for page in pages:
+        assert np.allclose(htmltext.fused_ratios(htmltext.leaves(page)), plain_scores(page))
+
+
+def test_ratios_decide_where_no_container_does(monkeypatch):
+    body = "".join(f"<p>Paragraph {i} has some words, with marks, and a second clause. It ends here, as it should.</p>" for i in range(8))
+    page = f"<body><div><ul>{''.join(f'<li><a href=/x{i}>Topic {i}</a></li>' for i in range(12))}</ul></div><div>{body}</div><div><span>Top</span> <span>Next</span></div></body>"
+    assert "Paragraph 3" in htmltext.main_text(page) and "Topic" not in htmltext.main_text(page) and "Next" not in htmltext.main_text(page)
+    monkeypatch.setattr(htmltext, "fused_ratios", lambda nodes: [1.0] * len(nodes))
+    assert "Topic 3" in htmltext.main_text(page) and "Next" in htmltext.main_text(page)
+
+
+def test_pages_without_articles_keep_their_blocks(spark):
+    # The same pages with article and main as div: measured in blocks against the text that the article holds.
+    import re
+
+    found = wanted = right = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        want = set(htmltext.main_text(r["html"]).split("\n\n"))
+        got = set(htmltext.main_text(re.sub(r"(?i)<(/?)(?:article|main)\b", r"<\1div", r["html"])).split("\n\n"))
+        found, wanted, right = found + len(got), wanted + len(want), right + len(got & want)
+    precision, recall = right / found, right / wanted
+    assert 2 * precision * recall / (precision + recall) >= 0.97

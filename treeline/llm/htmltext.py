@@ -15,7 +15,7 @@ mean. That score is multiplied by two factors, on every page alike:
   ``main``, role main), paths under these gain 1 + ``HOME`` * h and all others
   1 - h, so a teaser card hardly counts and a page's own article does.
 
-Paths whose product reaches ``threshold`` times the page's mean are content.
+Paths whose leaves reach ``threshold`` times the page's mean, on average, are content.
 Only elements that never hold article text (navigation, headers and footers of
 the page, sidebars, forms, scripts, styles ...) and hidden ones are left out
 whatever they score.
@@ -194,10 +194,12 @@ def main_text(page: str | None, threshold: float = 0.5) -> str:
     damped = lambda n: NAMED ** max(0, n[5] - base)
     total = sum(w * damped(n) for n, w in own)
     share = sum(w * damped(n) for n, w in own if n[4]) / (total or 1.0)
-    content = set()
+    # A path's score is the mean of its leaves', so that a leaf beside the text doesn't take its whole path along.
+    by_path: dict[str, list[float]] = {}
     for n, score in zip(nodes, scores, strict=True):
-        if not n[3] and not n[2].isspace() and score * damped(n) * (1 + HOME * share if n[4] else 1 - share) >= threshold:
-            content.add(n[1])
+        if not n[3] and not n[2].isspace():
+            by_path.setdefault(n[1], []).append(score * damped(n) * (1 + HOME * share if n[4] else 1 - share))
+    content = {path for path, own in by_path.items() if sum(own) / len(own) >= threshold}
     # A block is content whole, so that inline tags in it don't lose their text; what has more unwanted names stands alone.
     blocks = {n[0] for n in nodes if n[1] in content}
     chosen = [not n[3] and (n[1] in content or (n[5] <= base and n[0] in blocks)) for n in nodes]
