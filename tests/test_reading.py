@@ -5,7 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from treeline.operators import read, walks
+from treeline import tools
+from treeline.operators import read, results, text, walks
 from treeline.plans.selector import SelectorError
 from treeline.sources import code
 
@@ -91,3 +92,49 @@ def test_new_diagnostics(spark):
     new = spark.createDataFrame([("f", "e1"), ("f", "e1"), ("f", "e1"), ("g", None), ("h", "e2")], "path string, message string")
     assert {tuple(r) for r in read.missing(old, new, ["path", "message"]).collect()} == {("f", "e1", 1), ("h", "e2", 1)}
     assert {r["path"] for r in read.sibling_diagnostics(new, spark.createDataFrame([("f",)], "path string")).collect()} == {"g", "h"}
+
+
+def test_documents_of_pages_and_costs(ws):
+    page = results.page(ws, "func", limit=2).document()
+    assert (len(page["rows"]), page["total"], page["truncated"], page["subject"], page["hint"]) == (2, 6, True, "every func", None)
+    nothing = results.page(ws, "func#lnger").document()
+    assert nothing["total"] == 0 and "longer" in nothing["hint"]
+    assert any("implement" in n for n in walks.notes(ws, "func::out.implements")) and walks.notes(ws, "func dir")
+    costs = results.cost(ws, "dir#p > file > func")
+    assert [c["rows"] for c in costs] == [1, 1, 4] and all(c["expected_bytes"] > 0 for c in costs)
+    ordered = ws.nodes.where("cls = 'func'").select("path", F.col("addr").alias("node"), F.col("cls").alias("type"), "start", "end", "ord")
+    assert [r["path"] for r in results.by_file(ordered).collect()] == ["p/a.go", "q/b.go"]
+
+
+def test_outlines_and_sizes(ws):
+    assert [tuple(r) for r in text.file_outline(ws, "p/a.go").collect()] == [("func", 4), ("module", 1)]
+    assert [tuple(r) for r in text.file_outline(ws, "p/a.go", least=2).collect()] == [("func", 4)]
+    assert {(r["node"], r["n"]) for r in text.tree_sizes(ws).where("type = 'dir'").collect()} == {("p", 7), ("q", 5)}
+
+
+def test_tools_check_their_parameters(ws):
+    assert tools.call(ws, "search", pattern="longer").count() == 1
+    with pytest.raises(ValueError, match="missing: pattern"):
+        tools.call(ws, "search")
+    with pytest.raises(ValueError, match="unknown: colour"):
+        tools.call(ws, "query", selector="func", colour=1)
+    with pytest.raises(ValueError, match="no tool"):
+        tools.call(ws, "nope")
+
+
+def test_parse_cache(spark, tmp_path, monkeypatch):
+    files = [("p/a.go", CHAIN), ("q/b.go", OTHER), ("e.go", "")]
+    frame = spark.createDataFrame(files, "path string, content string")
+    folder = f"file://{tmp_path}/cache"
+    want = sorted(tuple(r) for r in code.workspace(frame).nodes.select("addr", "cls", "start").collect())
+    for _ in range(2):
+        w = code.workspace(frame, cache=folder)
+        assert sorted(tuple(r) for r in w.nodes.select("addr", "cls", "start").collect()) == want
+        assert w.edges.distinct().count() == code.workspace(frame).edges.distinct().count()
+    keys = spark.read.parquet(f"{folder}/v{code.CACHE_VERSION}/decls/keys")
+    assert keys.count() == 3
+    changed = spark.createDataFrame([("p/a.go", "package p\nfunc only() {}\n"), *files[1:]], "path string, content string")
+    assert {r["addr"] for r in code.workspace(changed, cache=folder).nodes.where("path = 'p/a.go' and cls = 'func'").collect()} == {"p/a.go#only"}
+    keys.unpersist()
+    assert spark.read.parquet(f"{folder}/v{code.CACHE_VERSION}/decls/keys").count() == 4
+    assert code.workspace(spark.createDataFrame([("x.gox", "package z\nfunc f() {}\n")], "path string, content string"), extensions={"gox": "go"}).nodes.where("cls = 'func'").count() == 1

@@ -20,8 +20,12 @@ def test_stream_debounce_matches_batch(spark, tmp_path):
 
 
 def test_upserts_replace_by_key_and_delete(spark, tmp_path):
-    apply = refresh.upsert_into(str(tmp_path / "t"), "path")
-    apply(spark.createDataFrame([("a", 1, None), ("b", 2, None)], "path string, v int, deleted boolean"), 0)
-    for _ in range(2):  # a batch that runs again changes nothing
-        apply(spark.createDataFrame([("a", 3, False), ("a", 4, None), ("b", 9, True)], "path string, v int, deleted boolean"), 1)
-    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "t/v1")).collect()) == [("a", 3), ("a", 4)]
+    folder = str(tmp_path / "t")
+    apply = refresh.upsert_into(folder, "path", buckets=3)
+    schema = "path string, v int, deleted boolean"
+    apply(spark.createDataFrame([("a", 1, None), ("b", 2, None), ("c", 5, None)], schema), 0)
+    for n in (1, 1, 0):  # a batch that runs again, and a new checkpoint, change nothing
+        apply(spark.createDataFrame([("a", 3, False), ("a", 4, None), ("b", 9, True), ("b", 9, True)], schema), n)
+        assert sorted(tuple(r) for r in refresh.current(spark, folder).collect()) == [("a", 3), ("a", 4), ("c", 5)]
+    apply(spark.createDataFrame([("b", 7, None)], schema), 2)
+    assert sorted(tuple(r) for r in refresh.current(spark, folder).collect()) == [("a", 3), ("a", 4), ("b", 7), ("c", 5)]

@@ -85,6 +85,7 @@ _add("q_name_freq", f"{_NAMES} SELECT name, count(*) AS n FROM names GROUP BY na
 _add("q_cardinality", f"{_NAMES} SELECT count(DISTINCT name) AS n FROM names", lambda s, d: text.cardinality(kept(tables.documents, s, d)))
 _add("q_search", f"WITH {_LINES}, ok AS (SELECT * FROM lines WHERE node NOT IN (SELECT node FROM lines WHERE length(text) > 5000)), hits AS (SELECT node, line, unnest(regexp_extract_all(text, 'License|password')) AS hit FROM ok) SELECT node AS path, line, hit, count(*) AS n FROM hits GROUP BY ALL", lambda s, d: text.search(kept(tables.documents, s, d), "License|password").groupBy("path", "line", "hit").agg(F.count(F.lit(1)).alias("n")))
 _add("q_histogram", f"WITH {_PLACES} SELECT path, 'struct' AS type, count(*) AS n FROM people JOIN orders ON o_custkey = c_custkey GROUP BY path UNION ALL SELECT path, 'field', count(*) FROM people JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY path UNION ALL SELECT 'parts', 'type', count(*) FROM part", lambda s, d: text.histogram(kept(tables.trade, s, d)))
+_add("q_tree_sizes", f"WITH {_PLACES}, {_SUPPLIERS}, n AS (SELECT path AS node, 1 + count(DISTINCT o_orderkey) + count(l_orderkey) AS n FROM people LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY path UNION ALL SELECT node, 1 FROM suppliers), nations AS (SELECT r_name, n_name, 1 + coalesce(sum(n), 0) AS n FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN n ON starts_with(node, r_name || '/' || n_name || '/') GROUP BY ALL), regions AS (SELECT region.r_name, 1 + coalesce(sum(n), 0) AS n FROM region LEFT JOIN nations USING (r_name) GROUP BY ALL) SELECT node, 'file' AS type, CAST(n AS BIGINT) AS n FROM n UNION ALL SELECT r_name || '/' || n_name, 'dir', CAST(n AS BIGINT) FROM nations UNION ALL SELECT r_name, 'dir', CAST(n AS BIGINT) FROM regions UNION ALL SELECT 'parts', 'dir', count(*) + 1 FROM part UNION ALL SELECT 'trade', 'project', CAST((SELECT sum(n) FROM regions) + (SELECT count(*) FROM part) + 2 AS BIGINT)", lambda s, d: text.tree_sizes(kept(tables.trade, s, d)))
 _add("q_debounce", "WITH e AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 3600000000 THEN 0 ELSE 1 END AS cut FROM events), r AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM e) SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM r GROUP BY user_id, run", lambda s, d: incremental.debounce(tables.table(s, d, "events"), "user_id", "ts", 3_600_000))
 _add("q_latest_state", "SELECT user_id, arg_max(event_type, ts) AS event_type, max(ts) AS ts FROM events GROUP BY user_id", lambda s, d: incremental.latest(tables.table(s, d, "events").select("user_id", "ts", "event_type"), "user_id", ["ts"]))
 _add("q_lookup_dedup", "SELECT conv_id, CAST(length(text) AS INTEGER) AS size, role, max(turn) AS turn FROM conversations GROUP BY ALL", lambda s, d: incremental.lookup(tables.table(s, d, "conversations").select(F.col("conv_id").alias("path"), F.length("text").alias("line"), F.col("role").alias("col"), F.col("turn").alias("conf"), F.col("role").alias("name"))).select(F.col("path").alias("conv_id"), F.col("line").alias("size"), F.col("col").alias("role"), F.col("conf").alias("turn")))

@@ -99,6 +99,18 @@ def structure(ws: Workspace, folder: str = "", depth: int | None = None, pattern
     return (out if limit is None else out.limit(limit)).select("node", "type", "depth")
 
 
+def tree_sizes(ws: Workspace) -> DataFrame:
+    """(node, type, n): how many nodes lie in each folder and file, itself included."""
+    above = ws.nodes.select(F.explode("anc").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return ws.nodes.where("cls in ('project', 'dir', 'file')").join(above, "id").select(F.col("addr").alias("node"), F.col("cls").alias("type"), "n")
+
+
+def file_outline(ws: Workspace, path: str, least: int = 1) -> DataFrame:
+    """(type, n) of a file's symbols, the most frequent class first, then by name; classes of fewer than ``least`` are left out."""
+    inside = ws.nodes.where((F.col("path") == path) & (F.col("cls") != "file"))
+    return inside.groupBy(F.col("cls").alias("type")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).orderBy(F.col("n").desc(), "type")
+
+
 def histogram(ws: Workspace) -> DataFrame:
     """(path, type, n): symbols per class in each file."""
     return ws.nodes.where("cls not in ('project', 'dir', 'file')").groupBy("path", F.col("cls").alias("type")).agg(F.count(F.lit(1)).alias("n"))

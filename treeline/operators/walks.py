@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeline.plans.compiler import Compiler, cut, unfolded
-from treeline.plans.selector import Compound, Edge, Element, SelectorError, parse
+from treeline.plans.selector import Compound, Edge, Element, SelectorError, parse, repaired
 from treeline.workspace import Workspace
 
 
@@ -47,7 +47,7 @@ def _hops(compiler: Compiler, tips: DataFrame, e: Element) -> DataFrame:
             step = cut(step if seen is None else step.join(seen, "edge_id", "left_anti"))
             if not step.limit(1).count():
                 break
-            seen = step.select("edge_id") if seen is None else cut(seen.union(step.select("edge_id")))
+            seen = step.select("edge_id") if seen is None else seen.union(step.select("edge_id"))
         if n >= e.low:
             out.append(step)
         current = step.join(far, "edge_id").select(F.col("far").alias("host"), F.col("edge_id").alias("via")).distinct()
@@ -59,6 +59,32 @@ def unsettled(walked: DataFrame) -> DataFrame:
     return walked.where("conf = 'unsettled'").agg(F.countDistinct("edge").alias("edges"), F.min("hop").alias("first_hop"))
 
 
+def notes(ws: Workspace, selector: str) -> list[str]:
+    """What a result can't say for itself: relations that aren't known here, and self-calls that nothing confirms."""
+    out = list(inert(selector, ws.languages))
+    out += repaired(selector)[1]
+    kinds, pseudos = set(), set()
+
+    def visit(chains: list) -> None:
+        for chain in chains:
+            for _, e in chain:
+                if isinstance(e.body, list):
+                    visit([e.body])
+                    continue
+                kinds.update(getattr(e.body, "kinds", []))
+                for p in getattr(e.body, "pseudos", []):
+                    pseudos.add(p.name)
+                    if isinstance(p.arg, list):
+                        visit(p.arg)
+
+    visit(parse(selector, ws.languages))
+    if "implements" in kinds and not ws.edges.where("kind = 'implements'").limit(1).count():
+        out.append("which types implement which isn't known here; nothing found says nothing")
+    if "recursive" in pseudos and ws.edges.where("dir = 'out' and kind = 'call' and conf <> 'lsp' and host = far").limit(1).count():
+        out.append("some calls may be to the caller itself, but no definition confirms it")
+    return out
+
+
 def inert(selector: str, languages: dict[str, str] | None = None) -> list[str]:
     """Notes on containments that no tree can have, such as a folder in a function; empty if there are none."""
     # How deep each class of node stands.

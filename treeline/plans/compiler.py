@@ -118,7 +118,7 @@ class Compiler:
                 if not current.limit(1).count():
                     break
                 out[-1] = current
-                seen = cut(current if seen is None else seen.union(current))
+                seen = current if seen is None else seen.union(current)  # each part is written already
         return reduce(lambda a, b: a.union(b), [o.select("anchor", "id") for o in out]).distinct(), kind
 
     def contained(self, tips: DataFrame, nodes: DataFrame, low: int, high: int | None) -> DataFrame:
@@ -174,7 +174,7 @@ class Compiler:
                 current = cut(current)
                 if not current.limit(1).count():
                     break
-                seen = cut(current.select("anchor", "id") if seen is None else seen.union(current.select("anchor", "id")))
+                seen = current.select("anchor", "id") if seen is None else seen.union(current.select("anchor", "id"))
             if n >= low:
                 out.append(current)
         result = reduce(lambda a, b: a.union(b), out) if out else current.limit(0)
@@ -288,7 +288,7 @@ class Compiler:
             frontier = cut(with_ancestors(new).join(seen, ["anchor_tip", "id"], "left_anti"))
             if not frontier.limit(1).count():
                 break
-            seen = cut(seen.union(frontier))
+            seen = seen.union(frontier)
         # The tip itself counts only if a reference leads back to it.
         back = arrived.where("anchor_tip = id")
         up = seen.where("anchor_tip <> id").union(back).distinct()

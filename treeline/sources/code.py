@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from treeline.sources import details, languages
 from treeline.sources.tables import split_lines
-from treeline.workspace import Workspace, both_directions, node_id, project, root
+from treeline.workspace import Workspace, both_directions, node_id, project, root, written
 
 # Extensions and languages; folders that hold no source.
 EXTENSIONS = {"go": "go", "ts": "typescript", "tsx": "typescript", "js": "typescript", "jsx": "typescript", "mjs": "typescript", "cjs": "typescript", "py": "python", "pyi": "python", "java": "java", "kt": "kotlin", "kts": "kotlin", "groovy": "groovy", "gradle": "groovy", "gvy": "groovy", "gy": "groovy", "c": "c", "cpp": "cpp", "cc": "cpp", "h": "cpp", "hpp": "cpp", "sql": "sql", "psql": "sql", "xml": "xml", "md": "markdown", "markdown": "markdown"}
@@ -226,10 +226,14 @@ def sites_of(text: str, lang: str) -> list[tuple[str, int, int, str]]:
     return out
 
 
+#: What reads the declarations of each language's files; a reader takes the text. Others may be added.
+READERS = {"python": lambda text: python_decls(text), **{lang: (lambda text, lang=lang: brace_decls(text, lang)) for lang in BRACED}, **{lang: (lambda text, lang=lang: languages.read(text, lang)) for lang in ("java", "kotlin", "groovy", "c", "cpp", "sql", "xml", "markdown")}}
+
+
 def declarations(text: str, lang: str) -> list[Decl]:
     """A file's declarations with their returns and annotations, none where the file can't be read."""
     try:
-        found = python_decls(text) if lang == "python" else brace_decls(text, lang) if lang in BRACED else languages.read(text, lang)
+        found = READERS[lang](text) if lang in READERS else []
     except (SyntaxError, ValueError, RecursionError):
         return []
     if lang in ("markdown", "xml", "sql"):
@@ -288,9 +292,9 @@ def _parse(what: str):
     return run
 
 
-def language(path: str = "path"):
-    """The language of a path's extension, or null."""
-    return F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv])[F.lower(F.regexp_extract(path, r"\.(\w+)$", 1))]
+def language(path: str = "path", extensions: dict[str, str] | None = None):
+    """The language of a path's extension, or null; ``extensions`` add to those known or change them."""
+    return F.create_map(*[F.lit(x) for kv in (EXTENSIONS | (extensions or {})).items() for x in kv])[F.lower(F.regexp_extract(path, r"\.(\w+)$", 1))]
 
 
 def clean_files(files: DataFrame) -> DataFrame:
@@ -352,16 +356,46 @@ def ignored(path, patterns: list[str]):
     return out
 
 
-def workspace(files: DataFrame, name: str = "workspace", definitions: DataFrame | None = None, implements: DataFrame | None = None) -> Workspace:
+#: Goes into a parse cache's name: entries of another version aren't used.
+CACHE_VERSION = 2
+
+
+def parsed_rows(rows: DataFrame, what: str, cache: str | None = None) -> DataFrame:
+    """Declarations or sites of files (path, lang, content); with a cache folder, only contents that it lacks are parsed, and added to it.
+
+    An entry is named by path, language and the content's digest; the rows of a
+    file without any are told by its key. Entries of contents that are gone stay
+    until the folder's owner clears it.
+    """
+    schema = DECLS if what == "decls" else SITES
+    if cache is None:
+        return rows.mapInArrow(_parse(what), schema)
+    spark = rows.sparkSession
+    place = f"{cache.rstrip('/')}/v{CACHE_VERSION}/{what}"
+    keyed = rows.where("lang is not null").withColumn("digest", F.sha2(F.concat_ws("\x00", "path", "lang", "content"), 256))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{place}/keys")
+    known = spark.read.schema("digest string").parquet(f"{place}/keys") if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path) else None
+    todo = keyed if known is None else keyed.join(known.distinct(), "digest", "left_anti")
+    todo = written(todo.select("path", "lang", "content", "digest"))
+    fresh = todo.select("path", "lang", "content").mapInArrow(_parse(what), schema).join(todo.select("path", "digest"), "path")
+    fresh.write.mode("append").parquet(f"{place}/rows")
+    todo.select("digest").distinct().write.mode("append").parquet(f"{place}/keys")  # after the rows, so a key means that they are there
+    # A stop between the two leaves rows that are written again: told apart by nothing, they are one.
+    stored = spark.read.schema(f"{schema}, digest string").parquet(f"{place}/rows")
+    return stored.join(keyed.select("digest").distinct(), "digest", "left_semi").drop("digest").distinct()
+
+
+def workspace(files: DataFrame, name: str = "workspace", definitions: DataFrame | None = None, implements: DataFrame | None = None, cache: str | None = None, extensions: dict[str, str] | None = None) -> Workspace:
     """The tables over files (path, content).
 
     definitions (path, line, col, def_path, def_line), if any, settles ambiguous
     edges. implements (path, sym, of_path, of_sym), if any, says which types
-    implement which; without it no ``.implements`` edge is known.
+    implement which; without it no ``.implements`` edge is known. cache: a folder
+    that keeps what was parsed (see ``parsed_rows``); extensions: further ones.
     """
     spark = files.sparkSession
-    rows = files.select("path", language().alias("lang"), "content")
-    decls = rows.mapInArrow(_parse("decls"), DECLS)
+    rows = files.select("path", language(extensions=extensions).alias("lang"), "content")
+    decls = parsed_rows(rows, "decls", cache)
     parts = F.split("path", "/")
     paths = rows.select("path", "lang", F.slice(parts, 1, F.size(parts) - 1).alias("dirs"))
     dir_ids = F.transform(F.sequence(F.lit(1), F.size("dirs")), lambda n: F.xxhash64(F.lit("dir"), F.array_join(F.slice("dirs", 1, n), "/")))
@@ -382,7 +416,7 @@ def workspace(files: DataFrame, name: str = "workspace", definitions: DataFrame
     top = project(spark, name)
     top = top.select(*top.columns, *[none.cast("int").alias(c) for c in ("body_line", "comment_start", "comment_end")], none.cast("string").alias("sym"))
     nodes = top.select(pick).unionByName(d_rows.select(pick)).unionByName(f_rows.select(pick)).unionByName(s_rows.select(pick))
-    edges = _edges(rows, s_rows, definitions)
+    edges = _edges(parsed_rows(rows, "sites", cache), s_rows, definitions)
     if implements is not None:
         types = s_rows.where("cls not in ('argument', 'return', 'annotation', 'import')").select("id", "path", "sym")
         pairs = implements.join(types.toDF("src", "path", "sym"), ["path", "sym"]).join(types.toDF("dst", "of_path", "of_sym"), ["of_path", "of_sym"])
@@ -391,13 +425,12 @@ def workspace(files: DataFrame, name: str = "workspace", definitions: DataFrame
     return Workspace(nodes, split_lines(files, file, F.col("content")), edges)
 
 
-def _edges(rows: DataFrame, symbols: DataFrame, definitions: DataFrame | None) -> DataFrame:
+def _edges(sites: DataFrame, symbols: DataFrame, definitions: DataFrame | None) -> DataFrame:
     """Sites under their innermost symbol to every declaration of the name in scope.
 
     Arguments and imports are in scope in their own file only, so these are
     joined by file and name; only names that any file may use are joined by name.
     """
-    sites = rows.mapInArrow(_parse("sites"), SITES)
     src = F.when(F.col("host").isNotNull(), F.xxhash64(F.lit("symbol"), F.col("path"), F.col("host"))).otherwise(F.xxhash64(F.lit("file"), "path"))
     near = sites.select("path", "name", "line", "col", "kind", "pos", src.alias("src"), "encl")
     targets = symbols.where("cls not in ('module', 'return', 'annotation')").select(F.col("leaf").alias("name"), F.col("id").alias("dst"), "cls", F.col("path").alias("t_path"), F.regexp_replace("sym", r"\.[^.]*$", "").alias("owner"), F.col("start").alias("t_start"), F.col("end").alias("t_end"))

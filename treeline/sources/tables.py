@@ -38,9 +38,9 @@ def documents(spark: SparkSession, sf_dir: str) -> Workspace:
     file = node_id("file", F.col("doc_id"))
     dirs = node_rows(docs.select("source").distinct(), "dir", [source], source, source, source, [root()], source)
     files = node_rows(docs, "file", [F.col("doc_id")], F.col("doc_id").cast("string"), path, path, [root(), folder], F.concat_ws("\x01", source, _number("doc_id")), F.col("lang"))
-    copies = docs.select(file.alias("src"), "doc_id", F.sha2("text", 256).alias("digest"))
+    copies = docs.where("text is not null").select(file.alias("src"), "doc_id", F.sha2("text", 256).alias("digest"))
     before = F.lag("src").over(Window.partitionBy("digest").orderBy("doc_id"))
-    out = copies.withColumn("dst", before).where("dst is not null and digest is not null").select("src", "dst", F.lit("import").alias("kind"), F.lit("").alias("pos"), F.lit("lexical").alias("conf"), F.lit("copy").alias("site"))
+    out = copies.withColumn("dst", before).where("dst is not null").select("src", "dst", F.lit("import").alias("kind"), F.lit("").alias("pos"), F.lit("lexical").alias("conf"), F.lit("copy").alias("site"))
     return Workspace(union([project(spark, "documents"), dirs, files]), split_lines(docs, file, F.col("text")), both_directions(out), {x: x for x in ("en", "de", "fr", "es")})
 
 
