@@ -15,8 +15,10 @@ whatever the benchmark's size. A single item over the block size is a block.
 
 Defined cases: null or empty texts match nothing, nor do null or empty items,
 nor items of null id. Items of equal text are found each. Repeated rows are
-judged each; a null doc_id gives rows of null doc_id. Other columns are not
-read by ``leaks`` and kept by ``clean``.
+judged each; a null doc_id gives rows of null doc_id. Very long texts are
+searched whole. Of matches of equal edits the first to end is given. Empty
+tables, of documents or items, give no rows, or the documents as they are. Other
+columns, whatever their names, are not read by ``leaks`` and kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -124,6 +126,19 @@ class Matcher:
         return out
 
 
+_BUILT: dict[tuple, Matcher] = {}
+
+
+def built(items: list[tuple[int, str]], rate: float) -> Matcher:
+    """The matcher of a block of items, made once a worker; the last two are kept."""
+    key = rate, len(items), hash(tuple(items))
+    if key not in _BUILT:
+        while len(_BUILT) > 1:
+            del _BUILT[next(iter(_BUILT))]
+        _BUILT[key] = Matcher(items, rate)
+    return _BUILT[key]
+
+
 def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and length(text) > 0")
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -146,7 +161,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, block_chars
 
 def _finder(shared, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value, rate)
+        matcher = built(shared.value, rate)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for at in range(0, batch.num_rows, 256):
@@ -165,7 +180,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, block_chars
 
     def keeper(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, rate)
+            matcher = built(shared.value, rate)
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
