@@ -28,7 +28,8 @@ tags that nothing opened are ignored, so unclosed tags do no harm.
 Defined cases: null or empty html gives an empty text and n_chars 0; so do
 pages without content. Text outside any tag counts as body text. Repeated rows
 are extracted each. Nothing is capped: a page is worked on whole, in time linear
-in its length. Other columns are not read.
+in its length. Paths of equal scores are content together or not at all. An empty
+table gives no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
