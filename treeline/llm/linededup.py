@@ -44,6 +44,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from treeline.llm.common import scratch_root, stored
 
@@ -109,7 +110,8 @@ def _strip(rows: DataFrame, drops: DataFrame) -> DataFrame:
                 kept.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, batch.schema.field("text").type)], ["doc", *RESULTS])
 
-    out = joined.mapInArrow(run, f"doc {joined.schema['doc'].dataType.simpleString()}, n_lines long, n_dropped long, kept_text string")
+    schema = StructType([joined.schema["doc"], StructField("n_lines", LongType()), StructField("n_dropped", LongType()), StructField("kept_text", StringType())])
+    out = joined.mapInArrow(run, schema)
     return out.select("doc.*", *RESULTS)
 
 
