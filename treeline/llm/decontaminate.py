@@ -130,11 +130,10 @@ _BUILT: dict[tuple, Matcher] = {}
 
 
 def built(items: list[tuple[int, str]], rate: float) -> Matcher:
-    """The matcher of a block of items, made once a worker; the last two are kept."""
+    """The matcher of a block of items, made once a worker; only the last is kept."""
     key = rate, len(items), hash(tuple(items))
     if key not in _BUILT:
-        while len(_BUILT) > 1:
-            del _BUILT[next(iter(_BUILT))]
+        _BUILT.clear()
         _BUILT[key] = Matcher(items, rate)
     return _BUILT[key]
 
