@@ -165,7 +165,7 @@ class Codec:
     one goes.
     """
 
-    CACHE = 300_000
+    CACHE = 80_000
 
     def __init__(self, raw: bytes):
         m = self.model = SentencePieceModel.parse(raw)
@@ -355,7 +355,7 @@ def verify(raw: bytes, texts: list[str]) -> list[int]:
     return [i for i, t in enumerate(texts) if theirs.encode(t) != ids[i].tolist() or theirs.decode(ids[i].tolist()) != mine[i]]
 
 
-def _slices(batch: pa.RecordBatch, column: str, rows: int = 1024, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, column: str, rows: int = 512, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of so many rows and about so many bytes of a column at most; a row alone may have more."""
     values = batch.column(batch.schema.get_field_index(column))
     sizes = pc.fill_null(pc.binary_length(values) if pa.types.is_string(values.type) or pa.types.is_large_string(values.type) else pc.list_value_length(values), 0).to_numpy(zero_copy_only=False)
