@@ -99,16 +99,18 @@ def _strip(rows: DataFrame, drops: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            totals, dropped, kept = [], [], []
-            for text, out in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                parts = (text or "").split("\n")
-                totals.append(len(parts))
-                away = set(out or ())
-                dropped.append(len(away))
-                if away:
-                    text = "\n".join(x for i, x in enumerate(parts) if i not in away)
-                kept.append(text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, batch.schema.field("text").type)], ["doc", *RESULTS])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                totals, dropped, kept = [], [], []
+                for text, out in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    parts = (text or "").split("\n")
+                    totals.append(len(parts))
+                    away = set(out or ())
+                    dropped.append(len(away))
+                    if away:
+                        text = "\n".join(x for i, x in enumerate(parts) if i not in away)
+                    kept.append(text)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(totals, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, batch.schema.field("text").type)], ["doc", *RESULTS])
 
     schema = StructType([joined.schema["doc"], StructField("n_lines", LongType()), StructField("n_dropped", LongType()), StructField("kept_text", StringType())])
     out = joined.mapInArrow(run, schema)
