@@ -15,6 +15,9 @@ MODULES = (
     "tokencounts",
     "toxicity",
     "quality",
+    "variants",
+    "packing",
+    "collocations",
 )
 
 
