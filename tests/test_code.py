@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from treeline.operators import intervals, results, walks
 from treeline.plans.compiler import query
 from treeline.sources import code, details
 
@@ -227,3 +228,76 @@ def test_scan_reads_text_files_only(spark, tmp_path):
     (tmp_path / "pkg" / "build").write_text("a file, no folder\n")
     assert sorted(r["path"] for r in code.scan(spark, str(tmp_path)).collect()) == ["pkg/a.py", "pkg/build"]
     assert [r["path"] for r in code.scan(spark, str(tmp_path), ignore=["*.py"]).collect()] == ["pkg/build"]
+
+
+def hot_files(n):
+    """n files that each declare and call a method of the same name."""
+    return [(f"f{i}.java", f"package p;\nclass Box{i} {{\n  void go(int a) {{ go(a); other{i}(a); }}\n}}\n") for i in range(n)]
+
+
+def test_edges_grow_with_sites_and_declarations_not_their_product(spark):
+    rows = {}
+    for n in (10, 40):
+        w = code.workspace(spark.createDataFrame(hot_files(n), "path string, content string"))
+        rows[n] = w.edges.count() + w.groups.count()
+    assert rows[40] < 4.5 * rows[10]
+    assert query(w, "method#go::in.call > method").count() == 40
+    assert query(w, "#'f3.java#Box3.go'::in.call").count() == 40  # each of the name's sites is an edge of its own
+    assert {len(r["far"]) for r in query(w, "#'f3.java#Box3.go'::out.call#go").collect()} == {40}
+    assert query(w, "#'f3.java#Box3.go'::in.call#'f7.java#Box7.go'").count() == 1
+    assert [r["far"] for r in query(w, "#'f3.java#Box3.go'::in.call:first").collect()] == [["f0.java#Box0.go"]]
+    assert results.explain(w, "#'f3.java#Box3.go'::in.call").orderBy("step").collect()[-1]["rows"] == 40
+    walked = walks.walk(w, "#'f3.java#Box3.go'::in.call{1,2}").collect()
+    assert len(walked) == 40 * 40 and {(r["hop"], r["via"] is None) for r in walked} == {(1, True), (2, False)}
+
+
+def test_out_and_in_settle_by_rules_of_their_own(spark):
+    files = [("a.go", "package a\nfunc Use(x int) { x() }\n"), ("b.go", "package b\nfunc x() {}\nfunc Far() { x() }\n")]
+    w = code.workspace(spark.createDataFrame(files, "path string, content string"))
+    # Use's own x is seen in Use only, the other in both files: out edges count the candidates in scope ...
+    out = {(r["host"], tuple(r["far"]), r["conf"]) for r in query(w, "func::out.call").collect()}
+    assert out == {("a.go#Use", ("a.go#Use.x", "b.go#x"), "unsettled"), ("b.go#Far", ("b.go#x",), "lexical")}
+    # ... and in edges whether anything else has the name.
+    into = {(r["host"], tuple(r["far"]), r["conf"]) for r in query(w, "#x::in.call").collect()}
+    assert into == {("a.go#Use.x", ("a.go#Use",), "unsettled"), ("b.go#x", ("a.go#Use",), "unsettled"), ("b.go#x", ("b.go#Far",), "unsettled")}
+
+
+def test_definitions_of_both_directions_and_outside(spark):
+    files = [("a.go", "package a\nfunc Run() {}\n"), ("b.go", "package b\nfunc Run() {}\n"), ("c.go", "package c\nfunc Go1() { Run() }\nfunc Go2() { Run() }\nfunc Go3() { Run() }\n")]
+    defs = [("c.go", 2, 14, "b.go", 2), ("c.go", 3, 14, "/root/go/pkg/mod/example.org/lib@v1/run.go", 7), ("c.go", 4, 14, "c.go", 99)]
+    w = code.workspace(spark.createDataFrame(files, "path string, content string"), definitions=spark.createDataFrame(defs, "path string, line int, col int, def_path string, def_line int"))
+    out = {r["host"]: (r["far"], r["conf"]) for r in query(w, "func::out.call").collect()}
+    assert out == {"c.go#Go1": (["b.go#Run"], "lsp"), "c.go#Go2": (["example.org/lib#Run"], "external"), "c.go#Go3": (["a.go#Run", "b.go#Run"], "unsettled")}
+    # A definition elsewhere means that the site isn't this one's, whatever its name.
+    assert {(r["host"], tuple(r["far"]), r["conf"]) for r in query(w, "#Run::in.call").collect()} == {("b.go#Run", ("c.go#Go1",), "lsp")}
+    assert nodes(w, "#Go2::out.call > *") == {"Run"} and nodes(w, ":root *") & {"Run"} == {"Run"}
+    assert [r["node"] for r in query(w, "external").collect()] == ["example.org/lib#Run"]
+
+
+def test_inner_functions_are_seen_in_their_bodies(spark):
+    text = "def outer():\n    def help():\n        return 1\n    def deeper():\n        return help()\n    return help()\n\n\ndef other():\n    return help()\n"
+    w = code.workspace(spark.createDataFrame([("a.py", text)], "path string, content string"))
+    assert nodes(w, "#'a.py#outer.help'::in.call > *") == {"outer", "outer.deeper"}
+    assert nodes(w, "#other::out.call > *") == set()
+
+
+def test_annotation_blocks_of_any_length(spark):
+    text = "package p;\n\n@Mark\n" + "// more\n" * 200 + "class A {\n}\n\n// Mark\n\nclass B {\n  void f() {}\n}\n"
+    w = code.workspace(spark.createDataFrame([("A.java", text)], "path string, content string"))
+    assert nodes(w, "class:annotated('Mark')") == {"A"}
+    assert nodes(w, "class:contains('void')") == {"B"} and nodes(w, "file:contains('void')") == {"A.java"}
+
+
+def test_points_in_spans_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    spans = [("f" if i % 3 else "g", *sorted(rng.choices(range(1, 700), k=2)), i) for i in range(120)] + [("f", 9, 3, 120), ("f", 5, None, 121), ("g", None, None, 122)]
+    points = [(rng.choice("fgh"), rng.randint(1, 720)) for _ in range(400)]
+    got = intervals.within(spark.createDataFrame(spans, "path string, low int, high int, span int"), spark.createDataFrame(points, "path string, line int"), "path")
+    want = [(p, line, s) for p, line in points for q, a, b, s in spans if p == q and (a is None or b is not None and a <= line <= b)]
+    assert sorted((r["path"], r["line"], r["span"]) for r in got.collect()) == sorted(want)
+    best = intervals.innermost(spark.createDataFrame([(p, str(s), a, b) for p, a, b, s in spans if a], "path string, span string, lo int, hi int"), spark.createDataFrame(points, "path string, line int"))
+    for r in best.collect():
+        around = [(b - a, -a, str(s)) for q, a, b, s in spans if q == r["path"] and a and b and a <= r["line"] <= b]
+        assert r["span"] == (min(around)[2] if around else None)

@@ -77,8 +77,9 @@ def explain(ws: Workspace, selector: str) -> DataFrame:
     out = None
     for n, chain in enumerate(parse(selector, ws.languages), 1):
         for i in range(1, len(chain) + 1):
-            tips, kind = Compiler(ws).chain(chain[:i])
-            one = tips.agg(F.countDistinct("id").alias("rows")).select(F.lit(n).alias("alternative"), F.lit(i).alias("step"), F.lit(kind).alias("element"), "rows")
+            compiler = Compiler(ws)
+            tips, kind = compiler.chain(chain[:i])
+            one = compiler.count(tips, kind).select(F.lit(n).alias("alternative"), F.lit(i).alias("step"), F.lit(kind).alias("element"), "rows")
             out = one if out is None else out.unionByName(one)
     return out
 
@@ -88,11 +89,12 @@ def cost(ws: Workspace, selector: str) -> list[dict]:
     out = []
     for n, chain in enumerate(parse(selector, ws.languages), 1):
         for i in range(1, len(chain) + 1):
-            tips, kind = Compiler(ws).chain(chain[:i])
-            ids = tips.select("id").distinct()
+            compiler = Compiler(ws)
+            tips, kind = compiler.chain(chain[:i])
+            ids = compiler.count(tips, kind)
             expected = int(str(ids._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
             start = time.perf_counter()
-            rows = ids.count()
+            rows = ids.first()[0]
             out.append({"alternative": n, "step": i, "element": kind, "expected_bytes": expected, "rows": rows, "seconds": round(time.perf_counter() - start, 3)})
             if not rows:
                 break  # what follows isn't reached

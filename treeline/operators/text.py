@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeline.functions.patterns import to_java
+from treeline.operators.intervals import innermost as innermost  # told of here, too
 from treeline.workspace import Workspace
 
 #: Characters of a line after which a file counts as generated and is skipped whole.
@@ -63,14 +64,6 @@ def sites(ws: Workspace) -> DataFrame:
     return ws.lines.join(files, "file_id").select("path", "line", F.posexplode(names(F.col("text"))).alias("at", "name"))
 
 
-def innermost(spans: DataFrame, points: DataFrame) -> DataFrame:
-    """The smallest span (path, span, lo, hi) around each point (path, line); without one, null."""
-    near = points.join(spans, "path", "left").where("lo is null or (line between lo and hi)")
-    order = Window.partitionBy("path", "line").orderBy(F.col("hi") - F.col("lo"), F.col("lo").desc(), "span")
-    best = near.withColumn("at", F.row_number().over(order)).where("at = 1").select("path", "line", "span")
-    return points.distinct().join(best, ["path", "line"], "left")
-
-
 def outline(ws: Workspace, limit: int) -> DataFrame:
     """The first ``limit`` nodes in document order, with their depth."""
     return ws.nodes.orderBy("ord", "id").limit(limit).select(F.col("addr").alias("node"), F.col("cls").alias("type"), (F.size("anc") - 1).alias("depth"))

@@ -28,30 +28,30 @@ def walk(ws: Workspace, selector: str) -> DataFrame:
         tips = compiler.cross(tips) if kind == "edge" else tips
         parts.append(_hops(compiler, tips, last))
     every = reduce(lambda a, b: a.unionByName(b), parts)
-    first = every.groupBy("edge_id").agg(F.min(F.struct("hop", "via")).alias("x")).select("edge_id", "x.hop", "x.via")
     names = ws.nodes.select("id", "addr")
-    edges = ws.edges.join(first, "edge_id").join(names.toDF("host", "host_addr"), "host").join(names.toDF("far", "far_addr"), "far")
+    edges = every.join(names.toDF("host", "host_addr"), "host").join(names.toDF("far", "far_addr"), "far")
     kind = F.concat_ws(".", F.concat(F.lit("::"), F.col("dir")), F.when(F.col("kind") != "", F.col("kind")))
-    return edges.groupBy(F.col("edge_id").alias("edge"), kind.alias("type"), F.col("host_addr").alias("host"), "conf", "hop", "via").agg(F.array_sort(F.collect_set("far_addr")).alias("far")).select("edge", "type", "host", "far", "conf", "hop", "via")
+    edges = edges.groupBy(F.col("edge_id").alias("edge"), kind.alias("type"), F.col("host_addr").alias("host"), "conf").agg(F.min(F.struct("hop", "via")).alias("x"), F.array_sort(F.collect_set("far_addr")).alias("far"))
+    return edges.select("edge", "type", "host", "far", "conf", "x.hop", "x.via")
 
 
 def _hops(compiler: Compiler, tips: DataFrame, e: Element) -> DataFrame:
-    edges = compiler.edges(e.body).select("edge_id", "host").distinct()
-    far = compiler.ws.edges.select("edge_id", "far").distinct()
-    current = tips.select(F.col("id").alias("host"), F.lit(None).cast("long").alias("via")).distinct()
+    """The rows of the edges crossed, each with its hop and the edge before; only edges of nodes arrived at are unfolded."""
+    current = tips.select("id", F.lit(None).cast("long").alias("via")).distinct()
     out, seen, n = [], None, 0
     while e.high is None or n < e.high:
         n += 1
-        step = current.join(edges, "host").groupBy("edge_id").agg(F.min("via").alias("via")).withColumn("hop", F.lit(n))
+        rows = compiler.each(e.body, current)
+        step = current.withColumnRenamed("id", "host").join(rows, "host").groupBy("edge_id", "dir", "host", "kind", "conf", "far").agg(F.min("via").alias("via")).withColumn("hop", F.lit(n))
+        step = cut(step if seen is None else step.join(seen, "edge_id", "left_anti"))
         if e.high is None:
-            step = cut(step if seen is None else step.join(seen, "edge_id", "left_anti"))
             if not step.limit(1).count():
                 break
             seen = step.select("edge_id") if seen is None else seen.union(step.select("edge_id"))
         if n >= e.low:
             out.append(step)
-        current = step.join(far, "edge_id").select(F.col("far").alias("host"), F.col("edge_id").alias("via")).distinct()
-    return reduce(lambda a, b: a.unionByName(b), out) if out else compiler.ws.edges.limit(0).select("edge_id", F.lit(None).cast("long").alias("via"), F.lit(0).alias("hop"))
+        current = step.select(F.col("far").alias("id"), F.col("edge_id").alias("via")).distinct()
+    return reduce(lambda a, b: a.unionByName(b), out) if out else step.limit(0)
 
 
 def unsettled(walked: DataFrame) -> DataFrame:
@@ -80,7 +80,11 @@ def notes(ws: Workspace, selector: str) -> list[str]:
     visit(parse(selector, ws.languages))
     if "implements" in kinds and not ws.edges.where("kind = 'implements'").limit(1).count():
         out.append("which types implement which isn't known here; nothing found says nothing")
-    if "recursive" in pseudos and ws.edges.where("dir = 'out' and kind = 'call' and conf <> 'lsp' and host = far").limit(1).count():
+    calls = ws.edges.where("dir = 'out' and kind = 'call' and conf <> 'lsp'")
+    own = calls.where("host = far").select("host")
+    if ws.groups is not None:  # a name's calls are met with the members that host them, not with all
+        own = own.union(calls.join(ws.groups, (calls["group"] == ws.groups["group"]) & (F.col("host") == ws.groups["far"])).select("host"))
+    if "recursive" in pseudos and own.limit(1).count():
         out.append("some calls may be to the caller itself, but no definition confirms it")
     return out
 

@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeline.functions.patterns import attribute, matches
-from treeline.operators import conflicts
+from treeline.operators import conflicts, intervals
 from treeline.plans.selector import Bool, Chain, Compound, Edge, Element, Generated, Pseudo, SelectorError, parse
-from treeline.workspace import Workspace, node_id, written
+from treeline.workspace import Workspace, node_id, unfolded as unfolded_edges, written
 
 CLAIMS = ("any", "empty", "all")
 
@@ -45,6 +45,9 @@ def id_column(value: str) -> Column:
 class Compiler:
     def __init__(self, ws: Workspace):
         self.ws = ws
+        edges = ws.edges
+        #: The workspace's edge rows, and these with what was unfolded on the way.
+        self.base = self.links = edges if "group" in edges.columns else edges.withColumn("group", F.lit(None).cast("long"))
 
     # -- filters -------------------------------------------------------------
     def candidates(self, c: Compound) -> DataFrame:
@@ -132,6 +135,9 @@ class Compiler:
     def compound(self, tips: DataFrame, kind: str, comb: str, c: Compound) -> DataFrame:
         nodes = self.candidates(c)
         if kind == "edge":
+            if not any(p.name in ("first", "last") for p in c.pseudos):  # only these tell one edge's ends from another's
+                reach = self.contained(self.cross(tips), nodes, 0, 0 if comb == ">" else None)
+                return self.pseudos(reach.select("anchor", F.lit(0).cast("long").alias("src"), "id").distinct(), c.pseudos)
             tips = self.cross(tips, keep_source=True)
             reach = self.contained(tips.select("anchor", "id"), nodes, 0, 0 if comb == ">" else None)
             reach = reach.join(tips.select("anchor", F.col("id").alias("src"), F.col("src").alias("edge")), ["anchor", "src"]).select("anchor", F.col("edge").alias("src"), "id")
@@ -144,25 +150,72 @@ class Compiler:
         return self.pseudos(reach.distinct(), c.pseudos)
 
     # -- edges ---------------------------------------------------------------
-    def edges(self, e: Edge) -> DataFrame:
-        edges = self.ws.edges.where(F.col("dir") == e.direction)
+    def edges(self, e: Edge, hosts: DataFrame | None = None, each: bool = False) -> DataFrame:
+        """(edge_id, host) of an element's edges, only those of hosts (id), if given.
+
+        A row with a group stays folded, unless ``each`` edge is asked for or its
+        members are tested; rows unfolded here join ``links``.
+        """
+        edges, groups = self._of_kind(e, hosts), self.ws.groups
+        if not (e.ids or e.tests):
+            return self._unfold(edges, groups) if each and e.direction == "in" and groups is not None else edges.select("edge_id", "host").distinct()
+        far = self.candidates(Compound(ids=e.ids, tests=e.tests)).select(F.col("id").alias("far"))
+        out = edges.join(far, "far", "left_semi").select("edge_id", "host")
+        if groups is not None:
+            fit, folded = groups.join(far, "far", "left_semi"), edges.where(F.col("group").isNotNull())
+            out = out.union(self._unfold(folded, fit) if e.direction == "in" else folded.join(fit.select("group").distinct(), "group", "left_semi").select("edge_id", "host"))
+        return out.distinct()
+
+    def _of_kind(self, e: Edge, hosts: DataFrame | None) -> DataFrame:
+        edges = self.base.where(F.col("dir") == e.direction)
         if "implements" not in e.kinds:  # a relation of its own, crossed only by name
             edges = edges.where("kind <> 'implements'")
         for kind in e.kinds:
             edges = edges.where((F.col("kind") == kind) | (F.col("pos") == kind))
-        if e.ids or e.tests:
-            far = self.candidates(Compound(ids=e.ids, tests=e.tests)).select(F.col("id").alias("far"))
-            edges = edges.join(edges.join(far, "far", "left_semi").select("edge_id").distinct(), "edge_id", "left_semi")
-        return edges
+        return edges if hosts is None else edges.join(hosts.select(F.col("id").alias("host")).distinct(), "host", "left_semi")
+
+    def each(self, e: Edge, hosts: DataFrame) -> DataFrame:
+        """The rows of all of an element's edges of hosts (id), unfolded."""
+        rows = unfolded_edges(self._of_kind(e, hosts), self.ws.groups)
+        if not (e.ids or e.tests):
+            return rows
+        far = self.candidates(Compound(ids=e.ids, tests=e.tests)).select(F.col("id").alias("far"))
+        return rows.join(rows.join(far, "far", "left_semi").select("edge_id").distinct(), "edge_id", "left_semi")
+
+    def _unfold(self, edges: DataFrame, groups: DataFrame) -> DataFrame:
+        rows = unfolded_edges(edges, groups)
+        self.links = self.links.unionByName(rows.withColumn("group", F.lit(None).cast("long")))
+        return rows.select("edge_id", "host").distinct()
+
+    def rows(self, ids: DataFrame) -> DataFrame:
+        """(edge_id, dir, host, kind, pos, conf, far) of edges (edge_id), unfolded."""
+        return unfolded_edges(self.links.join(ids, "edge_id", "left_semi").distinct(), self.ws.groups).distinct()
+
+    def count(self, tips: DataFrame, kind: str) -> DataFrame:
+        """(rows): how many different tips there are; folded edges count as many as they stand for."""
+        if kind != "edge" or self.ws.groups is None:
+            return tips.agg(F.countDistinct("id").alias("rows"))
+        sizes = self.ws.groups.groupBy("group").agg(F.countDistinct("far", "site").alias("size"))
+        links = self.links.join(tips.select(F.col("id").alias("edge_id")).distinct(), "edge_id", "left_semi").distinct()
+        each = links.where("dir = 'in'").join(sizes, "group").groupBy("edge_id").agg(F.sum("size").alias("n"))
+        one = links.where("dir = 'out' or group is null").select("edge_id", F.lit(1).cast("long").alias("n")).distinct()
+        return each.union(one).agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("rows"))
 
     def cross(self, tips: DataFrame, keep_source: bool = False) -> DataFrame:
-        far = self.ws.edges.select("edge_id", "far")
-        out = tips.select("anchor", F.col("id").alias("src")).join(far, F.col("src") == F.col("edge_id"))
-        return out.select("anchor", *(["src"] if keep_source else []), F.col("far").alias("id")).distinct()
+        """The edges' far ends: a group is crossed once for all edges of an anchor that have it, unless their sources are kept."""
+        source = ["src"] if keep_source else []
+        ends = tips.select("anchor", F.col("id").alias("src")).join(self.links.select("edge_id", "far", "group"), F.col("src") == F.col("edge_id"))
+        out = ends.where("far is not null").select("anchor", *source, F.col("far").alias("id"))
+        if self.ws.groups is not None:
+            many = ends.where(F.col("group").isNotNull()).select("anchor", *source, "group").distinct()
+            out = out.union(many.join(self.ws.groups, "group").select("anchor", *source, F.col("far").alias("id")))
+        return out.distinct()
 
     def hops(self, tips: DataFrame, e: Edge, low: int, high: int | None) -> DataFrame:
         """(anchor, id) of the edges crossed low to high times: walks if bounded, a fixpoint if not."""
-        edges = self.edges(e).select(F.col("edge_id"), F.col("host")).distinct()
+        each = any(p.name in ("first", "last") for p in e.pseudos)
+        bounded = (low, high) == (1, 1)
+        edges = self.edges(e, tips if bounded else None, each)
         out, seen, current, n = [], None, tips.select("anchor", "id"), 0
         while high is None or n < high:
             n += 1
@@ -208,7 +261,12 @@ class Compiler:
             if p.name in ("first", "last"):
                 order = self.ws.nodes.select("id", "ord")
                 if kind == "edge":
-                    order = self.ws.edges.join(self.ws.nodes.select(F.col("id").alias("far"), "ord"), "far").groupBy(F.col("edge_id").alias("id")).agg(F.min("ord").alias("ord"))
+                    ends = self.ws.nodes.select(F.col("id").alias("far"), "ord")
+                    order = self.links.join(ends, "far").select("edge_id", "ord")
+                    if self.ws.groups is not None:
+                        least = self.ws.groups.join(ends, "far").groupBy("group").agg(F.min("ord").alias("ord"))
+                        order = order.union(self.links.join(least, "group").select("edge_id", "ord"))
+                    order = order.groupBy(F.col("edge_id").alias("id")).agg(F.min("ord").alias("ord"))
                 by = [F.col("ord"), F.col("id")] if p.name == "first" else [F.col("ord").desc(), F.col("id").desc()]
                 at = F.row_number().over(Window.partitionBy("anchor", "src").orderBy(*by))
                 reach = reach.join(order, "id").withColumn("at", at).where("at = 1").select("anchor", "src", "id")
@@ -218,8 +276,8 @@ class Compiler:
         """(ok): those of tips (id) for which the pseudo-class holds."""
         same = tips.select(F.col("id").alias("ok"))
         if p.name in ("contains", "annotated"):
-            lines = self.source(tips) if p.name == "contains" else self.above(tips)
-            return lines.where(matches(F.col("text"), p.arg)).select(F.col("host").alias("ok")).distinct()
+            hits = (self.source if p.name == "contains" else self.annotated)(tips, matches(F.col("text"), p.arg))
+            return hits.select(F.col("host").alias("ok")).distinct()
         if p.name == "arity":
             low, high = p.arg
             args = self.ws.nodes.where("cls = 'argument'").groupBy("parent").agg(F.count(F.lit(1)).alias("n"))
@@ -231,7 +289,7 @@ class Compiler:
             near = self.ws.nodes.where("file_id is not null").where((depth >= low) & ((depth <= high) if high is not None else F.lit(True))).select(F.col("id").alias("ok"))
             return same.join(near, "ok", "left_semi")
         if p.name == "recursive":
-            own = self.ws.edges.where("dir = 'out' and kind = 'call' and conf = 'lsp' and host = far").select(F.col("host").alias("ok"))
+            own = self.links.where("dir = 'out' and kind = 'call' and conf = 'lsp' and host = far").select(F.col("host").alias("ok"))
             return same.join(own, "ok", "left_semi")
         if p.name in ("is", "not"):
             hit = self.matching(tips, p.arg)
@@ -275,7 +333,7 @@ class Compiler:
         """(anchor_tip, id): what contains or refers to each tip, transitively; with a list, its roots whose subject does."""
         above = self.ws.nodes.select(F.col("id").alias("child"), "anc")
         # Only sources of references in are followed round by round; containment comes from the ancestor arrays at once.
-        refs = self.ws.edges.where("dir = 'in'").select(F.col("host"), F.col("far")).distinct()
+        refs = self.links.where("dir = 'in'").select("host", "far", "group").distinct()
 
         def with_ancestors(df: DataFrame) -> DataFrame:
             return df.join(above, F.col("id") == F.col("child")).select("anchor_tip", F.explode("anc").alias("id")).distinct()
@@ -283,7 +341,12 @@ class Compiler:
         seen = cut(with_ancestors(tips.select(F.col("id").alias("anchor_tip"), "id")))
         frontier, arrived = seen, None
         while True:
-            new = frontier.join(refs, F.col("id") == F.col("host")).select("anchor_tip", F.col("far").alias("id")).distinct()
+            ends = frontier.join(refs, F.col("id") == F.col("host"))
+            new = ends.where("far is not null").select("anchor_tip", F.col("far").alias("id"))
+            if self.ws.groups is not None:
+                many = ends.where(F.col("group").isNotNull()).select("anchor_tip", "group").distinct()
+                new = new.union(many.join(self.ws.groups, "group").select("anchor_tip", F.col("far").alias("id")))
+            new = new.distinct()
             arrived = new if arrived is None else arrived.union(new)
             frontier = cut(with_ancestors(new).join(seen, ["anchor_tip", "id"], "left_anti"))
             if not frontier.limit(1).count():
@@ -303,36 +366,45 @@ class Compiler:
         return reduce(lambda a, b: a.union(b), out).distinct()
 
     # -- source text ---------------------------------------------------------
-    def source(self, tips: DataFrame) -> DataFrame:
-        """(host, line, text): the own lines of tips (id)."""
-        span = self.ws.nodes.join(tips, "id", "left_semi").where("file_id is not null").select(F.col("id").alias("host"), "file_id", "start", "end")
-        inside = (F.col("start").isNull()) | ((F.col("line") >= F.col("start")) & (F.col("line") <= F.col("end")))
-        return span.join(self.ws.lines, "file_id").where(inside).select("host", "line", "text")
-
-    def above(self, tips: DataFrame, most: int = 64) -> DataFrame:
-        """(host, line, text): the block of lines right above a declaration, up to a blank line, and its first line."""
-        span = self.ws.nodes.join(tips, "id", "left_semi").where("file_id is not null and start is not null").select(F.col("id").alias("host"), "file_id", "start")
-        near = span.join(self.ws.lines, "file_id").where((F.col("line") < F.col("start")) & (F.col("line") >= F.col("start") - most))
-        gap = F.max(F.when(F.trim("text") == "", F.col("line"))).over(Window.partitionBy("host"))
-        near = near.withColumn("gap", gap).where("gap is null or line > gap").select("host", "line", "text")
-        return near.union(span.join(self.ws.lines, "file_id").where("line = start").select("host", "line", "text"))
+    def source(self, tips: DataFrame, wanted: Column | None = None) -> DataFrame:
+        """(host, line, text): the own lines of tips (id), only those wanted; a file has all of its lines."""
+        span = self.ws.nodes.join(tips, "id", "left_semi").where("file_id is not null").select(F.col("id").alias("host"), "file_id", F.col("start").alias("low"), F.col("end").alias("high"))
+        lines = self.ws.lines if wanted is None else self.ws.lines.where(wanted)
+        return intervals.within(span, lines, "file_id").select("host", "line", "text")
+
+    def annotated(self, tips: DataFrame, wanted: Column) -> DataFrame:
+        """(host): tips with a line that is wanted in the block right above them, up to a blank line, or in their first line.
+
+        Lines between two blank ones are a block, named by the blank line before
+        it. The first wanted line of a block says for every declaration below.
+        """
+        span = self.ws.nodes.join(tips, "id", "left_semi").where("file_id is not null and start is not null").select(F.col("id").alias("host"), "file_id", F.col("start").alias("line"))
+        lines = self.ws.lines.join(span.select("file_id").distinct(), "file_id", "left_semi")
+        before = Window.partitionBy("file_id").orderBy("line")
+        block = F.last(F.when(F.trim("text") == "", F.col("line")), ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, -1))
+        lines = lines.select("file_id", "line", F.coalesce(block, F.lit(0)).alias("block"), F.trim("text").alias("bare"), wanted.alias("hit"))
+        first = lines.where("hit and bare <> ''").groupBy("file_id", "block").agg(F.min("line").alias("first"))
+        starts = span.join(lines.select("file_id", "line", "block", "hit"), ["file_id", "line"])
+        return starts.join(first, ["file_id", "block"], "left").where("hit or first < line").select("host")
 
     def fragments(self, tips: DataFrame, g: Generated) -> DataFrame:
         """(anchor, id, host, line, text, before, after) of the generated nodes."""
         hosts = tips.select("anchor", F.col("id").alias("host"))
         if g.name == "grep":
-            lines = self.source(tips.select("id").distinct())
+            pattern = matches(F.col("text"), g.grep)
+            framed = g.grep.before or g.grep.after
+            lines = self.source(tips.select("id").distinct(), None if framed else pattern)
             arrays = {"before": g.grep.before, "after": g.grep.after}
             order = Window.partitionBy("host").orderBy("line")
             none = F.expr("cast(array() as array<string>)")
             lines = lines.withColumn("before", F.collect_list("text").over(order.rowsBetween(-arrays["before"], -1)) if g.grep.before else none)
             lines = lines.withColumn("after", F.collect_list("text").over(order.rowsBetween(1, arrays["after"])) if g.grep.after else none)
-            hits = lines.where(matches(F.col("text"), g.grep))
+            hits = lines.where(pattern) if framed else lines
         elif g.name in ("comment", "signature", "body"):
             low, high = {"comment": ("comment_start", "comment_end"), "signature": ("start", "coalesce(body_line, start)"), "body": ("body_line + 1", "end - 1")}[g.name]
             span = self.ws.nodes.join(tips.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("host"), "file_id", F.expr(low).alias("low"), F.expr(high).alias("high")).where("low > 0 and low <= high")
             text = F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x.text))
-            hits = span.join(self.ws.lines, "file_id").where("line between low and high").groupBy("host", F.col("low").alias("line")).agg(text.alias("text"))
+            hits = intervals.within(span, self.ws.lines, "file_id", whole=False).groupBy("host", F.col("low").alias("line")).agg(text.alias("text"))
             hits = hits.withColumns({"before": F.expr("cast(array() as array<string>)"), "after": F.expr("cast(array() as array<string>)")})
         else:
             none = F.expr("cast(array() as array<string>)")
@@ -400,7 +472,7 @@ def query(ws: Workspace, selector: str) -> DataFrame:
     ids = tips.select("id").distinct()
     if kind == "node":
         return named(ws, chains).join(ids, "id", "left_semi").select(F.col("addr").alias("node"), F.col("cls").alias("type"), "path", "start", "end")
-    edges = ws.edges.join(ids.withColumnRenamed("id", "edge_id"), "edge_id", "left_semi")
+    edges = compiler.rows(ids.withColumnRenamed("id", "edge_id"))
     names = ws.nodes.select("id", "addr")
     edges = edges.join(names.toDF("host", "host_addr"), "host").join(names.toDF("far", "far_addr"), "far")
     kind_name = F.concat_ws(".", F.concat(F.lit("::"), F.col("dir")), F.when(F.col("kind") != "", F.col("kind")))

@@ -83,7 +83,7 @@ def parse(text: str) -> list[Chain]:
 
 def query(ws: Workspace, path: str, selector: str, limit: int = 200) -> DataFrame:
     """(node, type, path, start, end) of a file's symbols, the first ``limit`` in document order."""
-    inside = Workspace(ws.nodes.where((F.col("path") == path) & (F.col("cls") != "dir")), ws.lines, ws.edges, ws.languages)
+    inside = Workspace(ws.nodes.where((F.col("path") == path) & (F.col("cls") != "dir")), ws.lines, ws.edges, ws.languages, ws.groups)
     tips, _ = Compiler(inside).alternatives(parse(selector))
     nodes = inside.nodes.where("cls <> 'file'").join(tips.select("id").distinct(), "id", "left_semi")
     return nodes.orderBy("ord", "id").limit(limit).select(F.col("addr").alias("node"), F.col("cls").alias("type"), "path", "start", "end")

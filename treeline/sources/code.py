@@ -11,6 +11,7 @@ import ast
 import keyword
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from treeline.sources import details, languages
 from treeline.sources.tables import split_lines
-from treeline.workspace import Workspace, both_directions, node_id, project, root, written
+from treeline.workspace import LinkedWorkspace, Workspace, both_directions, node_id, project, root, written
 
 # Extensions and languages; folders that hold no source.
 EXTENSIONS = {"go": "go", "ts": "typescript", "tsx": "typescript", "js": "typescript", "jsx": "typescript", "mjs": "typescript", "cjs": "typescript", "py": "python", "pyi": "python", "java": "java", "kt": "kotlin", "kts": "kotlin", "groovy": "groovy", "gradle": "groovy", "gvy": "groovy", "gy": "groovy", "c": "c", "cpp": "cpp", "cc": "cpp", "h": "cpp", "hpp": "cpp", "sql": "sql", "psql": "sql", "xml": "xml", "md": "markdown", "markdown": "markdown"}
@@ -385,7 +386,7 @@ def parsed_rows(rows: DataFrame, what: str, cache: str | None = None) -> DataFra
     return stored.join(keyed.select("digest").distinct(), "digest", "left_semi").drop("digest").distinct()
 
 
-def workspace(files: DataFrame, name: str = "workspace", definitions: DataFrame | None = None, implements: DataFrame | None = None, cache: str | None = None, extensions: dict[str, str] | None = None) -> Workspace:
+def workspace(files: DataFrame, name: str = "workspace", definitions: DataFrame | None = None, implements: DataFrame | None = None, cache: str | None = None, extensions: dict[str, str] | None = None) -> LinkedWorkspace:
     """The tables over files (path, content).
 
     definitions (path, line, col, def_path, def_line), if any, settles ambiguous
@@ -412,43 +413,111 @@ def workspace(files: DataFrame, name: str = "workspace", definitions: DataFrame
     placed = decls.withColumn("up", F.transform("above", symbol)).join(above.select("path", "lang", F.concat("anc", F.array(file)).alias("fanc")), "path")
     own = symbol(F.concat_ws(" ", "cls", "sym"))
     anc = F.concat("fanc", "up", F.array(own))
-    s_rows = placed.select(own.alias("id"), "cls", "leaf", F.col("sym").alias("full"), F.concat("path", F.lit("#"), "sym").alias("addr"), "path", "lang", F.element_at(anc, -2).alias("parent"), anc.alias("anc"), file.alias("file_id"), F.concat_ws("\x01", "path", F.lpad(F.col("at").cast("string"), 8, "0")).alias("ord"), "start", "end", "body_line", "comment_start", "comment_end", "sym", "name_line", "name_col")
+    s_rows = placed.select(own.alias("id"), "cls", "leaf", F.col("sym").alias("full"), F.concat("path", F.lit("#"), "sym").alias("addr"), "path", "lang", F.element_at(anc, -2).alias("parent"), anc.alias("anc"), file.alias("file_id"), F.concat_ws("\x01", "path", F.lpad(F.col("at").cast("string"), 8, "0")).alias("ord"), "start", "end", "body_line", "comment_start", "comment_end", "sym", "name_line", "name_col", F.col("above"))
     top = project(spark, name)
     top = top.select(*top.columns, *[none.cast("int").alias(c) for c in ("body_line", "comment_start", "comment_end")], none.cast("string").alias("sym"))
     nodes = top.select(pick).unionByName(d_rows.select(pick)).unionByName(f_rows.select(pick)).unionByName(s_rows.select(pick))
-    edges = _edges(parsed_rows(rows, "sites", cache), s_rows, definitions)
-    if implements is not None:
-        types = s_rows.where("cls not in ('argument', 'return', 'annotation', 'import')").select("id", "path", "sym")
-        pairs = implements.join(types.toDF("src", "path", "sym"), ["path", "sym"]).join(types.toDF("dst", "of_path", "of_sym"), ["of_path", "of_sym"])
-        pairs = pairs.select("src", "dst", F.lit("implements").alias("kind"), F.lit("").alias("pos"), F.lit("lsp").alias("conf"), F.lit("implements").alias("site")).distinct()
-        edges = edges.unionByName(both_directions(pairs))
-    return Workspace(nodes, split_lines(files, file, F.col("content")), edges)
 
-
-def _edges(sites: DataFrame, symbols: DataFrame, definitions: DataFrame | None) -> DataFrame:
-    """Sites under their innermost symbol to every declaration of the name in scope.
-
-    Arguments and imports are in scope in their own file only, so these are
-    joined by file and name; only names that any file may use are joined by name.
+    def link() -> tuple[DataFrame, DataFrame, DataFrame | None]:
+        edges, groups, stubs = _edges(parsed_rows(rows, "sites", cache), s_rows, definitions)
+        if implements is not None:
+            types = s_rows.where("cls not in ('argument', 'return', 'annotation', 'import')").select("id", "path", "sym")
+            pairs = implements.join(types.toDF("src", "path", "sym"), ["path", "sym"]).join(types.toDF("dst", "of_path", "of_sym"), ["of_path", "of_sym"])
+            pairs = pairs.select("src", "dst", F.lit("implements").alias("kind"), F.lit("").alias("pos"), F.lit("lsp").alias("conf"), F.lit("implements").alias("site")).distinct()
+            edges = edges.unionByName(both_directions(pairs).withColumn("group", F.lit(None).cast("long")))
+        if stubs is None:
+            return edges, groups, None
+        leaf = F.element_at(F.split("addr", "#"), -1)
+        outer = stubs.select(node_id("external", F.col("addr")).alias("id"), F.lit("external").alias("cls"), leaf.alias("leaf"), leaf.alias("full"), "addr", none.cast("string").alias("path"), none.cast("string").alias("lang"), none.cast("long").alias("parent"), F.array(node_id("external", F.col("addr"))).alias("anc"), none.cast("long").alias("file_id"), F.concat(F.lit("\uffff"), "addr").alias("ord"), *[none.cast("int").alias(c) for c in ("start", "end", "body_line", "comment_start", "comment_end")], none.cast("string").alias("sym"))
+        return edges, groups, outer
+
+    return LinkedWorkspace(nodes, split_lines(files, file, F.col("content")), link, definitions is not None)
+
+
+#: Symbols whose own declarations are seen in their bodies only.
+BODIES = ("func", "method", "ctor")
+
+
+def _edges(sites: DataFrame, symbols: DataFrame, definitions: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(edges, groups, stubs) between the sites' innermost symbols and the declarations of their names.
+
+    A declaration that any file may use is the far end of every site of its name.
+    Neither side is multiplied out: a site has its name's declarations as a
+    group, and a declaration its name's sites, by kind and position. Imports are
+    seen in their own file, and what is declared in a body (arguments, inner
+    functions) in that body and what it encloses; these are joined on file, name
+    and owner, a site being dealt to each owner around it.
+
+    Out edges name each candidate in scope, and are sure (lexical) if that is one.
+    In edges test the declaration's own rule alone, and are sure if nothing else in
+    the workspace has the name. A definition, if known, settles both: out edges
+    keep the innermost candidate around it, in edges the declarations around it. If
+    it lies outside the workspace, the out edge is ``external`` and ends at a stub.
     """
     src = F.when(F.col("host").isNotNull(), F.xxhash64(F.lit("symbol"), F.col("path"), F.col("host"))).otherwise(F.xxhash64(F.lit("file"), "path"))
-    near = sites.select("path", "name", "line", "col", "kind", "pos", src.alias("src"), "encl")
-    targets = symbols.where("cls not in ('module', 'return', 'annotation')").select(F.col("leaf").alias("name"), F.col("id").alias("dst"), "cls", F.col("path").alias("t_path"), F.regexp_replace("sym", r"\.[^.]*$", "").alias("owner"), F.col("start").alias("t_start"), F.col("end").alias("t_end"))
-    local = targets.where("cls in ('argument', 'import')").withColumnRenamed("t_path", "path")
-    inside = (F.col("encl") == F.col("owner")) | F.col("encl").startswith(F.concat("owner", F.lit(".")))
-    here = near.join(local, ["path", "name"]).where(F.when(F.col("cls") == "import", F.col("kind") == "import").otherwise(inside)).withColumn("t_path", F.col("path"))
-    there = near.join(targets.where("cls not in ('argument', 'import')"), "name")
-    hits = here.unionByName(there)
-    many = F.count(F.lit(1)).over(Window.partitionBy("path", "line", "col", "name"))
-    hits = hits.withColumn("n", many)
-    if definitions is not None:
-        defs = definitions.select("path", "line", "col", F.col("def_path").alias("d_path"), F.col("def_line").alias("d_line"))
-        hits = hits.join(defs, ["path", "line", "col"], "left").where("n < 2 or d_path is null or (t_path = d_path and d_line between t_start and t_end)")
-        conf = F.when((F.col("n") < 2) & F.col("d_path").isNull(), "lexical").when(F.col("d_path").isNotNull(), "lsp").otherwise("unsettled")
-    else:
-        conf = F.when(F.col("n") < 2, "lexical").otherwise("unsettled")
+    around = F.split("encl", r"\.")
+    scopes = F.when(F.col("encl") == "", F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(around)), lambda n: F.array_join(F.slice(around, 1, n), "."))))
     site = F.concat_ws(":", "path", F.col("line").cast("string"), F.col("col").cast("string"), "name")
-    return both_directions(hits.select("src", "dst", "kind", "pos", conf.alias("conf"), site.alias("site")))
+    near = sites.select("path", "name", "line", "col", "kind", "pos", src.alias("src"), site.alias("site"), scopes.alias("scopes"))
+    body = F.try_element_at(F.filter("above", lambda x: F.substring_index(x, " ", 1).isin(*BODIES)), F.lit(-1))
+    owner = F.when(body.isNotNull(), F.element_at(F.split(body, " ", 2), 2)).when(F.col("cls") == "import", F.lit(""))
+    targets = symbols.where("cls not in ('module', 'return', 'annotation')")
+    targets = targets.select(F.col("leaf").alias("name"), F.col("id").alias("dst"), F.col("path").alias("t_path"), owner.alias("scope"), F.col("start").alias("t_start"), F.col("end").alias("t_end"))
+    targets = written(targets)  # this and ``near`` are read by each kind of edge below, and parsed once
+    local, everywhere = targets.where("scope is not null"), targets.where("scope is null")
+    counted = targets.groupBy("name").agg(F.count(F.when(F.col("scope").isNull(), 1)).alias("n_any"), F.count(F.lit(1)).alias("n_all"))
+    near = written(near).join(counted, "name")  # sites of names that nothing declares go
+    if definitions is None:
+        near = near.withColumns({"d_path": F.lit(None).cast("string"), "d_line": F.lit(None).cast("int")})
+    else:
+        defs = definitions.select("path", "line", "col", F.col("def_path").alias("d_path"), F.col("def_line").cast("int").alias("d_line")).dropDuplicates(["path", "line", "col"])
+        near = near.join(defs, ["path", "line", "col"], "left")
+    here = near.withColumn("scope", F.explode("scopes")).join(local.withColumnRenamed("t_path", "path"), ["path", "name", "scope"])
+    here = written(here.select("src", "site", "name", "kind", "pos", "dst", "d_path", "n_all"))
+    in_scope = here.groupBy("src", "site").agg(F.count(F.lit(1)).alias("n_here"))
+    near = near.join(in_scope, ["src", "site"], "left").withColumn("n", F.col("n_any") + F.coalesce("n_here", F.lit(0)))
+    near = written(near)  # with its counts
+    # Each direction asks for a definition only where it has something to settle.
+    for_out, for_in = (F.col("d_path").isNotNull() & (F.col(n) > 1) for n in ("n", "n_all"))
+    here = here.join(near.select("src", "site", "n"), ["src", "site"])
+    none, text = F.lit(None).cast("long"), F.col
+    conf = lambda n: F.when(text(n) > 1, "unsettled").otherwise("lexical")
+    own = ["kind", "pos"]
+    out_id, in_id = node_id("out", F.col("src"), F.col("site")), node_id("in", F.col("dst"), F.col("src"), F.col("site"))
+
+    def row(df: DataFrame, edge_id, direction: str, host: str, conf, far, group=none) -> DataFrame:
+        return df.select(edge_id.alias("edge_id"), F.lit(direction).alias("dir"), F.col(host).alias("host"), *own, conf.alias("conf"), far.alias("far"), group.alias("group"))
+
+    by_name, by_use = node_id("name", F.col("name")), node_id("use", F.col("name"), F.col("kind"), F.col("pos"))
+    folded, uses = near.where(~for_out), near.where(~for_in)
+    edges = [
+        row(folded.where("n_any > 0"), out_id, "out", "src", conf("n"), none, by_name),
+        row(here.where(~for_out), out_id, "out", "src", conf("n"), F.col("dst")),
+        row(uses.select("name", "n_all", *own).distinct().join(everywhere, "name"), node_id("in", F.col("dst"), F.col("kind"), F.col("pos")), "in", "dst", conf("n_all"), none, by_use),
+        row(here.where(~for_in), in_id, "in", "dst", conf("n_all"), F.col("src")),
+    ]
+    groups = everywhere.select(by_name.alias("group"), F.col("dst").alias("far"), F.lit("").alias("site")).union(uses.where("n_any > 0").select(by_use.alias("group"), "src", "site"))
+    stubs = None
+    if definitions is not None:
+        known = near.where("d_path is not null")
+        # A stub for what lies outside, by its package and name.
+        stub = F.concat_ws("#", F.coalesce(external(F.col("d_path")), F.col("d_path")), "name")
+        beyond = F.col("d_path").rlike(r"^(/|\.\.(/|$))")
+        seen = known.join(targets, (known["name"] == targets["name"]) & (F.col("d_path") == F.col("t_path")) & F.col("d_line").between(F.col("t_start"), F.col("t_end"))).drop(targets["name"])
+        seen = seen.where("scope is null or (path = t_path and array_contains(scopes, scope))")
+        order = Window.partitionBy("src", "site").orderBy(F.col("t_end") - F.col("t_start"), F.col("t_start").desc(), "dst")
+        picked = seen.where(for_out).withColumn("at", F.row_number().over(order)).where("at = 1")
+        lost = known.where(for_out).join(picked.select("src", "site"), ["src", "site"], "left_anti")
+        outside, unknown = lost.where(beyond), lost.where(~beyond)
+        edges += [
+            row(picked, out_id, "out", "src", F.lit("lsp"), F.col("dst")),
+            row(seen.where(for_in), in_id, "in", "dst", F.lit("lsp"), F.col("src")),
+            row(outside, out_id, "out", "src", F.lit("external"), node_id("external", stub)),
+            row(unknown.where("n_any > 0"), out_id, "out", "src", F.lit("unsettled"), none, by_name),
+            row(here.join(unknown.select("src", "site"), ["src", "site"], "left_semi"), out_id, "out", "src", F.lit("unsettled"), F.col("dst")),
+        ]
+        stubs = outside.select(stub.alias("addr")).distinct()
+    return reduce(lambda a, b: a.unionByName(b), edges), groups, stubs
 
 
 def external(path):

@@ -4,7 +4,12 @@ nodes (id, cls, leaf, full, addr, path, lang, parent, anc, file_id, ord, start,
     anc: ids from the root down to the node itself; ord: document order.
     Optional: comment_start, comment_end, body_line.
 lines (file_id, line, text)
-edges (edge_id, dir, host, kind, pos, conf, far), a row for each far end.
+edges (edge_id, dir, host, kind, pos, conf, far[, group]), a row for each far end,
+    or one row whose far ends are all members of a group; far is null then.
+groups (group, far, site): the members. A name's sites and its declarations are
+    kept once, as members, so edges grow with the sites and the declarations and
+    not with their product. A row of direction in that has a group stands for an
+    edge to each member, which ``unfolded`` makes.
 """
 
 from __future__ import annotations
@@ -68,6 +73,41 @@ class Workspace:
     lines: DataFrame
     edges: DataFrame
     languages: dict[str, str] = field(default_factory=lambda: dict(LANGUAGES))
+    groups: DataFrame | None = None
+
+
+class LinkedWorkspace:
+    """A workspace whose edges are only looked for when asked for: ``link`` gives (edges, groups, further nodes or null)."""
+
+    def __init__(self, nodes: DataFrame, lines: DataFrame, link: Callable[[], tuple[DataFrame, DataFrame, DataFrame | None]], linked_nodes: bool):
+        self._nodes, self.lines, self._link, self._linked_nodes = nodes, lines, link, linked_nodes
+        self.languages = dict(LANGUAGES)
+
+    @cached_property
+    def _linked(self) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+        return self._link()
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return self._nodes.unionByName(self._linked[2]) if self._linked_nodes else self._nodes
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return self._linked[0]
+
+    @cached_property
+    def groups(self) -> DataFrame | None:
+        return self._linked[1]
+
+
+def unfolded(edges: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """(edge_id, dir, host, kind, pos, conf, far): edges with their groups' members in their rows' place; cut edges down first."""
+    columns = ["edge_id", "dir", "host", "kind", "pos", "conf", "far"]
+    if groups is None or "group" not in edges.columns:
+        return edges.select(columns)
+    many = edges.where(F.col("group").isNotNull()).drop("far").join(groups, "group")
+    own = F.when(F.col("dir") == "in", node_id("in", F.col("host"), F.col("far"), F.col("site"))).otherwise(F.col("edge_id"))
+    return edges.where(F.col("group").isNull()).select(columns).unionByName(many.withColumn("edge_id", own).select(columns))
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -109,6 +149,10 @@ class StoredWorkspace:
     def edges(self) -> DataFrame:
         return written(self._plain.edges, "dir")
 
+    @cached_property
+    def groups(self) -> DataFrame | None:
+        return None if self._plain.groups is None else written(self._plain.groups)
+
     @property
     def lines(self) -> DataFrame:
         return self._plain.lines
