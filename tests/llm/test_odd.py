@@ -6,7 +6,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from treeline.llm import decontaminate, htmltext, minhash, urlfilter, vptree
+from treeline.llm import decontaminate, htmltext, minhash, quality, urlfilter, vptree
 
 SF = "/root/testdata/sf0.001"
 
@@ -74,3 +74,45 @@ def test_stages(spark, stage):
     else:
         assert out.columns == docs.columns and out.count() <= docs.count()
     assert run(spark, docs.limit(0), SF).count() == 0
+
+
+def test_hosts_of_many_labels(spark):
+    index = urlfilter.publish(spark, [("b.c/x/", "block"), ("c/", "allow")])
+    df = spark.createDataFrame([(1, "http://" + "a." * 200_000 + "b.c/x/y"), (2, "http://" + "." * 100_000 + "c/x/")], "page_id long, url string")
+    assert {r["page_id"]: r["rule"] for r in urlfilter.filter_urls(df, index).collect()} == {1: "b.c/x/", 2: "c/"}
+
+
+def test_stages_with_names_of_any_case_and_form(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    for name in ("Score", "N_Lines", "IDS", "a`b", "a.b", "Round_Trip"):
+        docs = docs.withColumn(name, F.lit(name))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        assert all(r["Score"] == "Score" and r["N_Lines"] == "N_Lines" and r["a`b"] == "a`b" and r["a.b"] == "a.b" for r in out.collect())
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert {"a`b", "a.b", "Score", "ids", "round_trip"} <= set(out.columns) and out.count() == 40
+
+
+def test_near_dedup_keeps_texts_of_repeated_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, d), (None, d + " more"), (None, a), (4, ""), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("Doc", F.lit(1))
+    out = corpus_pipeline.minhash_near_dedup(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert sorted(got, key=str)[:6] == sorted([(1, a), (2, b), (3, c), (4, ""), (5, None)] + [g for g in got if g[0] is None], key=str)
+    assert len(got) == 6 and {t for i, t in got if i is None} <= {d, d + " more"}
+
+
+def test_rows_to_learn_from_are_bounded(spark):
+    docs = spark.createDataFrame([(i % 4, f"text {i} of words") for i in range(2000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, quality int")
+    seen = []
+    fit = quality.BoostedTrees.fit
+    try:
+        quality.BoostedTrees.fit = classmethod(lambda cls, x, y, **k: seen.append(len(x)) or fit(x, y, **k))
+        quality.train(docs, labels, "quality", max_rows=10)
+    finally:
+        quality.BoostedTrees.fit = fit
+    assert seen == [10]

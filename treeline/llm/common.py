@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -24,6 +25,34 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, whatever it holds (dots, backticks)."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def unlike(names: list[str], results: tuple[str, ...] | list[str]) -> list[str]:
+    """The names that aren't a result's, by Spark's rule that case doesn't count."""
+    lowered = {r.lower() for r in results}
+    return [n for n in names if n.lower() not in lowered]
+
+
+def with_results(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[list[pa.Array]]], results: str) -> DataFrame:
+    """docs and the columns ``results`` (name type, ...), which replace those of the same names; run yields all columns' arrays, docs' own first.
+
+    Within, columns go by their place, as mapInArrow can't take every name.
+    """
+    new = StructType.fromDDL(results) if results else StructType()
+    names = unlike(docs.columns, new.names)
+    kept = docs.select(*map(named, names))
+    schema = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate([*kept.schema, *new])])
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for arrays in run(it):
+            yield pa.RecordBatch.from_arrays(arrays, schema.names)
+
+    return kept.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(batches, schema).toDF(*names, *new.names)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: lineage is cut and survives lost executors."""
     spark = df.sparkSession

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeline.llm.common import with_results
+
 _WORD = re.compile(r"\w+")
 
 
@@ -174,22 +176,21 @@ def _finder(shared, rate: float):
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, block_chars: int = 4_000_000) -> DataFrame:
     """The rows of docs in whose texts no item is found, with all their columns."""
-    names = docs.columns
-    spot = names.index("text")
+    spot = docs.columns.index("text")
 
     def keeper(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
             matcher = built(shared.value, rate)
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
                     fine = [not matcher.find(t) for t in part.column(spot).to_pylist()]
-                    yield part.filter(pa.array(fine, pa.bool_()))
+                    yield part.filter(pa.array(fine, pa.bool_())).columns
 
         return run
 
     for items in _blocks(benchmark, block_chars):
-        docs = docs.mapInArrow(keeper(docs.sparkSession.sparkContext.broadcast(items)), docs.schema)
+        docs = with_results(docs, keeper(docs.sparkSession.sparkContext.broadcast(items)), "")
     return docs
 
 

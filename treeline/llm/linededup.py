@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from treeline.llm.common import scratch_root, stored
+from treeline.llm.common import named, scratch_root, stored, unlike
 
 _BLANK = " \t\n\x0b\f\r"
 
@@ -82,9 +82,9 @@ HOT_SHARE = 8192
 
 def _rows(docs: DataFrame) -> DataFrame:
     """docs as a struct beside doc_id, text and a name made of both: rows that share it get the same result."""
-    kept = [c for c in docs.columns if c not in RESULTS]
+    kept = unlike(docs.columns, RESULTS)
     name = F.concat_ws(":", F.coalesce(F.lpad(F.col("doc_id").cast("string"), 20, "0"), F.lit("null")), F.hex(F.xxhash64("text")), F.hex(F.xxhash64(F.lit(17), "text")))
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), name.alias("row"))
+    return docs.select(F.struct(*map(named, kept)).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), name.alias("row"))
 
 
 def _spots(rows: DataFrame, min_chars: int) -> DataFrame:

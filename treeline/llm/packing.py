@@ -36,8 +36,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from treeline.llm.common import stored
+from treeline.llm.common import named, stored, unlike
 
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 # The pre-tokenisation pattern of the 50k byte-level vocabulary, and the id that ends a document.
@@ -210,8 +211,8 @@ def packed(rows: DataFrame, size: int = SIZE) -> DataFrame:
         counts[length] = n
     table = np.array(plan(counts, size) or [(0, 0, 0, 1, 0)], np.int64)
     shared = spark.sparkContext.broadcast((table[:, 0] << 48 | table[:, 1], table))
-    keep = [c for c in rows.columns if c not in ("part", "nth")]
-    schema = ", ".join(f"`{c.replace('`', '``')}` {rows.schema[c].dataType.simpleString()}" for c in keep) + ", sequence_id long, offset long"
+    keep = unlike(rows.columns, ("part", "nth", "sequence_id", "offset"))
+    schema = StructType([*(rows.schema[c] for c in keep), StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, slots = shared.value
@@ -223,7 +224,7 @@ def packed(rows: DataFrame, size: int = SIZE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*own, pa.array(slot[:, 2] + nth // slot[:, 3]), pa.array(slot[:, 4] + nth % slot[:, 3] * length)], [*keep, "sequence_id", "offset"])
 
     ranked = rows.join(before.select("part", "length", "before"), ["part", "length"])
-    ranked = ranked.select(*[F.col(f"`{c.replace('`', '``')}`") for c in keep], F.col("length").alias("rank length"), (F.col("before") + F.col("nth")).alias("rank"))
+    ranked = ranked.select(*map(named, keep), F.col("length").alias("rank length"), (F.col("before") + F.col("nth")).alias("rank"))
     return ranked.mapInArrow(run, schema)
 
 

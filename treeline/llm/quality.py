@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from treeline.llm.common import unlike, with_results
 from treeline.llm.shingles import blocks, mix, word_hashes
 from treeline.llm.toxicity import fold, labelled
 
@@ -176,7 +177,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", may: Column | None = None, max_rows: int = 8000, **fit) -> BoostedTrees:
     """Trees from at most max_rows labelled documents; ``may`` says which doc_ids may be learned from."""
     rows = labelled(docs, labels, label, F.lit(True) if may is None else may, max_rows)
-    got = rows.mapInArrow(_features, "doc_id long, x array<double>, label int").toArrow().sort_by("doc_id")
+    made = rows.mapInArrow(_features, "doc_id long, x array<double>, label int")
+    # Repeated doc_ids can be more rows than labels: bounded again, before anything goes to the driver.
+    got = made.orderBy(F.xxhash64("doc_id"), "doc_id", "label", F.xxhash64("x")).limit(max_rows).toArrow().sort_by("doc_id")
     x = np.array(got.column("x").to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))
     return BoostedTrees.fit(x, got.column("label").to_numpy(), **fit)
 
@@ -184,19 +187,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", may: Colum
 def score(docs: DataFrame, model: BoostedTrees, threshold: float = 0.7) -> DataFrame:
     """All columns of docs with score and predicted, which replace columns of these names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the number of trees
-    docs = docs.drop("score", "predicted")
-    names = docs.columns
-    spot = names.index("text")
+    spot = unlike(docs.columns, ("score", "predicted")).index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 scores = shared.value.score(features(part.column(spot).to_pylist()))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], [*names, "score", "predicted"])
+                yield [*part.columns, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))]
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, score double, predicted int")
+    return with_results(docs, run, "score double, predicted int")
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

@@ -35,8 +35,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from tokenizers import Regex, Tokenizer, models, normalizers
 
+from treeline.llm.common import unlike, with_results
+
 MODEL_LIMIT = 64 << 20
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -355,9 +358,9 @@ def verify(raw: bytes, texts: list[str]) -> list[int]:
     return [i for i, t in enumerate(texts) if theirs.encode(t) != ids[i].tolist() or theirs.decode(ids[i].tolist()) != mine[i]]
 
 
-def _slices(batch: pa.RecordBatch, column: str, rows: int = 512, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, spot: int, rows: int = 512, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of so many rows and about so many bytes of a column at most; a row alone may have more."""
-    values = batch.column(batch.schema.get_field_index(column))
+    values = batch.column(spot)
     sizes = pc.fill_null(pc.binary_length(values) if pa.types.is_string(values.type) or pa.types.is_large_string(values.type) else pc.list_value_length(values), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes)
     at = 0
@@ -369,27 +372,23 @@ def _slices(batch: pa.RecordBatch, column: str, rows: int = 512, size: int = 1 <
 
 
 def _with(docs: DataFrame, results: str, make, source: str) -> DataFrame:
-    """docs without columns named like a result, and make(part) -> arrays as the results; parts are cut by the size of source."""
-    new = [r.split()[0] for r in results.split(", ")]
-    kept = [f for f in docs.schema if f.name not in new]
-    names = [f.name for f in kept]
+    """docs without columns named like a result, and make(the source column of a part) as the results; parts are cut by its size."""
+    spot = unlike(docs.columns, StructType.fromDDL(results).names).index(source)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         for batch in batches:
-            for part in _slices(batch, source):
-                cols = [part.column(part.schema.get_field_index(n)) for n in names]
-                yield pa.RecordBatch.from_arrays([*cols, *make(part)], [*names, *new])
+            for part in _slices(batch, spot):
+                yield [*part.columns, *make(part.column(spot))]
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return docs.mapInArrow(run, f"{schema}, {results}")
+    return with_results(docs, run, results)
 
 
 def encode(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
     """docs with ids (array of int) and n_tokens."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def make(part: pa.RecordBatch) -> list[pa.Array]:
-        ids = built(shared.value).encode(part.column(part.schema.get_field_index(text)).to_pylist())
+    def make(column: pa.Array) -> list[pa.Array]:
+        ids = built(shared.value).encode(column.to_pylist())
         return _ids_arrays(ids)
 
     return _with(docs, "ids array<int>, n_tokens bigint", make, text)
@@ -399,8 +398,7 @@ def decode(docs: DataFrame, model: bytes, ids: str = "ids") -> DataFrame:
     """docs with decoded, the text of the ids."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def make(part: pa.RecordBatch) -> list[pa.Array]:
-        lists = part.column(part.schema.get_field_index(ids))
+    def make(lists: pa.Array) -> list[pa.Array]:
         values, starts = lists.values.to_numpy(), lists.offsets.to_numpy()
         rows = [values[a:b] if ok else None for a, b, ok in zip(starts[:-1], starts[1:], lists.is_valid().to_pylist(), strict=True)]
         return [pa.array(built(shared.value).decode(rows), pa.string())]
@@ -419,9 +417,9 @@ def encode_checked(docs: DataFrame, model: bytes, text: str = "text") -> DataFra
     """docs with ids, n_tokens, and round_trip: whether the ids decode to the text. One pass, one model a worker."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def make(part: pa.RecordBatch) -> list[pa.Array]:
+    def make(column: pa.Array) -> list[pa.Array]:
         codec = built(shared.value)
-        texts = part.column(part.schema.get_field_index(text)).to_pylist()
+        texts = column.to_pylist()
         ids = codec.encode(texts)
         same = [a == b for a, b in zip(codec.decode(ids), texts, strict=True)]
         return [*_ids_arrays(ids), pa.array(same, pa.bool_())]
