@@ -328,12 +328,12 @@ def test_encoding_odd_tables(spark):
 
 def plain_scores(page):
     """The fused tag-path ratios by their definition, leaf by leaf, without sharing work."""
-    nodes = htmltext.leaves(page)
-    here = [n for n in nodes if not n[2].isspace()]
+    nodes, _ = htmltext.leaves(page)
+    here = [n for n in nodes if not n.text.isspace()]
 
     def ratio(count):
-        of = lambda path: [count(n[2]) for n in here if n[1] == path]
-        raw = [sum(of(n[1])) / len(of(n[1])) if of(n[1]) else 0.0 for n in nodes]
+        of = lambda path: [count(n.text) for n in here if n.path == path]
+        raw = [sum(of(n.path)) / len(of(n.path)) if of(n.path) else 0.0 for n in nodes]
         weights = lambda i: [(np.exp(-((i - j) ** 2) / 2) if abs(i - j) <= 2 else 0.0) for j in range(len(raw))]
         return np.array([np.average(raw, weights=weights(i)) for i in range(len(raw))])
 
@@ -344,7 +344,7 @@ def plain_scores(page):
 def test_path_scores_equal_their_definition(spark):
     pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(25).collect()] + [PAGE]
     for page in pages:
-        assert np.allclose(htmltext.fused_ratios(htmltext.leaves(page)), plain_scores(page))
+        assert np.allclose(htmltext.fused_ratios(htmltext.leaves(page)[0]), plain_scores(page))
 
 
 def test_ratios_decide_where_no_container_does(monkeypatch):
@@ -366,3 +366,83 @@ def test_pages_without_articles_keep_their_blocks(spark):
         found, wanted, right = found + len(got), wanted + len(want), right + len(got & want)
     precision, recall = right / found, right / wanted
     assert 2 * precision * recall / (precision + recall) >= 0.97
+
+
+def article(extra):
+    body = "".join(f"<p>Paragraph {i} has words, more words and an end of it.</p>" for i in range(12))
+    text = htmltext.main_text(f"<html><body><nav><a>n</a></nav><article>{body}{extra}{body}</article></body></html>").split("\n\n")
+    return [t for t in text if not t.startswith("Paragraph")]
+
+
+@pytest.mark.parametrize(
+    ("extra", "want"),
+    [
+        ("<table><tr><td>1</td><td>2</td></tr></table>", ["1", "2"]),
+        ("<div class='article-header'><h1>Title</h1></div>", ["Title"]),
+        ("<div class='share-price'><p>It rose.</p></div>", ["It rose."]),
+        ("<p title='a hidden treasure'>Gold.</p>", ["Gold."]),
+        ("<p>This is <span class='ad'>the</span> word.</p>", ["This is the word."]),
+        ("<ul><li>One</li><li>Two</li></ul>", ["One", "Two"]),
+        ("<div><a href=x>One</a> <a href=y>Two</a></div>", []),
+        ("<div class='comments'><p>I like this a lot, really, I do.</p></div>", []),
+        ("<div class='ad-box'>Buy now</div><span class='ad'>Buy now</span>", []),
+        ("<p hidden>no</p><p style='color:red;display: none'>no</p><p aria-hidden=true>no</p>", []),
+        ("<p>word and word and no mark at all</p>", ["word and word and no mark at all"]),
+    ],
+)
+def test_what_stays_of_an_article(extra, want):
+    assert article(extra) == want
+
+
+def test_ratios_decide_outside_articles(monkeypatch):
+    body = "".join(f"<p>Paragraph {i} has words, more words and an end of it.</p>" for i in range(12))
+    page = f"<body><div>Buy this thing.</div><article>{body}</article></body>"
+    assert "Buy" not in htmltext.main_text(page)
+    monkeypatch.setattr(htmltext, "fused_ratios", lambda nodes: [1.0] * len(nodes))
+    assert "Buy" in htmltext.main_text(page)
+
+
+def test_many_open_elements_take_time_and_memory_in_proportion():
+    import tracemalloc
+
+    peaks = []
+    for n in (8_000, 32_000):
+        tracemalloc.start()
+        assert len(htmltext.main_text("<b>x" * n)) == n
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 5 * peaks[0]
+
+
+def plain_main_text(page):
+    """What the module says, leaf by leaf, for pages whose names say nothing against them."""
+    nodes, around = htmltext.leaves(page)
+    score = plain_scores(page)
+    seen = [i for i, n in enumerate(nodes) if not n.veto and n.text.strip()]
+    weight = {i: score[i] * len(nodes[i].text.strip()) for i in seen}
+    h = sum(w for i, w in weight.items() if nodes[i].home) / (sum(weight.values()) or 1)
+    factor = lambda n: 1 + h * (not n.link) if n.home else 1 - h / 2
+    mean = lambda path: np.mean([score[i] * factor(nodes[i]) for i in seen if nodes[i].path == path])
+    content = {i for i, n in enumerate(nodes) if not n.veto and any(nodes[j].path == n.path for j in seen) and mean(n.path) >= 0.5}
+    inside = lambda r, s: r == s or (r and inside(around[r], s))
+    of = lambda r: [n for n in nodes if not n.veto and inside(n.region, r)]
+    links = lambda r: sum(len(n.text.strip()) for n in of(r) if n.link) / (sum(len(n.text.strip()) for n in of(r)) or 1)
+    kept = {nodes[i].region for i in content}
+    for r in range(1, len(around)):
+        if any(n.home and n.region == r for n in nodes) and around[r] in kept and links(r) < 0.5:
+            kept.add(r)
+    blocks = {nodes[i].block for i in content}
+    parts = {}
+    for i, n in enumerate(nodes):
+        if not n.veto and (i in content or n.block in blocks or n.region in kept):
+            parts.setdefault(n.block, []).append(n.text)
+    import html
+
+    return "\n\n".join(t for t in (" ".join(html.unescape("".join(p)).split()) for p in parts.values()) if t)
+
+
+def test_main_text_equals_a_plain_version(spark):
+    pages = [r["html"].replace('class="ad"', "") for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(20).collect() if r["html"]]
+    menu = "<section><div><a href=x>Menu one</a><a href=y>two</a></div><div><h2>Sub</h2></div></section>"
+    pages += [p.replace("</h1>", f"</h1>{menu}") for p in pages[:5]]
+    assert [htmltext.main_text(p) for p in pages] == [plain_main_text(p) for p in pages]
