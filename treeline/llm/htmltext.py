@@ -32,7 +32,7 @@ are trimmed and joined by two line feeds. ``p`` closes an open ``p``, and end
 tags that nothing opened are ignored, so unclosed tags do no harm.
 
 Defined cases: null or empty html gives an empty text and n_chars 0; so do
-pages without content. Text outside any tag counts as body text. Repeated rows
+pages without content, and those without a letter or digit. Text outside any tag counts as body text. Repeated rows
 are extracted each. Nothing is capped: a page is worked on whole, in time linear
 in its length. Paths of equal scores are content together or not at all. An empty
 table gives no rows. Other columns are not read, whatever their names.
@@ -274,7 +274,8 @@ def main_text(page: str | None, threshold: float = 0.5) -> str:
         if c or (not n.veto and k <= base and (n.block in blocks or n.region in kept)):
             parts.setdefault(n.block, []).append(n.text)
     texts = (" ".join(html.unescape("".join(p)).split()) for p in parts.values())
-    return "\n\n".join(t for t in texts if t)
+    text = "\n\n".join(t for t in texts if t)
+    return text if any(map(str.isalnum, text)) else ""
 
 
 def _extract(threshold: float):
