@@ -64,6 +64,7 @@ CLOSES = {"p": frozenset("address article aside blockquote div dl fieldset figur
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 _ATTRIBUTES = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NO_DISPLAY = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+_BRACKET = re.compile("[<>]")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¡¿]")
 
 
@@ -124,6 +125,9 @@ def leaves(page: str) -> tuple[list[Leaf], list[int]]:
             break
         at = m.end()
         tag = m[2]
+        if tag and page[at : at + 1] in ("'", '"'):  # a quote that nothing closes: the tag ends at the next bracket
+            cut = _BRACKET.search(page, at)
+            at = len(page) if not cut else cut.end() if cut[0] == ">" else cut.start()
         if not tag:
             if m[0].startswith("<![CDATA["):
                 add(html.escape(m[0][9:].removesuffix("]]>"), False))
