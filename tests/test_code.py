@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from treeline.operators import intervals, results, walks
+from treeline.plans import closure
 from treeline.plans.compiler import query
 from treeline.sources import code, details
+from treeline.workspace import Workspace, both_directions
 
 # Calls: open -> load, check; load -> parse; check -> parse (a diamond); ping <-> pong (a cycle);
 # walk -> walk (a loop of one); nobody calls open, walk apart from itself, or orphan.
@@ -301,3 +303,52 @@ def test_points_in_spans_against_all_pairs(spark):
     for r in best.collect():
         around = [(b - a, -a, str(s)) for q, a, b, s in spans if q == r["path"] and a and b and a <= r["line"] <= b]
         assert r["span"] == (min(around)[2] if around else None)
+
+
+def linked(spark, pairs, groups=None):
+    """A workspace of functions named by number, in files of ten, with calls."""
+    ids = sorted({x for p in pairs for x in p})
+    rows = [(0, "project", "w", None, [0], None)] + [(1000 + f, "file", f"f{f}", 0, [0, 1000 + f], None) for f in {i // 10 for i in ids}]
+    rows += [(2000 + i, "func", f"n{i}", 1000 + i // 10, [0, 1000 + i // 10, 2000 + i], None) for i in ids]
+    nodes = spark.createDataFrame([(i, c, n, n, n, n, None, p, a, None, f"{i:05d}", 1, 1) for i, c, n, p, a, _ in rows], "id long, cls string, leaf string, full string, addr string, path string, lang string, parent long, anc array<long>, file_id long, ord string, start int, end int")
+    calls = spark.createDataFrame([(2000 + a, 2000 + b, "call", "", "lexical", f"{a}>{b}") for a, b in pairs], "src long, dst long, kind string, pos string, conf string, site string")
+    return Workspace(nodes.cache(), spark.createDataFrame([], "file_id long, line int, text string"), both_directions(calls).cache())
+
+
+def test_long_chains_take_a_logarithm_of_rounds(spark, monkeypatch):
+    w = linked(spark, [(i, i + 1) for i in range(400)] + [(400, 390), (7, 500), (500, 501)])
+    made, write = [], closure.written
+    monkeypatch.setattr(closure, "written", lambda df, *p: made.append(1) or write(df, *p))
+    got = nodes(w, "func#n5::out.call{1,} > *")
+    assert got == {f"n{i}" for i in [*range(6, 401), 500, 501]} and len(made) < 60
+    assert nodes(w, "func#n501:parents(func)") == {f"n{i}" for i in [*range(8), 500]}
+    assert nodes(w, "func#n501:parents(file)") == {"f50", "f0"}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_closures_against_walking(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    pairs = list({(rng.randrange(60), rng.randrange(60)) for _ in range(55)} | {(5, 5)})
+    w = linked(spark, pairs)
+    callers = lambda x: {a for a, b in pairs if b == x}
+    every = {x for p in pairs for x in p}
+
+    def upstream(tips):
+        out, todo = set(), list(tips)
+        while todo:
+            x = todo.pop()
+            near = {f"f{int(x[1:]) // 10}"} | {f"n{a}" for a in callers(int(x[1:]))} if x[0] == "n" else {"w"} if x[0] == "f" else set()
+            todo += near - out
+            out |= near
+        return out
+
+    some = [f"n{i}" for i in sorted(every)[:4]]
+    up = upstream(some)
+    ids = ", ".join(f"func#{s}" for s in some)
+    assert nodes(w, f"*:is({ids}):parents") == up
+    assert nodes(w, f"*:is({ids}):parents(func)") == {x for x in up if x[0] == "n"}
+    # For each tip by itself, where a claim asks.
+    assert nodes(w, "func:where(::in.call:empty)") == {f"n{x}" for x in every if not callers(x)}
+    assert nodes(w, "func:parents(func):empty") == {f"n{x}" for x in every if not {y for y in upstream([f"n{x}"]) if y[0] == "n"}}

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from treeline.functions.patterns import attribute, matches
 from treeline.operators import conflicts, intervals
+from treeline.plans.closure import closure, ends
 from treeline.plans.selector import Bool, Chain, Compound, Edge, Element, Generated, Pseudo, SelectorError, parse
 from treeline.workspace import Workspace, node_id, unfolded as unfolded_edges, written
 
@@ -75,24 +76,25 @@ class Compiler:
         return reduce(lambda a, b: a.union(b), [p.select("anchor", "id") for p, _ in parts]).distinct(), kinds.pop()
 
     def chain(self, steps: Chain, start: DataFrame | None = None, relaxed: bool = False) -> tuple[DataFrame, str]:
-        tips, kind, steps = start, "node", unfolded(steps)
+        # Without a start all tips share one anchor, so they may be taken as a set.
+        tips, kind, steps, free = start, "node", unfolded(steps), start is None
         for n, (comb, e) in enumerate(steps):
             if relaxed and n == len(steps) - 1:
                 e = relax(e)
             if tips is None and isinstance(e.body, Compound) and (e.low, e.high) == (1, 1):
-                tips = self.pseudos(self.candidates(e.body).select(F.lit(0).cast("long").alias("anchor"), F.lit(0).cast("long").alias("src"), F.col("id")), e.body.pseudos)
+                tips = self.pseudos(self.candidates(e.body).select(F.lit(0).cast("long").alias("anchor"), F.lit(0).cast("long").alias("src"), F.col("id")), e.body.pseudos, free=True)
                 continue
             if tips is None:
                 tips = self.ws.nodes.where("cls = 'project'").select(F.lit(0).cast("long").alias("anchor"), "id")
-            tips, kind = self.element(tips, kind, comb, e)
+            tips, kind = self.element(tips, kind, comb, e, free)
         return tips.select("anchor", "id"), kind
 
-    def element(self, tips: DataFrame, kind: str, comb: str, e: Element) -> tuple[DataFrame, str]:
+    def element(self, tips: DataFrame, kind: str, comb: str, e: Element, free: bool = False) -> tuple[DataFrame, str]:
         body = e.body
         if isinstance(body, Edge):
             if kind == "edge":
                 tips = self.cross(tips)
-            return self.hops(tips, body, e.low, e.high), "edge"
+            return self.hops(tips, body, e.low, e.high, free), "edge"
         if isinstance(body, Generated):
             return self.fragments(tips, body).select("anchor", "id"), "fragment"
         if kind == "fragment":
@@ -108,10 +110,10 @@ class Compiler:
                 inner = current
                 k = kind
                 for i, (c, x) in enumerate(body):
-                    inner, k = self.element(inner, k, step if i == 0 else c, x)
+                    inner, k = self.element(inner, k, step if i == 0 else c, x, free)
                 current, kind = inner.select("anchor", "id").distinct(), k
             else:
-                current = self.compound(current, kind, step, body)
+                current = self.compound(current, kind, step, body, free)
                 kind = "node"
             if n >= e.low:
                 out.append(current)
@@ -132,12 +134,12 @@ class Compiler:
         above = above.where((dist >= low) & ((dist <= high) if high is not None else F.lit(True)))
         return tips.select("anchor", F.col("id").alias("src")).join(above.select("id", "a"), F.col("src") == F.col("a")).select("anchor", "src", "id")
 
-    def compound(self, tips: DataFrame, kind: str, comb: str, c: Compound) -> DataFrame:
+    def compound(self, tips: DataFrame, kind: str, comb: str, c: Compound, free: bool = False) -> DataFrame:
         nodes = self.candidates(c)
         if kind == "edge":
             if not any(p.name in ("first", "last") for p in c.pseudos):  # only these tell one edge's ends from another's
                 reach = self.contained(self.cross(tips), nodes, 0, 0 if comb == ">" else None)
-                return self.pseudos(reach.select("anchor", F.lit(0).cast("long").alias("src"), "id").distinct(), c.pseudos)
+                return self.pseudos(reach.select("anchor", F.lit(0).cast("long").alias("src"), "id").distinct(), c.pseudos, free=free)
             tips = self.cross(tips, keep_source=True)
             reach = self.contained(tips.select("anchor", "id"), nodes, 0, 0 if comb == ">" else None)
             reach = reach.join(tips.select("anchor", F.col("id").alias("src"), F.col("src").alias("edge")), ["anchor", "src"]).select("anchor", F.col("edge").alias("src"), "id")
@@ -147,7 +149,7 @@ class Compiler:
             reach = tips.select("anchor", F.col("id").alias("src")).join(nodes.select("id", "parent"), F.col("src") == F.col("parent")).select("anchor", "src", "id")
         else:
             reach = self.contained(tips, nodes, 1, None)
-        return self.pseudos(reach.distinct(), c.pseudos)
+        return self.pseudos(reach.distinct(), c.pseudos, free=free)
 
     # -- edges ---------------------------------------------------------------
     def edges(self, e: Edge, hosts: DataFrame | None = None, each: bool = False) -> DataFrame:
@@ -211,8 +213,12 @@ class Compiler:
             out = out.union(many.join(self.ws.groups, "group").select("anchor", *source, F.col("far").alias("id")))
         return out.distinct()
 
-    def hops(self, tips: DataFrame, e: Edge, low: int, high: int | None) -> DataFrame:
+    def hops(self, tips: DataFrame, e: Edge, low: int, high: int | None, free: bool = False) -> DataFrame:
         """(anchor, id) of the edges crossed low to high times: walks if bounded, a fixpoint if not."""
+        if free and high is None and low <= 1 and not (e.ids or e.tests or e.pseudos):
+            links = self._of_kind(e, None)
+            reached = closure(tips, links, self.ws.groups).withColumnRenamed("id", "host")
+            return links.join(reached, "host", "left_semi").select(F.lit(0).cast("long").alias("anchor"), F.col("edge_id").alias("id")).distinct()
         each = any(p.name in ("first", "last") for p in e.pseudos)
         bounded = (low, high) == (1, 1)
         edges = self.edges(e, tips if bounded else None, each)
@@ -234,15 +240,19 @@ class Compiler:
         return self.pseudos(result, [p for p in e.pseudos if p.name not in CLAIMS or p.arg], "edge").select("anchor", "id").distinct()
 
     # -- pseudo-classes ------------------------------------------------------
-    def pseudos(self, reach: DataFrame, pseudos: list[Pseudo], kind: str = "node") -> DataFrame:
-        """reach (anchor, src, id) after the pseudo-classes in their order; :first and :last come last."""
+    def pseudos(self, reach: DataFrame, pseudos: list[Pseudo], kind: str = "node", free: bool = False) -> DataFrame:
+        """reach (anchor, src, id) after the pseudo-classes in their order; :first and :last come last. free: all rows have one anchor."""
         reach = reach.withColumn("tip", F.col("id"))
         moved = False
+        told_apart = any(p.name in ("first", "last") or p.name in CLAIMS and p.arg is None for p in pseudos)
         for p in pseudos:
             if p.name in ("first", "last", "root"):
                 continue
             tips = reach.select(F.col("tip").alias("id")).distinct()
-            if p.name == "parents":
+            if p.name == "parents" and free and not told_apart:
+                none = F.lit(0).cast("long")
+                reach = self.parents(tips, p.arg, ()).select(none.alias("anchor"), none.alias("src"), "id", F.col("id").alias("tip"))
+            elif p.name == "parents":
                 up = self.parents(tips, p.arg)
                 reach = reach.join(up.withColumnRenamed("id", "up"), F.col("tip") == F.col("anchor_tip"), "left").select("anchor", "src", "id", F.col("up").alias("tip"))
                 moved = True
@@ -329,32 +339,32 @@ class Compiler:
                 out.append(self.chain(c)[0].select(F.col("id").alias("hit")))
         return reduce(lambda a, b: a.union(b), out).distinct()
 
-    def parents(self, tips: DataFrame, arg: list[Chain] | None) -> DataFrame:
-        """(anchor_tip, id): what contains or refers to each tip, transitively; with a list, its roots whose subject does."""
+    def parents(self, tips: DataFrame, arg: list[Chain] | None, keys: tuple[str, ...] = ("anchor_tip",)) -> DataFrame:
+        """(keys, id): what contains or refers to the tips, transitively; with a list, its roots whose subject does.
+
+        With ``anchor_tip`` as the key, for each tip, else for all of them as a
+        set. A tip is among its own only if a reference leads back to it or into it.
+        """
         above = self.ws.nodes.select(F.col("id").alias("child"), "anc")
         # Only sources of references in are followed round by round; containment comes from the ancestor arrays at once.
         refs = self.links.where("dir = 'in'").select("host", "far", "group").distinct()
+        tips = tips.select(*[F.col("id").alias(k) for k in keys], "id")
 
         def with_ancestors(df: DataFrame) -> DataFrame:
-            return df.join(above, F.col("id") == F.col("child")).select("anchor_tip", F.explode("anc").alias("id")).distinct()
-
-        seen = cut(with_ancestors(tips.select(F.col("id").alias("anchor_tip"), "id")))
-        frontier, arrived = seen, None
-        while True:
-            ends = frontier.join(refs, F.col("id") == F.col("host"))
-            new = ends.where("far is not null").select("anchor_tip", F.col("far").alias("id"))
-            if self.ws.groups is not None:
-                many = ends.where(F.col("group").isNotNull()).select("anchor_tip", "group").distinct()
-                new = new.union(many.join(self.ws.groups, "group").select("anchor_tip", F.col("far").alias("id")))
-            new = new.distinct()
-            arrived = new if arrived is None else arrived.union(new)
-            frontier = cut(with_ancestors(new).join(seen, ["anchor_tip", "id"], "left_anti"))
-            if not frontier.limit(1).count():
-                break
-            seen = seen.union(frontier)
-        # The tip itself counts only if a reference leads back to it.
-        back = arrived.where("anchor_tip = id")
-        up = seen.where("anchor_tip <> id").union(back).distinct()
+            return df.join(above, F.col("id") == F.col("child")).select(*keys, F.explode("anc").alias("id")).distinct()
+
+        around = tips.join(above, F.col("id") == F.col("child")).select(*keys, F.explode(F.filter("anc", lambda a: a != F.col("child"))).alias("id"))
+        first = with_ancestors(ends(tips, refs, self.ws.groups, keys)).union(around).distinct()
+        if not keys:
+            up = closure(first, refs, self.ws.groups, with_ancestors)
+        else:
+            up = frontier = cut(first)
+            while True:
+                new = with_ancestors(ends(frontier, refs, self.ws.groups, keys))
+                frontier = cut(new.join(up, [*keys, "id"], "left_anti"))
+                if not frontier.limit(1).count():
+                    break
+                up = up.union(frontier)
         if arg is None:
             return up
         out = []
@@ -362,7 +372,7 @@ class Compiler:
             (comb, first), rest = c[0], c[1:]
             roots = self.pseudos(self.candidates(first.body).select(F.lit(0).cast("long").alias("anchor"), F.lit(0).cast("long").alias("src"), "id"), first.body.pseudos)
             tips_of, _ = self.chain([("&", Element(Compound())), *rest], roots.select(F.col("id").alias("anchor"), "id"))
-            out.append(tips_of.select(F.col("anchor").alias("root"), F.col("id").alias("subject")).join(up, F.col("subject") == F.col("id")).select("anchor_tip", F.col("root").alias("id")))
+            out.append(tips_of.select(F.col("anchor").alias("root"), F.col("id").alias("subject")).join(up, F.col("subject") == F.col("id")).select(*keys, F.col("root").alias("id")))
         return reduce(lambda a, b: a.union(b), out).distinct()
 
     # -- source text ---------------------------------------------------------
