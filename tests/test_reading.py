@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from treeline import tools
+from treeline.functions import trigrams
 from treeline.operators import read, results, text, walks
+from treeline.plans.compiler import query
 from treeline.plans.selector import SelectorError
 from treeline.sources import code
+from treeline.workspace import StoredWorkspace
 
 CHAIN = "package p\nfunc a() { b() }\nfunc b() { c(); d() }\nfunc c() { d() }\nfunc d() { a() }\n"
 OTHER = "package q\nfunc d() {}\nfunc longer() {\n\tx := 1\n\treturn\n}\n"
@@ -138,3 +142,54 @@ def test_parse_cache(spark, tmp_path, monkeypatch):
     keys.unpersist()
     assert spark.read.parquet(f"{folder}/v{code.CACHE_VERSION}/decls/keys").count() == 4
     assert code.workspace(spark.createDataFrame([("x.gox", "package z\nfunc f() {}\n")], "path string, content string"), extensions={"gox": "go"}).nodes.where("cls = 'func'").count() == 1
+
+
+# -- trigrams and the search report -------------------------------------------
+TEXTS = {"a/one.txt": "alpha beta\nLICENSE here\ngamma\n", "a/two.md": "beta\npass-word\n", "b/three.txt": "Straße ſtop Kelvin\n", "b/gen.txt": "é" * 2600 + " beta\n", "b/none.txt": None}
+
+
+@pytest.fixture(scope="module")
+def both(spark):
+    frame = spark.createDataFrame(list(TEXTS.items()), "path string, content string")
+    made = lambda: code.workspace(frame)
+    return StoredWorkspace(made), StoredWorkspace(made, trigrams.index)
+
+
+@pytest.mark.parametrize("grep", ["beta", "-i license", "-E alpha|pass", "-E 'be+ta'", "-v beta", "-i STOP", "-i kelvin", "-w beta", "-E 'zzz+|yyyy'", "be", "-A1 license", "-E '[[:alpha:]]{5} b'"])
+def test_searches_are_the_same_with_trigrams(both, grep):
+    plain, indexed = [sorted(tuple(r) for r in query(w, f"file::grep('{grep}')").collect()) if "'" not in grep else sorted(tuple(r) for r in query(w, f'file::grep("{grep}")').collect()) for w in both]
+    assert plain == indexed
+
+
+def test_files_without_the_trigrams_are_not_read(both):
+    plan = query(both[1], "file:contains('license')")._jdf.queryExecution().optimizedPlan().toString()
+    assert "bits" in plan and "bits" not in query(both[0], "file:contains('license')")._jdf.queryExecution().optimizedPlan().toString()
+    found = text.find(both[1], "beta|pass", limit=2, context=1)
+    assert [(r["path"], r["line"], r["col"], r["hit"], r["text"], r["before"], r["after"]) for r in found.rows.collect()] == [("a/one.txt", 1, 7, "beta", "alpha beta", [], ["LICENSE here"]), ("a/two.md", 1, 1, "beta", "beta", [], ["pass-word"])]
+    # Of five files one is generated by its bytes, one has no text, and one lacks the trigrams.
+    assert (found.hits, found.dropped, found.generated, found.unread) == (3, 1, 1, 2)
+    assert (text.find(both[0], "beta", glob="*.md").hits, text.find(both[0], "beta", path_prefix="a/").hits) == (1, 2)
+    with pytest.raises(ValueError):
+        text.find(both[0], "x", limit=0)
+
+
+def test_trigrams_of_random_texts_never_hide_a_match():
+    import random
+
+    rng = random.Random(8)
+    for _ in range(300):
+        body = "".join(rng.choice("abcé\nXY") for _ in range(rng.randint(0, 60)))
+        words = np.array(trigrams.bitmap(body), np.int64).view(np.uint64)
+        has = lambda c: int(words[(c & (len(words) * 64 - 1)) >> 6]) >> (c & 63) & 1  # noqa: E731, B023
+        for n in (3, 5):
+            for i in range(len(body) - n + 1):
+                raw = np.frombuffer(body[i : i + n].encode().lower(), np.uint8)
+                assert all(map(has, trigrams._hash(raw).tolist()))
+
+
+def test_globs():
+    import re
+
+    names = ["a.go", "b_test.go", "x[1].go", "a.py", "ab"]
+    hits = lambda g: [n for n in names if re.match(text.glob_regex(g), n)]
+    assert hits("*.go") == names[:3] and hits("?.go") == ["a.go"] and hits("[^a]*.go") == ["b_test.go", "x[1].go"] and hits(r"x\[1].go") == ["x[1].go"] and hits("[ab]?") == ["ab"]

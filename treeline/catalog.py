@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeline.functions import trigrams
 from treeline.operators import conflicts, edits, incremental, patches, read, references, results, text, walks
 from treeline.plans.compiler import query
 from treeline.sources import bindings, code, tables
-from treeline.streaming import state
-from treeline.workspace import StoredWorkspace
+from treeline.streaming import snapshots, state
+from treeline.workspace import StoredWorkspace, scratch_root
 
 _LINES = f"lines AS (SELECT node, CAST(line AS INTEGER) AS line, text, lang FROM (SELECT source || '/' || doc_id AS node, lang, unnest(range(1, len(parts) + 1)) AS line, unnest(parts) AS text FROM (SELECT doc_id, source, lang, string_split(text, chr(10)) AS parts FROM documents)))"
 _PLACES = "people AS (SELECT c_custkey, c_name, r_name, n_name, r_name || '/' || n_name || '/' || c_name AS path FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
@@ -30,15 +32,22 @@ def _add(name: str, sql: str | None, run: Callable[[SparkSession, str], DataFram
         _SQL[name] = sql
 
 
-_KEPT: dict[tuple, StoredWorkspace] = {}
+_KEPT: dict[tuple, tuple[tuple, StoredWorkspace]] = {}
 
 
-def kept(workspace: Callable, spark: SparkSession, sf_dir: str) -> StoredWorkspace:
-    """The workspace over a folder's tables, built once in a session; the tables don't change while it lasts."""
-    key = spark.sparkContext.applicationId, workspace.__name__, sf_dir
-    if key not in _KEPT:
-        _KEPT[key] = StoredWorkspace(lambda: workspace(spark, sf_dir))
-    return _KEPT[key]
+def _stamp(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of a folder's tables: another one means that they have changed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
+
+def kept(workspace: Callable, spark: SparkSession, sf_dir: str, indexed: bool = False) -> StoredWorkspace:
+    """The workspace over a folder's tables, built once in a session and anew when they change; indexed: with the files' trigrams."""
+    key, stamp = (spark.sparkContext.applicationId, workspace.__name__, sf_dir, indexed), _stamp(spark, sf_dir)
+    if key not in _KEPT or _KEPT[key][0] != stamp:
+        _KEPT[key] = stamp, StoredWorkspace(lambda: workspace(spark, sf_dir), trigrams.index if indexed else None)
+    return _KEPT[key][1]
 
 
 def _select(name: str, workspace: Callable, selector: str, columns: list[str], sql: str, shape: Callable[[DataFrame], DataFrame] | None = None) -> None:
@@ -78,12 +87,14 @@ _select("q_parents", tables.documents, "file.fr::out.import > file:parents(dir)"
 _select("q_copies_in", tables.documents, "file:any(::in.import)", ["node"], "SELECT source || '/' || doc_id AS node FROM documents QUALIFY lead(doc_id) OVER (PARTITION BY text ORDER BY doc_id) IS NOT NULL")
 _select("q_is_chain", tables.documents, "file:is(dir#src0 > file)", ["node"], "SELECT source || '/' || doc_id AS node FROM documents WHERE source = 'src0'")
 _select("q_group", tables.trade, "(dir dir){1}", ["node"], "SELECT r_name || '/' || n_name AS node FROM nation JOIN region ON n_regionkey = r_regionkey")
+_select("q_group_repeated", tables.trade, "(*){3,}", ["node", "type"], f"WITH {_PLACES}, {_SUPPLIERS}, {_ITEMS}, placed AS (SELECT o_orderkey, path || '#o' || o_orderkey AS node FROM orders JOIN people ON o_custkey = c_custkey) SELECT path AS node, 'file' AS type FROM people UNION ALL SELECT node, 'file' FROM suppliers UNION ALL SELECT node, 'struct' FROM placed UNION ALL SELECT node || '.l' || l_linenumber || '.' || l_at, 'field' FROM items JOIN placed ON l_orderkey = o_orderkey")
 
 _add("q_class_counts", "SELECT 'project' AS type, 1 AS n UNION ALL SELECT 'dir', count(*) + 1 + (SELECT count(*) FROM region) FROM nation UNION ALL SELECT 'file', (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) UNION ALL SELECT 'struct', count(*) FROM orders UNION ALL SELECT 'field', count(*) FROM lineitem UNION ALL SELECT 'type', count(*) FROM part", lambda s, d: text.class_counts(kept(tables.trade, s, d)))
 _NAMES = f"WITH {_LINES}, names AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM lines)"
 _add("q_name_freq", f"{_NAMES} SELECT name, count(*) AS n FROM names GROUP BY name", lambda s, d: text.name_freq(kept(tables.documents, s, d)))
 _add("q_cardinality", f"{_NAMES} SELECT count(DISTINCT name) AS n FROM names", lambda s, d: text.cardinality(kept(tables.documents, s, d)))
-_add("q_search", f"WITH {_LINES}, ok AS (SELECT * FROM lines WHERE node NOT IN (SELECT node FROM lines WHERE length(text) > 5000)), hits AS (SELECT node, line, unnest(regexp_extract_all(text, 'License|password')) AS hit FROM ok) SELECT node AS path, line, hit, count(*) AS n FROM hits GROUP BY ALL", lambda s, d: text.search(kept(tables.documents, s, d), "License|password").groupBy("path", "line", "hit").agg(F.count(F.lit(1)).alias("n")))
+_add("q_search", f"WITH {_LINES}, ok AS (SELECT * FROM lines WHERE node NOT IN (SELECT node FROM lines WHERE strlen(text) > 5000)), hits AS (SELECT node, line, unnest(regexp_extract_all(text, 'License|password')) AS hit FROM ok) SELECT node AS path, line, hit, count(*) AS n FROM hits GROUP BY ALL", lambda s, d: text.search(kept(tables.documents, s, d), "License|password").groupBy("path", "line", "hit").agg(F.count(F.lit(1)).alias("n")))
+_add("q_search_indexed", f"WITH {_LINES}, ok AS (SELECT * FROM lines WHERE node NOT IN (SELECT node FROM lines WHERE strlen(text) > 5000)), hits AS (SELECT node, line, unnest(regexp_extract_all(text, 'License|password')) AS hit FROM ok) SELECT node AS path, line, hit, count(*) AS n FROM hits GROUP BY ALL", lambda s, d: text.search(kept(tables.documents, s, d, indexed=True), "License|password").groupBy("path", "line", "hit").agg(F.count(F.lit(1)).alias("n")))
 _add("q_histogram", f"WITH {_PLACES} SELECT path, 'struct' AS type, count(*) AS n FROM people JOIN orders ON o_custkey = c_custkey GROUP BY path UNION ALL SELECT path, 'field', count(*) FROM people JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY path UNION ALL SELECT 'parts', 'type', count(*) FROM part", lambda s, d: text.histogram(kept(tables.trade, s, d)))
 _add("q_tree_sizes", f"WITH {_PLACES}, {_SUPPLIERS}, n AS (SELECT path AS node, 1 + count(DISTINCT o_orderkey) + count(l_orderkey) AS n FROM people LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY path UNION ALL SELECT node, 1 FROM suppliers), nations AS (SELECT r_name, n_name, 1 + coalesce(sum(n), 0) AS n FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN n ON starts_with(node, r_name || '/' || n_name || '/') GROUP BY ALL), regions AS (SELECT region.r_name, 1 + coalesce(sum(n), 0) AS n FROM region LEFT JOIN nations USING (r_name) GROUP BY ALL) SELECT node, 'file' AS type, CAST(n AS BIGINT) AS n FROM n UNION ALL SELECT r_name || '/' || n_name, 'dir', CAST(n AS BIGINT) FROM nations UNION ALL SELECT r_name, 'dir', CAST(n AS BIGINT) FROM regions UNION ALL SELECT 'parts', 'dir', count(*) + 1 FROM part UNION ALL SELECT 'trade', 'project', CAST((SELECT sum(n) FROM regions) + (SELECT count(*) FROM part) + 2 AS BIGINT)", lambda s, d: text.tree_sizes(kept(tables.trade, s, d)))
 _add("q_debounce", "WITH e AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 3600000000 THEN 0 ELSE 1 END AS cut FROM events), r AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM e) SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM r GROUP BY user_id, run", lambda s, d: incremental.debounce(tables.table(s, d, "events"), "user_id", "ts", 3_600_000))
@@ -133,12 +144,13 @@ _select("q_code_in_return", code_tree, "struct::in.return > func", ["node"], f"W
 _select("q_code_in_param", code_tree, "struct::in.param > *", ["node"], f"WITH {_IDS} SELECT {_GO} || '#Get' || i AS node FROM ids")
 _select("q_code_in_field", code_tree, "struct::in.field > *", ["node"], f"WITH {_IDS} SELECT {_GO} || '#Item' || i || '.Next' AS node FROM ids")
 _select("q_code_in_call", code_tree, "func::in.call > func", ["node"], f"WITH {_IDS} SELECT {_GO} || '#use' || i AS node FROM ids")
+_select("q_code_hot", code_tree, "method::in.call > method", ["node"], f"WITH {_IDS} SELECT {_JAVA} || '#Box' || i || '.go[1]' AS node FROM ids")
 _select("q_code_uncalled", code_tree, "func:where(::in:empty)", ["node"], f"WITH {_IDS} SELECT {_GO} || '#use' || i AS node FROM ids")
 _select("q_conflict_sides", code_tree, "file::mine, file::theirs", ["node", "line", "text"], f"WITH {_IDS} SELECT {_TXT} AS node, CAST(3 AS INTEGER) AS line, 'mine ' || i AS text FROM ids UNION ALL SELECT {_TXT}, 7, 'theirs ' || i || chr(10) || 'more ' || i FROM ids")
 _add("q_conflict_resolved", f"WITH {_IDS} SELECT {_TXT} AS path, string_agg(x, chr(10) ORDER BY n) AS text FROM (SELECT i, unnest([1, 2, 3, 4]) AS n, unnest(['head ' || i, 'theirs ' || i, 'more ' || i, 'tail']) AS x FROM ids) GROUP BY i", lambda s, d: _resolved(kept(code_tree, s, d)))
 _add("q_rename_plan", f"WITH {_IDS} SELECT {_GO} AS path, CAST(unnest([10, 11]) AS INTEGER) AS line, CAST(unnest([10, 5]) + length(i) * unnest([1, 0]) AS INTEGER) AS col, 'edit' AS action FROM ids", lambda s, d: edits.rename_plan(kept(code_tree, s, d), "key", "name").select("path", F.col("line").cast("int").alias("line"), F.col("col").cast("int").alias("col"), "action"))
 _add("q_ignored", "SELECT 'src/go/f' || doc_id || '.go' AS path FROM documents", lambda s, d: (lambda f: f.where(~code.ignored(F.col("path"), ["*.java", "src/t?t/", "!src/txt/keep"])).select("path"))(code_files(s, d)))
-_add("q_clean_files", "SELECT 'src/' || x || '/f' || doc_id || '.' || x AS path, true AS clean FROM documents, (VALUES ('go'), ('java')) t(x)", lambda s, d: code.clean_files(code_files(s, d)).select("path", "clean"))
+_add("q_clean_files", "SELECT 'src/' || x || '/f' || doc_id || '.' || x AS path, x = 'go' OR doc_id % 3 <> 0 AS clean FROM documents, (VALUES ('go'), ('java')) t(x)", lambda s, d: code.clean_files(_faulty(code_files(s, d))).select("path", "clean"))
 
 
 _add("q_signature_plan", f"WITH {_IDS} SELECT {_JAVA} AS path, CAST(6 AS INTEGER) AS line, CAST(30 AS INTEGER) AS col, 'a, 1' AS old, '1, false' AS new, 'edit' AS action FROM ids", lambda s, d: patches.signature_plan(kept(code_tree, s, d), code_files(s, d), "go", ["a int", "b int"], ["b int", "quiet boolean"], "java"))
@@ -148,11 +160,13 @@ _add("q_entities", "SELECT 'api/f' || doc_id || '.proto' AS path, unnest(['Item'
 _add("q_promoted", f"WITH {_IDS} SELECT 'Item' || i AS name, {_GO} AS path, CAST(unnest([3, 5, 6, 10, 14]) AS INTEGER) AS line, 'promoted' AS conf FROM ids UNION ALL SELECT 'Item' || i, 'api/f' || i || '.proto', 3, 'declared' FROM ids", lambda s, d: bindings.promoted(kept(code_tree, s, d), bindings.entities(schema_files(s, d)).where("kind = 'message'")))
 _add("q_regex_names", f"WITH {_LINES} SELECT node AS path, line, unnest(regexp_extract_all(text, '(\\w+) License', 1)) AS name FROM lines", lambda s, d: bindings.regex_names(kept(tables.documents, s, d), r"(\w+) License"))
 _add("q_walk", "WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events), b AS (SELECT *, max(CASE WHEN event_type = 'purchase' THEN rn END) OVER (PARTITION BY user_id ORDER BY rn) AS bought FROM e) SELECT 'user/' || user_id || '#' || event_id AS host, 'user/' || user_id || '#' || nxt AS far, CAST(rn - bought + 1 AS INTEGER) AS hop FROM b WHERE nxt IS NOT NULL AND rn - bought + 1 <= 3", lambda s, d: walks.walk(kept(tables.events, s, d), "field#purchase::out.call{1,3}").select("host", F.array_join("far", ",").alias("far"), "hop"))
+_add("q_walk_via", "WITH e AS (SELECT *, row_number() OVER w AS rn, lead(event_id) OVER w AS nxt, lag(event_id) OVER w AS prv FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), b AS (SELECT *, max(CASE WHEN event_type = 'purchase' THEN rn END) OVER (PARTITION BY user_id ORDER BY rn) AS bought FROM e) SELECT 'user/' || user_id || '#' || event_id AS host, 'user/' || user_id || '#' || nxt AS far, CAST(rn - bought + 1 AS INTEGER) AS hop, CASE WHEN rn > bought THEN 'user/' || user_id || '#' || prv END AS via_host FROM b WHERE nxt IS NOT NULL AND rn - bought + 1 <= 3", lambda s, d: _via(walks.walk(kept(tables.events, s, d), "field#purchase::out.call{1,3}")))
+_add("q_snapshots", "WITH w AS (SELECT user_id, event_id, event_type, event_id % 4 AS wave FROM events WHERE user_id % 7 <> 0) SELECT user_id, event_id, event_type FROM w QUALIFY wave = max(wave) OVER (PARTITION BY user_id)", lambda s, d: _snapshot(s, d))
 _add("q_capped_lines", f"WITH {_LINES}, hits AS (SELECT node, line, text, length(text) AS n, strpos(text, 'the') AS pos FROM lines WHERE contains(text, 'the')) SELECT node, line, CASE WHEN n <= 60 THEN text ELSE substring(text, CAST(greatest(1, least(pos - 28, n - 59)) AS INTEGER), 60) || ' (+' || (n - 60) || ' chars)' END AS text FROM hits", lambda s, d: query(kept(tables.documents, s, d), "file::grep('the')").select("node", "line", read.capped(F.col("text"), F.locate("the", F.col("text")), F.lit(3), 60).alias("text")))
-_add("q_near_context", f"WITH {_LINES}, framed AS (SELECT node, line, text, lag(text) OVER w AS b, lead(text) OVER w AS a FROM lines WINDOW w AS (PARTITION BY node ORDER BY line)), hits AS (SELECT *, 120 - length(text) AS room FROM framed WHERE contains(text, 'License')), after AS (SELECT *, a IS NOT NULL AND length(a) + 1 <= room AS fits_a FROM hits) SELECT node, line, CASE WHEN fits_a THEN a ELSE '' END AS after, CASE WHEN b IS NOT NULL AND (a IS NULL OR fits_a) AND length(b) + 1 <= room - CASE WHEN fits_a THEN length(a) + 1 ELSE 0 END THEN b ELSE '' END AS before FROM after", lambda s, d: _near(query(kept(tables.documents, s, d), "file::grep('-C1 License')")))
+_add("q_near_context", f"WITH {_LINES}, framed AS (SELECT node, line, text, lag(text) OVER w AS b, lead(text) OVER w AS a FROM lines WINDOW w AS (PARTITION BY node ORDER BY line)), hits AS (SELECT *, 120 - strlen(text) AS room FROM framed WHERE contains(text, 'License')), after AS (SELECT *, a IS NOT NULL AND strlen(a) + 1 <= room AS fits_a FROM hits) SELECT node, line, CASE WHEN fits_a THEN a ELSE '' END AS after, CASE WHEN b IS NOT NULL AND (a IS NULL OR fits_a) AND strlen(b) + 1 <= room - CASE WHEN fits_a THEN strlen(a) + 1 ELSE 0 END THEN b ELSE '' END AS before FROM after", lambda s, d: _near(query(kept(tables.documents, s, d), "file::grep('-C1 License')")))
 _add("q_new_diagnostics", "WITH b AS (SELECT text, count(*) AS was FROM conversations WHERE role = 'user' GROUP BY text), a AS (SELECT text, count(*) AS now FROM conversations WHERE role = 'assistant' GROUP BY text) SELECT a.text, now - coalesce(was, 0) AS n FROM a LEFT JOIN b ON a.text IS NOT DISTINCT FROM b.text WHERE now > coalesce(was, 0)", lambda s, d: (lambda t: read.missing(t.where("role = 'user'"), t.where("role = 'assistant'"), ["text"]))(tables.table(s, d, "conversations")))
 _add("q_settled", "WITH one AS (SELECT user_id, ts, max(event_id) AS event_id FROM events GROUP BY user_id, ts) SELECT * FROM one QUALIFY epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts)) - epoch_us(ts) >= 3600000000", lambda s, d: state.settled(tables.table(s, d, "events").select("user_id", "ts", "event_id"), "user_id", "ts", 3_600_000))
-_add("q_transitions", "WITH f AS (SELECT user_id, ts, event_id, event_type = 'purchase' AS entered FROM events) SELECT user_id, ts, entered FROM f QUALIFY coalesce(lag(entered) OVER (PARTITION BY user_id ORDER BY ts, event_id), false) <> entered", lambda s, d: state.transitions(tables.table(s, d, "events").withColumn("bought", F.col("event_type") == "purchase"), "user_id", "ts", "bought"))
+_add("q_transitions", "WITH f AS (SELECT user_id, ts, event_id, event_type = 'purchase' AS entered FROM events) SELECT user_id, ts, entered FROM f QUALIFY coalesce(lag(entered) OVER (PARTITION BY user_id ORDER BY ts, event_id), false) <> entered", lambda s, d: state.transitions(tables.table(s, d, "events").withColumn("bought", F.col("event_type") == "purchase"), "user_id", "ts", "bought", ["event_id"]))
 _add("q_sibling_rollup", "WITH g AS (SELECT conv_id, max(turn) AS gen FROM conversations GROUP BY conv_id), b AS (SELECT conv_id, max(turn) AS gen FROM conversations WHERE role = 'user' GROUP BY conv_id) SELECT CAST(g.conv_id AS VARCHAR) AS path, g.gen FROM g LEFT JOIN b USING (conv_id) WHERE b.gen IS NULL OR g.gen > b.gen", lambda s, d: (lambda t: state.sibling_rollup(*[x.groupBy(F.col("conv_id").cast("string").alias("path")).agg(F.max("turn").alias("gen")) for x in (t, t.where("role = 'user'"))]))(tables.table(s, d, "conversations")))
 _add("q_idle", "WITH k AS (SELECT user_id, ts, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN -1 ELSE 0 END AS h FROM events), m AS (SELECT max(ts) AS now FROM events) SELECT CAST(user_id AS VARCHAR) AS root, max(ts) AS last FROM k, m GROUP BY user_id, now HAVING sum(h) <= 0 AND epoch_ms(now) - epoch_ms(max(ts)) >= 86400000", lambda s, d: _idle(tables.table(s, d, "events")))
 
@@ -164,6 +178,27 @@ def schema_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table(spark, sf_dir, "documents").select(F.concat(F.lit("api/f"), i, F.lit(".proto")).alias("path"), F.format_string(text_, *[i] * 6).alias("content"))
 
 
+def _faulty(files: DataFrame) -> DataFrame:
+    """The files with the last brace gone from every third Java file."""
+    hurt = F.coalesce(F.regexp_extract("path", r"f(\d+)\.java$", 1).try_cast("long") % 3 == 0, F.lit(False))
+    return files.withColumn("content", F.when(hurt, F.regexp_replace("content", r"\}\s*$", "")).otherwise(F.col("content")))
+
+
+def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in four waves by a hash, each replacing its users' rows, and a fifth that deletes every seventh user: the last generation."""
+    rows = tables.table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    table = snapshots.Snapshots(spark, f"{scratch_root(spark)}/snapshots-{uuid.uuid4().hex}", "user_id", f"user_id {rows.schema['user_id'].dataType.simpleString()}, event_id long, event_type string", fanout=3)
+    for n in range(4):
+        table.apply(rows.where(F.col("event_id") % 4 == n))
+    table.apply(rows.limit(0), rows.where("user_id % 7 = 0").select("user_id"))
+    return table.read()
+
+
+def _via(walked: DataFrame) -> DataFrame:
+    before = walked.select(F.col("edge").alias("via"), F.col("host").alias("via_host"))
+    return walked.join(before, "via", "left").select("host", F.array_join("far", ",").alias("far"), "hop", "via_host")
+
+
 def _patched(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = code_files(spark, sf_dir).where("path like '%.txt'")
     i = F.regexp_extract("path", r"f(\d+)\.txt$", 1)

@@ -2,29 +2,61 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from treeline.functions import trigrams
 from treeline.functions.patterns import to_java
+from treeline.operators.context import budgeted
 from treeline.operators.intervals import innermost as innermost  # told of here, too
-from treeline.workspace import Workspace
+from treeline.plans.selector import Grep
+from treeline.workspace import Workspace, written
 
-#: Characters of a line after which a file counts as generated and is skipped whole.
+#: Bytes of a line after which a file counts as generated and is skipped whole.
 GENERATED_LINE = 5000
 
 
-def search(ws: Workspace, pattern: str, path_prefix: str | None = None, limit: int | None = None) -> DataFrame:
-    """(path, line, col, hit): every match of a pattern on every line; columns count from 1.
-
-    Files with a line of over GENERATED_LINE characters are skipped whole. The
-    limit keeps the first hits in the order of path, line and column.
-    """
+def glob_regex(glob: str) -> str:
+    """A file name's pattern (* ? [a-z] [^a-z], a backslash before what stands for itself) as a regular expression."""
+    out, i = "", 0
+    while i < len(glob):
+        c = glob[i]
+        if c == "[" and (shut := glob.find("]", i + 2)) > 0:
+            inner = glob[i + 1 : shut]
+            out, i = out + "[" + inner[: inner[0] == "^"] + inner[inner[0] == "^" :].replace("[", r"\[").replace("&", r"\&") + "]", shut
+        elif c == "\\" and i + 1 < len(glob):
+            out, i = out + re.escape(glob[i + 1]), i + 1
+        else:
+            out += {"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c))
+        i += 1
+    return f"^{out}$"
+
+
+def _searched(ws: Workspace, pattern: str, path_prefix: str | None, glob: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(the files to search, those of them that were generated, the lines of those that may match)."""
     files = ws.nodes.where("cls = 'file'").select("file_id", "path")
     if path_prefix:
         files = files.where(F.col("path").startswith(path_prefix))
-    generated = ws.lines.where(F.length("text") > GENERATED_LINE).select("file_id").distinct()
+    if glob:
+        files = files.where(F.element_at(F.split("path", "/"), -1).rlike(glob_regex(glob)))
+    generated = ws.lines.where(F.octet_length("text") > GENERATED_LINE).select("file_id").distinct().join(files, "file_id", "left_semi")
+    fit = None if ws.grams is None else trigrams.fitting(ws.grams, Grep(pattern, regex=True))
+    return files, generated, ws.lines if fit is None else ws.lines.join(fit, "file_id", "left_semi")
+
+
+def search(ws: Workspace, pattern: str, path_prefix: str | None = None, limit: int | None = None, glob: str | None = None) -> DataFrame:
+    """(path, line, col, hit): every match of a pattern on every line; columns count from 1.
+
+    Files with a line of over GENERATED_LINE bytes are skipped whole. The limit
+    keeps the first hits in the order of path, line and column; glob is a pattern
+    of the files' own names.
+    """
+    files, generated, lines = _searched(ws, pattern, path_prefix, glob)
     java = f"(?d){to_java(pattern)}"
-    lines = ws.lines.where(F.col("text").rlike(java)).join(files, "file_id").join(generated, "file_id", "left_anti")
+    lines = lines.where(F.col("text").rlike(java)).join(files, "file_id").join(generated, "file_id", "left_anti")
     hits = lines.select("path", "line", "text", F.regexp_extract_all("text", F.lit(f"({java})"), F.lit(1)).alias("all"))
     # A match's column: the text up to it, built from the gaps that splitting leaves.
     gaps = hits.withColumn("gaps", F.split("text", java, -1))
@@ -34,6 +66,35 @@ def search(ws: Workspace, pattern: str, path_prefix: str | None = None, limit: i
     return out if limit is None else out.orderBy("path", "line", "col").limit(limit)
 
 
+@dataclass
+class Found:
+    """The first hits (path, line, col, hit, text, before, after), and how many there were: all, past the limit, files skipped as generated and by the index."""
+
+    rows: DataFrame
+    hits: int
+    dropped: int
+    generated: int
+    unread: int
+
+
+def find(ws: Workspace, pattern: str, path_prefix: str | None = None, glob: str | None = None, limit: int = 100, context: int = 0) -> Found:
+    """A search with what its answer leaves out, and so many lines of context as fit beside each hit."""
+    if limit < 1 or context < 0:
+        raise ValueError("limit is 1 or more, context 0 or more")
+    files, generated, lines = _searched(ws, pattern, path_prefix, glob)
+    hits = search(ws, pattern, path_prefix, None, glob)
+    first = written(hits.orderBy("path", "line", "col").limit(limit))
+    total = hits.count()
+    wanted = first.select("path", F.col("line").alias("at"), F.explode(F.sequence(F.col("line") - context, F.col("line") + context)).alias("line")).distinct()
+    near = ws.lines.join(files, "file_id").join(wanted, ["path", "line"])
+    side = lambda test: F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("line", "text")))), lambda x: x.text)
+    framed = near.groupBy("path", "at").agg(F.max(F.when(F.col("line") == F.col("at"), F.col("text"))).alias("text"), side(F.col("line") < F.col("at")).alias("b"), side(F.col("line") > F.col("at")).alias("a"))
+    before, after = budgeted(F.col("b"), F.col("text"), F.col("a"))
+    framed = framed.select("path", F.col("at").alias("line"), "text", before.alias("before"), after.alias("after"))
+    unread = 0 if ws.grams is None else files.join(lines.select("file_id").distinct(), "file_id", "left_anti").count()
+    return Found(first.join(framed, ["path", "line"]).orderBy("path", "line", "col"), total, max(0, total - limit), generated.count(), unread)
+
+
 def rollup(hits: DataFrame, by: str = "node") -> DataFrame:
     """Matches per file over all rows."""
     return hits.groupBy(by).agg(F.count(F.lit(1)).alias("n"))

@@ -15,10 +15,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from treeline.functions import trigrams
 from treeline.functions.patterns import attribute, matches
 from treeline.operators import conflicts, intervals
 from treeline.plans.closure import closure, ends
-from treeline.plans.selector import Bool, Chain, Compound, Edge, Element, Generated, Pseudo, SelectorError, parse
+from treeline.plans.selector import Bool, Chain, Compound, Edge, Element, Generated, Grep, Pseudo, SelectorError, parse
 from treeline.workspace import Workspace, node_id, unfolded as unfolded_edges, written
 
 CLAIMS = ("any", "empty", "all")
@@ -286,7 +287,8 @@ class Compiler:
         """(ok): those of tips (id) for which the pseudo-class holds."""
         same = tips.select(F.col("id").alias("ok"))
         if p.name in ("contains", "annotated"):
-            hits = (self.source if p.name == "contains" else self.annotated)(tips, matches(F.col("text"), p.arg))
+            wanted = matches(F.col("text"), p.arg)
+            hits = self.source(tips, wanted, self.lines(p.arg)) if p.name == "contains" else self.annotated(tips, wanted)
             return hits.select(F.col("host").alias("ok")).distinct()
         if p.name == "arity":
             low, high = p.arg
@@ -376,10 +378,16 @@ class Compiler:
         return reduce(lambda a, b: a.union(b), out).distinct()
 
     # -- source text ---------------------------------------------------------
-    def source(self, tips: DataFrame, wanted: Column | None = None) -> DataFrame:
+    def lines(self, g: Grep) -> DataFrame:
+        """The lines of the files that may match a search, by the workspace's trigrams if it has any."""
+        fit = None if self.ws.grams is None else trigrams.fitting(self.ws.grams, g)
+        return self.ws.lines if fit is None else self.ws.lines.join(fit, "file_id", "left_semi")
+
+    def source(self, tips: DataFrame, wanted: Column | None = None, lines: DataFrame | None = None) -> DataFrame:
         """(host, line, text): the own lines of tips (id), only those wanted; a file has all of its lines."""
         span = self.ws.nodes.join(tips, "id", "left_semi").where("file_id is not null").select(F.col("id").alias("host"), "file_id", F.col("start").alias("low"), F.col("end").alias("high"))
-        lines = self.ws.lines if wanted is None else self.ws.lines.where(wanted)
+        lines = self.ws.lines if lines is None else lines
+        lines = lines if wanted is None else lines.where(wanted)
         return intervals.within(span, lines, "file_id").select("host", "line", "text")
 
     def annotated(self, tips: DataFrame, wanted: Column) -> DataFrame:
@@ -403,7 +411,7 @@ class Compiler:
         if g.name == "grep":
             pattern = matches(F.col("text"), g.grep)
             framed = g.grep.before or g.grep.after
-            lines = self.source(tips.select("id").distinct(), None if framed else pattern)
+            lines = self.source(tips.select("id").distinct(), None if framed else pattern, self.lines(g.grep))
             arrays = {"before": g.grep.before, "after": g.grep.after}
             order = Window.partitionBy("host").orderBy("line")
             none = F.expr("cast(array() as array<string>)")

@@ -41,7 +41,7 @@ def documents(spark: SparkSession, sf_dir: str) -> Workspace:
     copies = docs.where("text is not null").select(file.alias("src"), "doc_id", F.sha2("text", 256).alias("digest"))
     before = F.lag("src").over(Window.partitionBy("digest").orderBy("doc_id"))
     out = copies.withColumn("dst", before).where("dst is not null").select("src", "dst", F.lit("import").alias("kind"), F.lit("").alias("pos"), F.lit("lexical").alias("conf"), F.lit("copy").alias("site"))
-    return Workspace(union([project(spark, "documents"), dirs, files]), split_lines(docs, file, F.col("text")), both_directions(out), {x: x for x in ("en", "de", "fr", "es")})
+    return Workspace(union([project(spark, "documents"), dirs, files]), split_lines(docs, file, F.col("text")), both_directions(out), {x: x for x in ("en", "de", "fr", "es")}, texts=docs.select(file.alias("file_id"), "text"))
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> Workspace:

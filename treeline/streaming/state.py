@@ -55,9 +55,12 @@ def settled_stream(changes: DataFrame, key: str, ts: str, value: str, quiet_ms:
     return out.select(F.col("key").alias(key), F.timestamp_micros("ts").alias(ts), F.col("value").alias(value))
 
 
-def transitions(states: DataFrame, key: str, ts: str, flag: str) -> DataFrame:
-    """(key, ts, entered): where a key's flag changes, in the order of ts; a first flag that is set counts, a first one that isn't doesn't."""
-    before = F.coalesce(F.lag(flag).over(Window.partitionBy(key).orderBy(ts)), F.lit(False))
+def transitions(states: DataFrame, key: str, ts: str, flag: str, tie: list[str] | None = None) -> DataFrame:
+    """(key, ts, entered): where a key's flag changes, in the order of ts; a first flag that is set counts, a first one that isn't doesn't.
+
+    Of one instant, the columns ``tie`` tell the order; without them, unset comes before set.
+    """
+    before = F.coalesce(F.lag(flag).over(Window.partitionBy(key).orderBy(ts, *(tie or [flag]))), F.lit(False))
     return states.where(F.col(flag).isNotNull()).withColumn("__was", before).where(F.col("__was") != F.col(flag)).select(key, ts, F.col(flag).alias("entered"))
 
 

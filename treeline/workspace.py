@@ -74,6 +74,9 @@ class Workspace:
     edges: DataFrame
     languages: dict[str, str] = field(default_factory=lambda: dict(LANGUAGES))
     groups: DataFrame | None = None
+    #: (file_id, text) of whole files, for an index of their trigrams.
+    texts: DataFrame | None = None
+    grams: DataFrame | None = None
 
 
 class LinkedWorkspace:
@@ -82,6 +85,7 @@ class LinkedWorkspace:
     def __init__(self, nodes: DataFrame, lines: DataFrame, link: Callable[[], tuple[DataFrame, DataFrame, DataFrame | None]], linked_nodes: bool):
         self._nodes, self.lines, self._link, self._linked_nodes = nodes, lines, link, linked_nodes
         self.languages = dict(LANGUAGES)
+        self.texts = self.grams = None
 
     @cached_property
     def _linked(self) -> tuple[DataFrame, DataFrame, DataFrame | None]:
@@ -131,11 +135,13 @@ class StoredWorkspace:
     """A workspace whose nodes and edges are built once, on first use, and written to the shared folder by class and direction.
 
     Selectors then read only the classes that they name, instead of building
-    every table's tree again for each of their steps. Lines stay views.
+    every table's tree again for each of their steps. Lines stay views. With
+    ``trigrams``, an index of the files' trigrams is written, too, and searches
+    read only the files that it leaves.
     """
 
-    def __init__(self, made: Callable[[], Workspace]):
-        self._made = made
+    def __init__(self, made: Callable[[], Workspace], trigrams: Callable[[DataFrame], DataFrame] | None = None):
+        self._made, self._trigrams = made, trigrams
 
     @cached_property
     def _plain(self) -> Workspace:
@@ -153,6 +159,10 @@ class StoredWorkspace:
     def groups(self) -> DataFrame | None:
         return None if self._plain.groups is None else written(self._plain.groups)
 
+    @cached_property
+    def grams(self) -> DataFrame | None:
+        return None if self._trigrams is None or self._plain.texts is None else written(self._trigrams(self._plain.texts))
+
     @property
     def lines(self) -> DataFrame:
         return self._plain.lines
