@@ -118,3 +118,14 @@ def test_training_texts_are_bounded_by_their_terms(spark):
     docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(50)) if i else "v " * 3) for i in range(8)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, toxic int")
     assert len(toxicity.train(docs, labels, max_items=1, min_df=1).terms) == 0
+
+
+def test_factors_of_all_terms_are_shrunk_not_dropped():
+    rng = np.random.default_rng(4)
+    labels = rng.integers(0, 2, 400)
+    # One word says it all, so factors have next to nothing to add.
+    sets = [np.unique(np.r_[np.uint64(1 + y), rng.integers(10, 60, 20).astype(np.uint64)]) for y in labels]
+    model = toxicity.FactorizationMachine.fit(sets, labels)
+    assert len(model.terms) == len(np.unique(np.concatenate(sets))) and (model.factors != 0).any(1).all()
+    flat, at = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    assert ((model.score(flat, at) >= 0.5) == labels).mean() > 0.98

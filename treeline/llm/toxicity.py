@@ -128,7 +128,9 @@ class _Descent:
     frequency, so the many terms without a say stay out of the sum.
     """
 
-    SIZES, STRENGTHS = (16, 64, 256, 1024), (0.1, 0.3, 1.0, 3.0, 10.0)
+    SIZES, STRENGTHS = (16, 64, 256, 1024), (0.03, 0.1, 0.3, 1.0, 3.0, 10.0)
+    #: What the terms beyond a factor's largest keep of theirs.
+    REST = 0.01
 
     def __init__(self, docs: list[np.ndarray], labels: np.ndarray, rows: np.ndarray, n_terms: int, factors: int, prior: float, rate: float, l1: float, l2: float, batch: int, seed: int):
         self.docs, self.labels, self.rows, self.rate, self.l2, self.batch = docs, labels, rows, rate, l2, batch
@@ -208,12 +210,14 @@ class _Descent:
         return (q @ inner[:, order]) * scale[:, None], values[order]
 
     def factors_of(self, size: int, strength: float, lead: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """Factors from the leading vectors: of each its ``size`` largest terms, the largest of the first as long as ``strength``."""
+        """Factors from the leading vectors, the largest of the first as long as ``strength``: all terms have theirs, those beyond the ``size`` largest shrunk."""
         out = np.zeros_like(self.v)
         vectors, values = lead
         for j in range(vectors.shape[1]):
             top = np.argsort(-np.abs(vectors[:, j]), kind="stable")[:size]
-            out[top, j] = vectors[top, j] / np.abs(vectors[top, j]).max() * strength * np.sqrt(values[j] / values[0])
+            out[:, j] = self.REST * vectors[:, j]
+            out[top, j] = vectors[top, j]
+            out[:, j] *= strength * np.sqrt(values[j] / values[0]) / np.abs(vectors[top, j]).max()
         return out
 
     def loss(self, held: tuple[np.ndarray, np.ndarray], labels: np.ndarray, v: np.ndarray | None = None) -> float:
@@ -231,13 +235,12 @@ class _Descent:
         self.w, self.z, self.n, self.b, self.gb = kept
         if not self.factors:
             return first, 0, 0.0, 0
-        lead, size, strength = self.leading(), 0, 0.0
-        for m in self.SIZES:
-            for c in self.STRENGTHS:
-                if (now := self.loss(held, labels, self.factors_of(m, c, lead))) < 0.98 * best:
-                    best, size, strength = now, m, c
-        if not size:
+        lead = self.leading()
+        if not lead[0].shape[1]:  # no two terms are seen together more than alone
             return first, 0, 0.0, 0
+        sizes = sorted({min(m, len(self.w)) for m in (*self.SIZES, len(self.w))})
+        # Where factors help little they are weak, not absent.
+        best, size, strength = min((self.loss(held, labels, self.factors_of(m, c, lead)), m, c) for m in sizes for c in self.STRENGTHS)
         self.v, then = self.factors_of(size, strength, lead), 0
         for e in range(1, epochs + 1):
             self.epoch()
