@@ -10,10 +10,10 @@ from pyspark.sql import SparkSession
 
 from treeline import catalog
 from treeline.plans.compiler import query
-from treeline.sources import code
+from treeline.sources import code, tables
 from treeline.workspace import StoredWorkspace
 
-HEADLINE = ("q_grep_lines", "q_grep_rollup", "q_contains", "q_child", "q_descendant", "q_depth_range", "q_attr_regex", "q_union", "q_any", "q_all", "q_in_call", "q_cross", "q_hops", "q_name_freq", "q_search")
+HEADLINE = ("q_grep_lines", "q_grep_rollup", "q_contains", "q_child", "q_descendant", "q_depth_range", "q_attr_regex", "q_union", "q_any", "q_all", "q_in_call", "q_cross", "q_hops", "q_name_freq", "q_search", "q_walk", "q_reachable", "q_parents", "q_code_symbols", "q_code_arity", "q_code_signature", "q_code_in_call", "q_code_hot")
 
 
 SHAPES = {"tag": "func", "path_scoped": "file[path$=m01.go] func", "attr_exact": "func[name=Step7]", "attr_regex": "func[name~='Step1|Step2|Step3']", "star": "*", "grep": "file::grep('-E Step1[0-9]')", "edge_anchored": "#'m01.go#Step5'::in.call", "edge_crossed": "#'m01.go#Step5'::in.call > *", "generated_body": "func::body"}
@@ -54,12 +54,18 @@ def main() -> None:
         print(json.dumps(shapes(spark)))
         spark.stop()
         return
-    took = {}
+    build, took = {}, {}
+    # The workspaces that the queries share are built and written once, told apart from the queries.
+    for workspace in (tables.documents, tables.trade, tables.conversations, tables.events, catalog.code_tree):
+        start = time.perf_counter()
+        ws = catalog.kept(workspace, spark, sf)
+        ws.nodes, ws.edges, ws.groups
+        build[workspace.__name__] = round(time.perf_counter() - start, 3)
     for name in HEADLINE:
         start = time.perf_counter()
         catalog.queries()[name](spark, sf).write.format("noop").mode("overwrite").save()
         took[name] = round(time.perf_counter() - start, 3)
-    print(json.dumps({"metric": "headline selector queries, total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf, "cpus": cpus}))
+    print(json.dumps({"metric": "headline selector queries, total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "build": build, "build_total": round(sum(build.values()), 3), "sf": sf, "cpus": cpus}))
     spark.stop()
 
 
