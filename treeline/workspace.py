@@ -80,7 +80,7 @@ class Workspace:
 
 
 class LinkedWorkspace:
-    """A workspace whose edges are only looked for when asked for: ``link`` gives (edges, groups, further nodes or null)."""
+    """A workspace whose edges are only looked for when asked for, and then written: ``link`` gives (edges, groups, further nodes or null)."""
 
     def __init__(self, nodes: DataFrame, lines: DataFrame, link: Callable[[], tuple[DataFrame, DataFrame, DataFrame | None]], linked_nodes: bool):
         self._nodes, self.lines, self._link, self._linked_nodes = nodes, lines, link, linked_nodes
@@ -89,7 +89,8 @@ class LinkedWorkspace:
 
     @cached_property
     def _linked(self) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-        return self._link()
+        edges, groups, nodes = self._link()
+        return written(edges, "dir"), written(groups), None if nodes is None else written(nodes)
 
     @cached_property
     def nodes(self) -> DataFrame:
@@ -153,11 +154,11 @@ class StoredWorkspace:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return written(self._plain.edges, "dir")
+        return self._plain.edges if isinstance(self._plain, LinkedWorkspace) else written(self._plain.edges, "dir")
 
     @cached_property
     def groups(self) -> DataFrame | None:
-        return None if self._plain.groups is None else written(self._plain.groups)
+        return self._plain.groups
 
     @cached_property
     def grams(self) -> DataFrame | None:
