@@ -237,6 +237,22 @@ def test_urls_are_judged(spark):
     }
 
 
+
+def test_urls_are_judged_by_the_contracts_words(spark):
+    urls = ["http://a.com/en/1", "http://example.com/en/7", "http://a.net/de/8", "http://www.example.net/de/81", "http://example.net/de/9", "http://org/es/x", "http://net/de/"]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    out = urlfilter.filter_urls(rows, urlfilter.publish(spark, urlfilter.RULES)).orderBy("page_id").collect()
+    assert [(r["rule"], r["verdict"]) for r in out] == [
+        ("com/en/", "block"),
+        ("example.com/en/7", "allow"),
+        ("net/de/", "allow"),
+        ("example.net/de/8", "block"),
+        ("net/de/", "allow"),
+        ("org/es/", "block"),
+        ("net/de/", "allow"),
+    ]
+
+
 ODD = ["", "a", " ", "  a  b ", "\n\n x", "ééé 漢字 🎉", "<s> </s> <unk> <0x41>", "▁a▁▁b", "tab\tx\r\n", "\x00", "a" * 3000, "    indent", " ▁ ", "ordinary words, twice. ordinary words"]
 
 
