@@ -9,7 +9,7 @@ from treeline.operators import intervals, results, walks
 from treeline.plans import closure
 from treeline.plans.compiler import query
 from treeline.sources import code, details
-from treeline.workspace import Workspace, both_directions
+from treeline.workspace import StoredWorkspace, Workspace, both_directions
 
 # Calls: open -> load, check; load -> parse; check -> parse (a diamond); ping <-> pong (a cycle);
 # walk -> walk (a loop of one); nobody calls open, walk apart from itself, or orphan.
@@ -352,3 +352,15 @@ def test_closures_against_walking(spark, seed):
     # For each tip by itself, where a claim asks.
     assert nodes(w, "func:where(::in.call:empty)") == {f"n{x}" for x in every if not callers(x)}
     assert nodes(w, "func:parents(func):empty") == {f"n{x}" for x in every if not {y for y in upstream([f"n{x}"]) if y[0] == "n"}}
+
+
+def test_sides_of_conflicts_need_neither_symbols_nor_edges(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("edges were made")
+
+    monkeypatch.setattr(code, "_edges", refused)
+    frame = spark.createDataFrame([("a/x.txt", "top\n<<<<<<< ours\nmine\n=======\ntheirs\n>>>>>>> b\n"), ("a/y.go", "package a\n\nfunc F() {}\n")], "path string, content string")
+    ws = StoredWorkspace(lambda: code.workspace(frame))
+    got = query(ws, "file::mine, file::theirs").select("node", "line", "text").collect()
+    assert sorted(map(tuple, got)) == [("a/x.txt", 3, "mine"), ("a/x.txt", 5, "theirs")]
+    assert set(ws._classes) == {"file"}
