@@ -364,3 +364,11 @@ def test_sides_of_conflicts_need_neither_symbols_nor_edges(spark, monkeypatch):
     got = query(ws, "file::mine, file::theirs").select("node", "line", "text").collect()
     assert sorted(map(tuple, got)) == [("a/x.txt", 3, "mine"), ("a/x.txt", 5, "theirs")]
     assert set(ws._classes) == {"file"}
+
+
+def test_returns_need_no_edges(spark):
+    frame = spark.createDataFrame([("a/y.go", "package a\n\nfunc F() (int, error) { return G() }\n\nfunc G() (int, error) { return 1, nil }\n")], "path string, content string")
+    ws = StoredWorkspace(lambda: code.workspace(frame))
+    got = query(ws, "func > return, method > return").select("node").collect()
+    assert sorted(r["node"] for r in got) == ["a/y.go#F.error", "a/y.go#F.int", "a/y.go#G.error", "a/y.go#G.int"]
+    assert "_linked" not in ws._plain.__dict__
