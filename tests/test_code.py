@@ -372,3 +372,11 @@ def test_returns_need_no_edges(spark):
     got = query(ws, "func > return, method > return").select("node").collect()
     assert sorted(r["node"] for r in got) == ["a/y.go#F.error", "a/y.go#F.int", "a/y.go#G.error", "a/y.go#G.int"]
     assert "_linked" not in ws._plain.__dict__
+
+
+def test_annotated_needs_no_edges(spark):
+    frame = spark.createDataFrame([("a/B.java", "package a;\n\n@Stored(\"b\")\npublic class B {\n  @Override\n  public void go(int a) { go(a); }\n}\n")], "path string, content string")
+    ws = StoredWorkspace(lambda: code.workspace(frame))
+    got = query(ws, "class:annotated('Stored'), method:annotated('@Override')").select("node").collect()
+    assert sorted(r["node"] for r in got) == ["a/B.java#B", "a/B.java#B.go"]
+    assert "_linked" not in ws._plain.__dict__
