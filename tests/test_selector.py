@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from treeline import catalog
 from treeline.functions.patterns import grep_regex
 from treeline.operators import incremental, text
+from treeline.plans.compiler import Compiler, query
 from treeline.plans.selector import Grep, SelectorError, normalise, parse
 from treeline.sources import tables
+from treeline.workspace import StoredWorkspace, Workspace
 
 SF = "/root/testdata/sf0.001"
 
@@ -73,3 +75,14 @@ def test_outline_has_every_node_of_the_tables(spark):
     out = catalog.queries()["q_structure_all"](spark, SF).groupBy("type").count().collect()
     rows = lambda *names: sum(spark.read.parquet(f"{SF}/{n}.parquet").count() for n in names)
     assert {r["type"]: r["count"] for r in out} == {"dir": rows("region", "nation") + 1, "file": rows("customer", "supplier"), "struct": rows("orders"), "field": rows("lineitem"), "type": rows("part")}
+
+
+def made_for(spark, selector):
+    """A result and the classes and edges that a stored workspace made for it."""
+    ws = StoredWorkspace(lambda: tables.trade(spark, SF))
+    found = query(ws, selector)
+    return found, set(ws._classes), set(ws._asked)
+
+
+def test_descendants_make_only_their_classes(spark):
+    assert made_for(spark, "dir#ASIA struct")[1:] == ({"dir", "struct"}, set())
