@@ -86,3 +86,7 @@ def made_for(spark, selector):
 
 def test_descendants_make_only_their_classes(spark):
     assert made_for(spark, "dir#ASIA struct")[1:] == ({"dir", "struct"}, set())
+
+
+def test_groups_make_only_their_classes(spark):
+    assert made_for(spark, "(dir dir){1}")[1:] == ({"project", "dir"}, set())
