@@ -90,3 +90,18 @@ def test_descendants_make_only_their_classes(spark):
 
 def test_groups_make_only_their_classes(spark):
     assert made_for(spark, "(dir dir){1}")[1:] == ({"project", "dir"}, set())
+
+
+def test_depths_below_the_project_need_no_join(spark):
+    found, _, asked = made_for(spark, "(*){3,}")
+    rows = {r["node"] for r in found.collect()}
+    assert rows == {r["addr"] for r in tables.trade(spark, SF).nodes.where("size(anc) > 3").collect()} and not asked
+    assert Compiler(StoredWorkspace(lambda: tables.trade(spark, SF))).filtered(parse("(*){3,}")[0]) is not None
+
+
+@pytest.mark.parametrize("selector", ["(*){3,}", "*{2}", "(dir){2}", "dir#ASIA > *{2,}", "dir#ASIA (*){2,}", "dir#ASIA *{0,1}", "dir#EUROPE > *{1,2}", "dir > *", "* > field", "*:root", "dir *{0,2}", "file[name^=Supplier]::in.call", "field#l1::out, type::in", "struct > *::out.type > *"])
+def test_what_is_left_out_changes_no_result(spark, selector):
+    whole = tables.trade(spark, SF)
+    columns = ["node", "type"] if "::" not in selector or ">" in selector else ["edge", "host", "far"]
+    rows = lambda ws: sorted(map(tuple, query(ws, selector).select(*columns).collect()))
+    assert rows(StoredWorkspace(lambda: tables.trade(spark, SF))) == rows(Workspace(whole.nodes, whole.lines, whole.edges))
