@@ -105,3 +105,9 @@ def test_what_is_left_out_changes_no_result(spark, selector):
     columns = ["node", "type"] if "::" not in selector or ">" in selector else ["edge", "host", "far"]
     rows = lambda ws: sorted(map(tuple, query(ws, selector).select(*columns).collect()))
     assert rows(StoredWorkspace(lambda: tables.trade(spark, SF))) == rows(Workspace(whole.nodes, whole.lines, whole.edges))
+
+
+def test_edges_in_are_made_by_kind(spark):
+    found, classes, asked = made_for(spark, "file[name^=Supplier]::in.call")
+    assert found.count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert (classes, asked) == ({"file"}, {("in", ("call",))})
