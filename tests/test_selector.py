@@ -111,3 +111,9 @@ def test_edges_in_are_made_by_kind(spark):
     found, classes, asked = made_for(spark, "file[name^=Supplier]::in.call")
     assert found.count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
     assert (classes, asked) == ({"file"}, {("in", ("call",))})
+
+
+def test_depth_ranges_leave_out_classes_too_far_below(spark):
+    found, classes, asked = made_for(spark, "dir#EUROPE > *{1,2}")
+    assert "field" not in classes and not asked
+    assert {r["type"] for r in found.select("type").distinct().collect()} == {"dir", "file"}
