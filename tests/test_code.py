@@ -380,3 +380,13 @@ def test_annotated_needs_no_edges(spark):
     got = query(ws, "class:annotated('Stored'), method:annotated('@Override')").select("node").collect()
     assert sorted(r["node"] for r in got) == ["a/B.java#B", "a/B.java#B.go"]
     assert "_linked" not in ws._plain.__dict__
+
+
+def test_declarations_need_no_join_with_their_files(spark):
+    frame = spark.createDataFrame([("a/y.go", "package a\n\nfunc F() int { return 1 }\n"), ("x.go", "package x\n")], "path string, content string")
+    symbols = code.workspace(frame.union(frame)).parts[""]
+    assert "Join" not in symbols._jdf.queryExecution().optimizedPlan().toString()
+    # A file that is there twice has each of its declarations twice, not four times.
+    assert {tuple(r) for r in symbols.groupBy("addr").count().collect()} == {("a/y.go#a", 2), ("a/y.go#F", 2), ("a/y.go#F.int", 2), ("x.go#x", 2)}
+    up = {r["addr"]: r["anc"] for r in code.workspace(frame).nodes.where("anc is not null").collect()}
+    assert up["a/y.go#F"][:-1] == up["a/y.go"] and up["x.go#x"][:-1] == up["x.go"]
