@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -390,3 +391,9 @@ def test_declarations_need_no_join_with_their_files(spark):
     assert {tuple(r) for r in symbols.groupBy("addr").count().collect()} == {("a/y.go#a", 2), ("a/y.go#F", 2), ("a/y.go#F.int", 2), ("x.go#x", 2)}
     up = {r["addr"]: r["anc"] for r in code.workspace(frame).nodes.where("anc is not null").collect()}
     assert up["a/y.go#F"][:-1] == up["a/y.go"] and up["x.go#x"][:-1] == up["x.go"]
+
+
+def test_small_files_are_parsed_into_one_batch():
+    rows = [(f"a/f{i}.go", "go", f"package a\n\nfunc F{i}() {{}}\n") for i in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["path", "lang", "content"])
+    assert [b.num_rows for b in code._parse("decls")([batch])] == [100]
