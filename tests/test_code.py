@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from treeline.operators import intervals, results, walks
 from treeline.plans import closure
-from treeline.plans.compiler import query
+from treeline.plans.compiler import query, tally
 from treeline.sources import code, details
 from treeline.workspace import StoredWorkspace, Workspace, both_directions
 
@@ -397,3 +397,9 @@ def test_small_files_are_parsed_into_one_batch():
     rows = [(f"a/f{i}.go", "go", f"package a\n\nfunc F{i}() {{}}\n") for i in range(50)]
     batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["path", "lang", "content"])
     assert [b.num_rows for b in code._parse("decls")([batch])] == [100]
+
+
+@pytest.mark.parametrize("selector", ["func::in.call", "func::out", "struct::in, method::in", "*::in"])
+def test_tallies_of_folded_edges(ws, selector):
+    want = query(ws, selector).groupBy("host").count()
+    assert sorted(map(tuple, tally(ws, selector).select("host", "n").collect())) == sorted(map(tuple, want.collect()))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from treeline import catalog
 from treeline.functions.patterns import grep_regex
 from treeline.operators import incremental, text
-from treeline.plans.compiler import Compiler, query
+from treeline.plans.compiler import Compiler, query, tally
 from treeline.plans.selector import Grep, SelectorError, normalise, parse
 from treeline.sources import tables
 from treeline.workspace import StoredWorkspace, Workspace
@@ -117,3 +117,16 @@ def test_depth_ranges_leave_out_classes_too_far_below(spark):
     found, classes, asked = made_for(spark, "dir#EUROPE > *{1,2}")
     assert "field" not in classes and not asked
     assert {r["type"] for r in found.select("type").distinct().collect()} == {"dir", "file"}
+
+
+@pytest.mark.parametrize("selector", ["file[name^=Supplier]::in.call", "field#l1::out", "type::in, file::in"])
+def test_tallies_count_the_edges_found(spark, selector):
+    ws = StoredWorkspace(lambda: tables.trade(spark, SF))
+    want = query(ws, selector).groupBy("host").count()
+    assert sorted(map(tuple, tally(ws, selector).select("host", "n").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_tallies_look_up_no_far_ends(spark):
+    assert not any("orders.parquet" in f for f in catalog.queries()["q_in_call"](spark, SF).inputFiles())
+    with pytest.raises(SelectorError):
+        tally(tables.trade(spark, SF), "file[name^=Supplier]::in.call > field")
