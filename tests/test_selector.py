@@ -130,3 +130,11 @@ def test_tallies_look_up_no_far_ends(spark):
     assert not any("orders.parquet" in f for f in catalog.queries()["q_in_call"](spark, SF).inputFiles())
     with pytest.raises(SelectorError):
         tally(tables.trade(spark, SF), "file[name^=Supplier]::in.call > field")
+
+
+def test_depths_below_the_project_store_no_nodes(spark):
+    found, classes, _ = made_for(spark, "(*){3,}")
+    assert not classes
+    ws = StoredWorkspace(lambda: tables.trade(spark, SF))
+    query(ws, "dir#ASIA struct").count()
+    assert sorted(r["node"] for r in query(ws, "(*){3,}").collect()) == sorted(r["node"] for r in found.collect())
