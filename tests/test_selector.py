@@ -138,3 +138,27 @@ def test_depths_below_the_project_store_no_nodes(spark):
     ws = StoredWorkspace(lambda: tables.trade(spark, SF))
     query(ws, "dir#ASIA struct").count()
     assert sorted(r["node"] for r in query(ws, "(*){3,}").collect()) == sorted(r["node"] for r in found.collect())
+
+
+ODD_TEXTS = {
+    "line ends": [(1, "the a\nthe b\n", "s"), (2, "x\n", "s"), (3, "the\n\n", "s"), (4, "the", "s"), (5, "\n", "s")],
+    "no text": [(1, "", "s"), (2, None, "s"), (3, "the", "s")],
+    "carriage returns": [(1, "the a\r\nLicense b\r\nc\r\n", "s"), (2, "the\r\nx\r\r", "s"), (3, "\r", "s")],
+    "an id in two sources": [(1, "the\nx", "s"), (1, "y License", "t"), (2, "the", "t")],
+    "repeated rows": [(1, "the\nx", "s"), (1, "the\nx", "s"), (2, "y\nz", "s")],
+    "repeated ids": [(1, "the\nx", "s"), (1, "the\nthe\ny", "s")],
+}
+
+
+@pytest.mark.parametrize("odd", sorted(ODD_TEXTS))
+def test_greps_of_odd_texts_match_their_sql(spark, tmp_path, odd):
+    rows = [(i, t, "en", s, len(t or "")) for i, t, s in ODD_TEXTS[odd]]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    # Where ids repeat, the order of their lines is open: no context then.
+    framed = [] if odd.startswith("repeated") else ["q_grep_context", "q_near_context"]
+    for name in ("q_grep_first", "q_grep_lines", "q_grep_rollup", "q_capped_lines", *framed):
+        want = con.sql(catalog.oracle_sql()[name]).df()
+        got = catalog.queries()[name](spark, str(tmp_path)).toPandas()[list(want.columns)]
+        assert sorted(map(repr, got.astype(str).values.tolist())) == sorted(map(repr, want.astype(str).values.tolist())), name
